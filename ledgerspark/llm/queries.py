@@ -4,12 +4,17 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import decontaminate, exact_dedup, sharding, url_filter
+from . import bpe, decontaminate, exact_dedup, extract, quality, sharding, simhash, toxicity, url_filter
 
 QUERIES = {
+    "op1_bpe": bpe.op1_bpe,
     "op3_sharding": sharding.op3_sharding,
+    "op4_html_extraction": extract.op4_html_extraction,
+    "op5_quality": quality.op5_quality,
     "op6_decontamination": decontaminate.op6_decontamination,
+    "op7_toxicity": toxicity.op7_toxicity,
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
+    "op9_simhash": simhash.op9_simhash,
     "op10_url_filters": url_filter.op10_url_filters,
     "pipeline": corpus_pipeline.run,
 }

@@ -60,7 +60,8 @@ def tokens(host: Column, path: Column) -> Column:
     labels, segments = F.split(host, r"\."), F.split(plain, "/")
     several = F.filter(F.concat(labels, segments), lambda x: x.rlike(r"[^\p{L}]"))
     inner = F.transform(F.flatten(F.transform(several, lambda x: F.split(x, r"[^\p{L}]+"))), lambda x: F.concat(F.lit("w:"), x))
-    hosts, paths = (F.transform(a, lambda x, k=k: F.concat(F.lit(k), x)) for a, k in ((labels, "h:"), (segments, "p:")))
+    hosts = F.transform(labels, lambda x: F.concat(F.lit("h:"), x))
+    paths = F.transform(segments, lambda x: F.concat(F.lit("p:"), x))
     return F.filter(F.array_distinct(F.concat(hosts, paths, inner)), lambda x: F.length(x) > 2)
 
 
