@@ -4,10 +4,11 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, exact_dedup, extract, quality, sharding, simhash, toxicity, url_filter
+from . import bpe, decontaminate, exact_dedup, extract, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
+    "op2_suffix_dedup": suffix_dedup.op2_suffix_dedup,
     "op3_sharding": sharding.op3_sharding,
     "op4_html_extraction": extract.op4_html_extraction,
     "op5_quality": quality.op5_quality,
