@@ -55,23 +55,55 @@ def words_at(buffer: bytes) -> np.ndarray:
     return np.ndarray((max(0, len(buffer) - 7),), "<u8", buffer, 0, (1,))
 
 
+#: Positions handled at a time, so that what is between stays in a core's cache.
+AT_ONCE = 1 << 14
+OFFSETS = (*range(0, LENGTH - 8, 8), LENGTH - 8)
+
+
+def in_parts(f, dtype, *arrays: np.ndarray) -> np.ndarray:
+    """f of the arrays, some thousand members at a time."""
+    out = np.empty(len(arrays[0]), dtype)
+    for k in range(0, len(out), AT_ONCE):
+        out[k : k + AT_ONCE] = f(*(a[k : k + AT_ONCE] for a in arrays))
+    return out
+
+
 def prefix_keys(w: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 64-bit key of the PREFIX bytes at each of the positions."""
-    h = w[at] * _ODD[0]
-    for k, o in ((1, 8), (2, 16), (0, PREFIX - 8)):
-        h = mix(h + w[at + o] * _ODD[k])
-    return h
 
+    def keys(at):
+        h = w[at] * _ODD[0]
+        for k, o in ((1, 8), (2, 16), (0, PREFIX - 8)):
+            h = mix(h + w[at + o] * _ODD[k])
+        return h
 
-OFFSETS = (*range(0, LENGTH - 8, 8), LENGTH - 8)
+    return in_parts(keys, np.uint64, at)
 
 
 def string_keys(w: np.ndarray, at: np.ndarray) -> np.ndarray:
     """A 64-bit key of the LENGTH bytes at each of the positions."""
-    h = w[at] * _ODD[1]
-    for k, o in enumerate(OFFSETS[1:]):
-        h = mix(h + w[at + o] * _ODD[k % 3])
-    return h
+
+    def keys(at):
+        h = w[at] * _ODD[1]
+        for k, o in enumerate(OFFSETS[1:]):
+            h = (h ^ w[at + o]) * _ODD[k % 3]
+            if k % 2:
+                h ^= h >> np.uint64(31)
+        return mix(h)
+
+    return in_parts(keys, np.uint64, at)
+
+
+def equal_strings(w: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Whether the LENGTH bytes at a and at b are the same."""
+
+    def same(a, b):
+        differ = w[a] ^ w[b]
+        for o in OFFSETS[1:]:
+            differ |= w[a + o] ^ w[b + o]
+        return differ == 0
+
+    return in_parts(same, bool, a, b)
 
 
 def repeats(w: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -80,15 +112,16 @@ def repeats(w: np.ndarray, at: np.ndarray) -> np.ndarray:
     if len(at) < 2:
         return out
     keys = string_keys(w, at)
-    order = np.argsort(keys, kind="stable")
+    order = np.argsort(keys)
     ranked = keys[order]
     head = np.r_[True, ranked[1:] != ranked[:-1]]
-    first = order[np.flatnonzero(head)[np.cumsum(head) - 1]]  # of the run each stands in
-    tied = ~head
+    begin = np.flatnonzero(head)
+    if len(begin) == len(keys):
+        return out
+    first = np.repeat(np.minimum.reduceat(order, begin), np.diff(np.r_[begin, len(keys)]))  # of the run each stands in
+    tied = order != first
     a, b = at[order[tied]], at[first[tied]]
-    same = np.ones(len(a), bool)
-    for o in OFFSETS:
-        same &= w[a + o] == w[b + o]
+    same = equal_strings(w, a, b)
     out[order[tied]] = same
     if not same.all():  # equal keys of different strings: compare those runs by their bytes
         runs = np.cumsum(head) - 1
@@ -234,8 +267,8 @@ def pieces(rows: pd.DataFrame, ranks: pd.DataFrame, buckets: int) -> pd.DataFram
     first = string[~again]
     if len(first):
         need = np.zeros(b.n + V + 1, np.int8)  # positions whose prefix may be a head: V from each string on
-        np.add.at(need, first, 1)
-        np.add.at(need, first + V, -1)
+        need[first] += 1
+        need[first + V] -= 1
         place = np.flatnonzero(np.cumsum(need[: b.n]) > 0)
         h = np.full(b.n, ~np.uint64(0))
         h[place] = prefix_keys(b.w, place)
