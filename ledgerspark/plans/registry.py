@@ -1,4 +1,22 @@
 """All queries by name, and their SQL."""
 
-QUERIES = {}
-ORACLES = {}
+from __future__ import annotations
+
+from collections.abc import Callable
+from functools import partial
+
+from pyspark.sql import DataFrame, SparkSession
+
+from . import library, model
+
+
+def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return partial(_run, sql)
+
+
+def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.run(spark, sf_dir, sql)
+
+
+QUERIES = {name: _query(sql) for name, sql in library.SQL.items()}
+ORACLES = {name: model.oracle(sql) for name, sql in library.SQL.items()}
