@@ -7,16 +7,18 @@ from functools import partial
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import library, model
-
-
-def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return partial(_run, sql)
+from ..operators import cleaning
+from . import analytics, library, model
 
 
 def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     return model.run(spark, sf_dir, sql)
 
 
-QUERIES = {name: _query(sql) for name, sql in library.SQL.items()}
-ORACLES = {name: model.oracle(sql) for name, sql in library.SQL.items()}
+def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
+    return partial(_run, sql)
+
+
+SQL = {**library.SQL, **analytics.SQL}
+QUERIES = {name: _query(sql) for name, sql in SQL.items()} | cleaning.QUERIES
+ORACLES = {name: model.oracle(sql) for name, sql in SQL.items()} | cleaning.ORACLES
