@@ -203,7 +203,7 @@ class Labeller:
         words = [list(map(WORD_IDS.__getitem__, b[0].lower().split())) for b in page]
         length = np.array([len(b[0]) for b in page], np.float32)
         place = np.arange(n, dtype=np.float32) / max(1, n - 1)
-        numbers = np.stack([np.log1p(length) / 6, np.array([b[2] for b in page], np.float32), place, 1 - place, np.array([b[0][-1] in ".!?…" for b in page], np.float32), length / max(1, length.max())], axis=1)
+        numbers = np.stack([np.log1p(length) / 6, np.array([b[2] for b in page], np.float32), place, 1 - place, np.array([b[0][-1] in ".!?…" for b in page], np.float32), length / length.max(initial=1)], axis=1)
         return paths, words, numbers.astype(np.float32)
 
     def vectors(self, pages: list[tuple]) -> tuple[np.ndarray, tuple]:

@@ -17,7 +17,7 @@ from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, join_hot, table
 
 #: The contract's rules: host, path, verdict.
 RULES = (
@@ -98,14 +98,17 @@ def judge(urls: DataFrame, key: str = "page_id", rules=RULES) -> DataFrame:
     if posted.count() <= BROADCAST_RULES:
         posted = F.broadcast(posted)
     # Urls with the same tokens have the same answer: one search for each kind.
-    kinds = own.filter(F.col("fixed").isNull()).groupBy("tokens").agg(F.count("*").alias("n")).select("tokens")
-    fetched = kinds.withColumn("token", F.explode("tokens")).join(posted, "token")
+    kinds = cut(own.filter(F.col("fixed").isNull()).groupBy("tokens").agg(F.count("*").alias("n")))
+    fetched = kinds.select("tokens").withColumn("token", F.explode("tokens")).join(posted, "token")
     matches = fetched.filter(F.forall("needs", lambda t: F.array_contains("tokens", t)))
     best = matches.groupBy("tokens").agg(
         F.max(F.struct("confidence", "support", "says", F.concat_ws(" ", "needs").alias("needs"))).alias("best")
     )
     fixed = own.filter(F.col("fixed").isNotNull()).select(key, "host", "path", "fixed.rule", "fixed.verdict", F.lit(None).cast("string").alias("mined"), F.lit(None).cast("double").alias("confidence"))
-    free = own.filter(F.col("fixed").isNull()).join(best, "tokens", "left").select(
+    # A kind of url may hold a third of all rows; such kinds meet their answer by broadcast.
+    answers = kinds.join(best, "tokens", "left")
+    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    free = join_hot(own.filter(F.col("fixed").isNull()), answers, "tokens", "n", total).select(
         key, "host", "path", F.lit(None).cast("string").alias("rule"), F.coalesce("best.says", F.lit("allow")).alias("verdict"), F.col("best.needs").alias("mined"), "best.confidence"
     )
     return fixed.unionByName(free)
