@@ -24,11 +24,12 @@ from pyspark.sql import functions as F
 from .common import table
 from .sampling import held_out, labelled
 
-PER_CLASS, TRAIN_WINDOWS, THRESHOLD = 1_500, 6, 0.5
+PER_CLASS, TRAIN_WINDOWS, THRESHOLD, CLEAN_LOSS = 1_500, 6, 0.5, 0.01
 WINDOW, STEP = 32, 16
 HIDDEN, EMBED, WORDS, GRAMS = 8, 8, 1 << 14, 1 << 11
 EPOCHS, BATCH, RATE, SEED = (6, 4), 256, 0.01, 11
-#: Words of fewer sample texts than this have no vector of their own (only their trigrams'), so none is learned by heart.
+#: Words of fewer sample texts than this have no vector of their own (only their trigrams'), so none is learned by heart;
+#: a hundredth of the sample where that is less, five at least.
 SEEN_IN = 8
 #: Windows scored at a time; bounds a task's memory.
 AT_ONCE = 4096
@@ -220,7 +221,7 @@ class Network:
 
 
 def learn(texts: list[str], y: np.ndarray) -> Network:
-    """A network fitted to three quarters of a bounded sample, its scores shifted so that 0.5 is where F1 is best on the rest."""
+    """A network fitted to three quarters of a bounded sample, its scores shifted so that 0.5 is where F1 is best on the rest, or higher if clean texts would suffer."""
     net = Network()
     if not len(y) or y.min() == y.max():
         return net
@@ -239,7 +240,7 @@ def learn(texts: list[str], y: np.ndarray) -> Network:
         code = np.pad(code, (0, max(0, WINDOW - len(code))))
         rows.append(code[s[:, None] + np.arange(WINDOW)])
         owner += [i] * len(s)
-    net.common = seen["word"].sum(axis=0) >= SEEN_IN
+    net.common = seen["word"].sum(axis=0) >= min(SEEN_IN, max(5, np.count_nonzero(~dev) // 100))
     net.common[0] = False
     for k, (neg, pos) in seen.items():  # the vectors' first number starts as a shrunken log-odds ratio
         odds = np.log((pos + 0.5) / (y[~dev].sum() + 1)) - np.log((neg + 0.5) / ((1 - y[~dev]).sum() + 1))
@@ -265,7 +266,9 @@ def learn(texts: list[str], y: np.ndarray) -> Network:
     f1 = 2 * hits / (np.arange(1, len(truth) + 1) + truth.sum())
     best = np.flatnonzero(f1 >= f1.max() - 1e-9)
     lo, hi = logit[order[min(best[-1] + 1, len(truth) - 1)]], logit[order[best[0]]]
-    net.shift = float((lo + hi) / 2)
+    # Clean texts come first: at most CLEAN_LOSS of them may score above, with a margin where few of them are known.
+    rest = logit[truth == 0]
+    net.shift = float(max((lo + hi) / 2, np.quantile(rest, 1 - CLEAN_LOSS) + 3 * rest.std() / np.sqrt(len(rest))))
     return net
 
 
