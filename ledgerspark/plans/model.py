@@ -91,27 +91,38 @@ FROM fact_transactions f JOIN dim_product d ON f.product_id = d.product_id GROUP
     }
 
 
-def register(spark: SparkSession, sf_dir: str) -> None:
-    """Make tables and relations known as temporary views; lazily, so a query scans only what it names."""
+def needed(all_: dict[str, str], sql: str) -> list[str]:
+    """The relations that a query uses, directly or not, in the order in which they build on each other."""
+    out, text = [], sql
+    for name in reversed(list(all_)):
+        if name in text:
+            out.insert(0, name)
+            text += all_[name]
+    return out
+
+
+def register(spark: SparkSession, sf_dir: str, sql: str | None = None) -> None:
+    """Make tables and relations known as temporary views, those that sql uses or all; nothing is read yet."""
+    all_ = relations(SPARK)
+    names = list(all_) if sql is None else needed(all_, sql)
+    text = " ".join([sql or " ".join(TABLES), *(all_[n] for n in names)])
     for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    for name, sql in relations(SPARK).items():
-        spark.sql(sql).createOrReplaceTempView(name)
+        if t in text:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
+    for name in names:
+        spark.sql(all_[name]).createOrReplaceTempView(name)
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    register(spark, sf_dir)
+    register(spark, sf_dir, sql)
     df = spark.sql(sql)
     return df.select(*(F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))  # ranks and day counts
 
 
 def oracle(sql: str) -> str:
     """The query as one statement that needs only the tables: the relations that it uses go before it."""
-    all_, need, text = relations(DUCK), [], sql
-    for name in reversed(list(all_)):
-        if name in text:
-            need.insert(0, f"{name} AS ({all_[name]})")
-            text += all_[name]
+    all_ = relations(DUCK)
+    need = [f"{name} AS ({all_[name]})" for name in needed(all_, sql)]
     text = sql.strip()
     if not need:
         return text
