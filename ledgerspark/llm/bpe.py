@@ -30,7 +30,7 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 #: Frequent words that the lexicon holds, and how often a word must occur to get in.
 LEXICON, LEAST = 300_000, 4
@@ -290,6 +290,7 @@ def groups(texts: list[str | None]) -> Iterator[list[str]]:
 def encode(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of every row; with full also ids and the decoded text."""
     spark = docs.sparkSession
+    small_batches(spark)
     vocabulary = Vocabulary(path)
     name = publish(spark, vocabulary, frequent_words(docs))
     held = spark.sparkContext.broadcast(vocabulary)

@@ -31,6 +31,17 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Bound the Arrow batches of whole texts, in rows and bytes, wherever the session has Spark's own defaults.
+
+    A batch exists several times over (in the JVM, as Arrow and as Python strings), in each of an executor's tasks.
+    """
+    for name, default, own in (("maxRecordsPerBatch", "10000", "512"), ("maxBytesPerBatch", "67108864b", "8388608b")):
+        key = f"spark.sql.execution.arrow.{name}"
+        if spark.conf.get(key, default) == default:
+            spark.conf.set(key, own)
+
+
 def partitions(spark: SparkSession) -> int:
     """The cluster's number of shuffle partitions."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_hot, table
+from .common import components, cut, join_hot, small_batches, table
 
 BITS, RADIUS, SHINGLE = 64, 3, 3
 #: Keys of more fingerprints than this are looked up with a byte of the other segment.
@@ -56,6 +56,7 @@ def fingerprints(docs: DataFrame) -> DataFrame:
             fp = pa.array((fingerprint(t) for t in b.column("text").to_pylist()), pa.int64())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), fp], ["doc_id", "fp"])
 
+    small_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, fp long")
 
 

@@ -13,6 +13,7 @@ nothing; without labelled rows of both classes every score is 0; repeated rows a
 from __future__ import annotations
 
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 from .sampling import held_out, labelled
 
 PER_CLASS, TRAIN_WINDOWS, THRESHOLD, CLEAN_LOSS = 1_500, 6, 0.5, 0.01
@@ -35,14 +36,16 @@ SEEN_IN = 8
 AT_ONCE = 4096
 #: Distinct words whose inputs a task keeps; beyond, it starts anew.
 KEPT_WORDS = 150_000
+#: Words whose inputs are computed at a time.
+WORDS_AT_ONCE = 20_000
 _EDGES = ".,;:!?|#$%&*\"'()[]{}<>-_=+/0123456789"
 
 
-def features(word: str) -> tuple[int, list[int]]:
+def features(word: str) -> tuple[int, array]:
     """Hashed ids of a word and of its character trigrams, without case or outer punctuation."""
     w = word.lower().strip(_EDGES) or word
     raw = f"<{w}>".encode()
-    return 1 + zlib.crc32(raw) % (WORDS - 1), [zlib.crc32(raw[i : i + 3]) % GRAMS for i in range(min(len(raw), 40) - 2)]
+    return 1 + zlib.crc32(raw) % (WORDS - 1), array("H", [zlib.crc32(raw[i : i + 3]) % GRAMS for i in range(min(len(raw), 40) - 2)])
 
 
 def starts(n: int) -> list[int]:
@@ -120,6 +123,17 @@ class Network:
     def gates(self, inputs: np.ndarray, d: str) -> np.ndarray:
         return inputs @ self.p[f"w{d}"] + self.p[f"c{d}"]
 
+    def word_gates(self, vocabulary: Vocabulary, first: int = 0) -> dict[str, np.ndarray]:
+        """Gate inputs of both directions for the words from number `first` on."""
+        n = len(vocabulary.word)
+        out = {d: np.empty((n - first, 3 * HIDDEN), np.float32) for d in "fb"}
+        for k in range(first, n, WORDS_AT_ONCE):
+            x = self.inputs(np.array(vocabulary.word[k : k + WORDS_AT_ONCE]), vocabulary.grams[k : k + WORDS_AT_ONCE])
+            for d in "fb":
+                out[d][k - first : k - first + len(x)] = self.gates(x, d)
+        self._grams = None
+        return out
+
     def pooled(self, f: np.ndarray, b: np.ndarray, mask: np.ndarray):
         e = f @ self.p["q"][:HIDDEN] + b @ self.p["q"][HIDDEN:]
         e = np.where(mask, e, -30.0)
@@ -209,14 +223,13 @@ class Network:
                 total, at = total + len(s), at + 1
             known = len(gates["f"])
             if known < len(vocabulary.word):
-                x = self.inputs(np.array(vocabulary.word[known:]), vocabulary.grams[known:])
+                new = self.word_gates(vocabulary, known)
                 for d in "fb":
-                    gates[d] = np.vstack([gates[d], self.gates(x, d)])
+                    gates[d] = np.vstack([gates[d], new[d]])
                 vocabulary.grams[known:] = [None] * (len(vocabulary.word) - known)
             rows = np.concatenate(ids)
             for k in range(0, len(rows), AT_ONCE):
                 np.maximum.at(out, owner[k : k + AT_ONCE], self.logits(gates, np.ascontiguousarray(rows[k : k + AT_ONCE].T)))
-        self._grams = None
         return out
 
 
@@ -251,8 +264,7 @@ def learn(texts: list[str], y: np.ndarray) -> Network:
     for turn, epochs in enumerate(EPOCHS):
         net.train(at, target, vocabulary, epochs, state)
         if turn + 1 < len(EPOCHS):
-            x = net.inputs(np.array(vocabulary.word), vocabulary.grams)
-            gates = {d: net.gates(x, d) for d in "fb"}
+            gates = net.word_gates(vocabulary)
             p = np.concatenate([sigmoid(net.logits(gates, at[k : k + AT_ONCE].T)) for k in range(0, len(at), AT_ONCE)])
             best = np.zeros(len(y))
             np.maximum.at(best, owner, p)
@@ -279,6 +291,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
 
 def score(docs: DataFrame, net: Network) -> DataFrame:
     """doc_id and score of every row."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -293,6 +306,7 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
 
 def keep_clean(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of docs whose text scores below the threshold, with all their columns; nothing is shuffled."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
