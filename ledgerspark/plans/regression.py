@@ -1,14 +1,16 @@
 """Least squares with robust errors, and pairwise comparisons, from sums that Spark gathers.
 
-A row is a short list of (term, value): numbers and one indicator for each factor. Sums over pairs of terms are partial
-aggregates keyed by the pair, so what is shuffled and what reaches the driver grows with the number of levels, not of
-rows.
+A row has numbers and one level for each factor. Sums of products are partial aggregates keyed by the combination of
+levels, so what is shuffled grows with the number of combinations and what reaches the driver with the number of pairs
+of levels, not of rows.
 """
 
 from __future__ import annotations
 
 import math
-from itertools import combinations
+from functools import reduce
+from itertools import combinations, combinations_with_replacement
+from operator import add
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -23,18 +25,24 @@ MARGIN = "CAST(profit AS DOUBLE) * 100.0E0 / CAST(revenue AS DOUBLE)"
 
 
 def design(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """y and the terms of every line with positive revenue and quantity."""
-    terms = [f"struct('{k}' AS term, {v} AS x)" for k, v in NUMBERS.items()]
-    terms += [f"struct(concat('{k}=', COALESCE({v}, 'Unknown')) AS term, 1.0E0 AS x)" for k, v in FACTORS.items()]
-    sql = f"SELECT {MARGIN} AS y, array({', '.join(terms)}) AS terms FROM fact_transactions WHERE revenue > 0 AND quantity > 0"
+    """y, a column for each number and factor, and all of them as terms, for every line with positive revenue and quantity."""
+    levels = {k: f"concat('{k}=', COALESCE({v}, 'Unknown'))" for k, v in FACTORS.items()}
+    terms = [f"struct('{k}' AS term, {v} AS x)" for k, v in NUMBERS.items()] + [f"struct({v} AS term, 1.0E0 AS x)" for v in levels.values()]
+    columns = ", ".join(f"{v} AS {k}" for k, v in (NUMBERS | levels).items())
+    sql = f"SELECT {MARGIN} AS y, {columns}, array({', '.join(terms)}) AS terms FROM fact_transactions WHERE revenue > 0 AND quantity > 0"
     model.register(spark, sf_dir, sql)
     return spark.sql(sql)
 
 
-def cross(rows: DataFrame, weight: Column) -> DataFrame:
+def cross(rows: DataFrame, numbers: list[str], weight: Column) -> list[tuple[str, str, float]]:
     """(a, b, s): the weighted sum of products for each pair of terms that meet in a row."""
-    pairs = F.expr("flatten(transform(terms, (a, i) -> transform(slice(terms, i + 1, size(terms)), b -> struct(a.term AS a, b.term AS b, a.x * b.x AS xx))))")
-    return rows.select(weight.alias("w"), F.explode(pairs).alias("p")).groupBy("p.a", "p.b").agg(F.sum(F.col("w") * F.col("p.xx")).alias("s"))
+    products = {(a, b): f"p_{a}_{b}" for a, b in combinations_with_replacement(numbers, 2)}
+    cells = rows.withColumn("w", weight).groupBy(*FACTORS).agg(*(F.sum(F.col("w") * F.col(a) * F.col(b)).alias(name) for (a, b), name in products.items()))
+    pair = lambda a, b, s: F.struct(a.alias("a"), b.alias("b"), F.col(s).alias("s"))
+    each = [pair(F.lit(a), F.lit(b), name) for (a, b), name in products.items()]
+    each += [pair(F.lit(n), F.col(f), products["const", n]) for n in numbers for f in FACTORS]
+    each += [pair(F.col(f), F.col(g), products["const", "const"]) for f, g in combinations_with_replacement(FACTORS, 2)]
+    return [tuple(r) for r in cells.select(F.explode(F.array(*each)).alias("e")).groupBy("e.a", "e.b").agg(F.sum("e.s")).collect()]
 
 
 def symmetric(sums: list, names: list[str]) -> np.ndarray:
@@ -45,34 +53,48 @@ def symmetric(sums: list, names: list[str]) -> np.ndarray:
     return out
 
 
+def residuals(rows: DataFrame, levels: dict[str, list[str]], names: list[str], beta: np.ndarray, inverse: np.ndarray) -> DataFrame:
+    """rows with residual e and leverage h. What a level or a pair of levels adds is looked up in broadcast tables with a row for each."""
+    spark, k, at = rows.sparkSession, len(NUMBERS), {n: i for i, n in enumerate(names)}
+    z, part = [F.col(c) for c in NUMBERS], lambda t, u: float(inverse[at[t], at[u]]) if t in at and u in at else 0.0
+    fit = [z[i] * float(beta[i]) for i in range(k)]
+    lever = [z[i] * z[j] * float(inverse[i, j] * (1 + (i < j))) for i, j in combinations_with_replacement(range(k), 2)]
+    for f, own in levels.items():
+        table = [(t, float(beta[at[t]]) if t in at else 0.0, part(t, t), *(2 * part(t, n) for n in NUMBERS)) for t in own]
+        schema = ", ".join([f"{f} string", f"b_{f} double", f"h_{f} double", *(f"h_{f}_{n} double" for n in NUMBERS)])
+        rows = rows.join(F.broadcast(spark.createDataFrame(table, schema)), f)
+        fit.append(F.col(f"b_{f}"))
+        lever += [F.col(f"h_{f}"), *(F.col(f"h_{f}_{n}") * F.col(n) for n in NUMBERS)]
+    for f, g in combinations(levels, 2):
+        table = [(t, u, 2 * part(t, u)) for t in levels[f] for u in levels[g]]
+        rows = rows.join(F.broadcast(spark.createDataFrame(table, f"{f} string, {g} string, h_{f}_{g} double")), [f, g])
+        lever.append(F.col(f"h_{f}_{g}"))
+    total = lambda xs: reduce(add, xs)
+    return rows.withColumn("e", F.col("y") - total(fit)).withColumn("h", total(lever))
+
+
 def least_squares(rows: DataFrame) -> DataFrame:
     """term, estimate, std_error (HC3), z, p_value, n, r2 of y on the terms; the first level of each factor is the base.
 
     Without rows the result is empty. Rows that alone determine a level have a leverage of 1 and a residual of 0; their
     share of the error is 0.
     """
-    spark = rows.sparkSession
-    with_y = rows.withColumn("terms", F.concat("terms", F.array(F.struct(F.lit("y").alias("term"), F.col("y").alias("x")))))
-    sums = [tuple(r) for r in cross(with_y, F.lit(1.0)).collect()]  # one row for each pair of levels
+    spark, rows = rows.sparkSession, rows.select("y", *NUMBERS, *FACTORS)
+    sums = cross(rows, [*NUMBERS, "y"], F.lit(1.0))  # one row for each pair of levels
     schema = "term string, estimate double, std_error double, z double, p_value double, n long, r2 double"
     if not sums:
         return spark.createDataFrame([], schema)
-    levels: dict[str, list[str]] = {}
-    for t in sorted({a for a, _, _ in sums} - {"y"} - set(NUMBERS)):
-        levels.setdefault(t.split("=")[0], []).append(t)
+    levels: dict[str, list[str]] = {f: [] for f in FACTORS}
+    for t in sorted({b for _, b, _ in sums} - {"y"} - set(NUMBERS)):
+        levels[t.split("=")[0]].append(t)
     names = [*NUMBERS, *(t for own in levels.values() for t in own[1:])]
     p, whole = len(names), symmetric(sums, [*names, "y"])
     inverse = np.linalg.pinv(whole[:p, :p], hermitian=True)
     beta = inverse @ whole[:p, p]
     n, y_sum, y_square = whole[0, 0], whole[0, p], whole[p, p]
-    fitted = spark.createDataFrame([({t: i for i, t in enumerate(names)}, inverse.ravel().tolist(), beta.tolist())], "at map<string,int>, inv array<double>, beta array<double>")
-    own = rows.crossJoin(F.broadcast(fitted))  # one row
-    own = own.withColumn("terms", F.expr("filter(transform(terms, t -> struct(t.term AS term, t.x AS x, at[t.term] AS i)), t -> t.i IS NOT NULL)"))
-    residual = F.expr("y - aggregate(terms, 0.0D, (s, t) -> s + t.x * beta[t.i])")
-    leverage = F.expr(f"aggregate(terms, 0.0D, (s, t) -> s + t.x * aggregate(terms, 0.0D, (u, v) -> u + v.x * inv[t.i * {p} + v.i]))")
-    own = own.select("terms", residual.alias("e"), leverage.alias("h"))
+    own = residuals(rows, levels, names, beta, inverse)
     weight = F.when(F.col("h") < 1 - 1e-9, F.pow(F.col("e") / (1 - F.col("h")), 2)).otherwise(0.0)
-    meat = symmetric([tuple(r) for r in cross(own, weight).collect()], names)
+    meat = symmetric(cross(own, [*NUMBERS], weight), names)
     error = np.sqrt(np.clip(np.diag(inverse @ meat @ inverse), 0, None))
     r2 = 1 - (y_square - beta @ whole[:p, p]) / max(y_square - y_sum * y_sum / n, 1e-300)
     out = [(t, float(b), float(s), float(b / s) if s else None, 2 * dist.normal_sf(abs(b / s)) if s else None, int(n), float(r2)) for t, b, s in zip(names, beta, error, strict=True)]
