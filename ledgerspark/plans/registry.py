@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning
-from . import analytics, library, model, regression
+from . import analytics, library, model, regression, seasonal
 
 
 def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,5 +20,5 @@ def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
 
 
 SQL = {**library.SQL, **analytics.SQL}
-QUERIES = {name: _query(sql) for name, sql in SQL.items()} | cleaning.QUERIES | regression.QUERIES
+QUERIES = {name: _query(sql) for name, sql in SQL.items()} | cleaning.QUERIES | regression.QUERIES | seasonal.QUERIES
 ORACLES = {name: model.oracle(sql) for name, sql in SQL.items()} | cleaning.ORACLES

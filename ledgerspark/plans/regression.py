@@ -13,6 +13,7 @@ from itertools import combinations, combinations_with_replacement
 from operator import add
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -53,6 +54,11 @@ def symmetric(sums: list, names: list[str]) -> np.ndarray:
     return out
 
 
+def lookup(spark: SparkSession, names: list[str], rows: list[tuple]) -> DataFrame:
+    """A small table to broadcast; by Arrow, which Spark keeps as a local relation and plans without a job."""
+    return F.broadcast(spark.createDataFrame(pa.table(dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))))
+
+
 def residuals(rows: DataFrame, levels: dict[str, list[str]], names: list[str], beta: np.ndarray, inverse: np.ndarray) -> DataFrame:
     """rows with residual e and leverage h. What a level or a pair of levels adds is looked up in broadcast tables with a row for each."""
     spark, k, at = rows.sparkSession, len(NUMBERS), {n: i for i, n in enumerate(names)}
@@ -61,13 +67,12 @@ def residuals(rows: DataFrame, levels: dict[str, list[str]], names: list[str], b
     lever = [z[i] * z[j] * float(inverse[i, j] * (1 + (i < j))) for i, j in combinations_with_replacement(range(k), 2)]
     for f, own in levels.items():
         table = [(t, float(beta[at[t]]) if t in at else 0.0, part(t, t), *(2 * part(t, n) for n in NUMBERS)) for t in own]
-        schema = ", ".join([f"{f} string", f"b_{f} double", f"h_{f} double", *(f"h_{f}_{n} double" for n in NUMBERS)])
-        rows = rows.join(F.broadcast(spark.createDataFrame(table, schema)), f)
+        rows = rows.join(lookup(spark, [f, f"b_{f}", f"h_{f}", *(f"h_{f}_{n}" for n in NUMBERS)], table), f)
         fit.append(F.col(f"b_{f}"))
         lever += [F.col(f"h_{f}"), *(F.col(f"h_{f}_{n}") * F.col(n) for n in NUMBERS)]
     for f, g in combinations(levels, 2):
         table = [(t, u, 2 * part(t, u)) for t in levels[f] for u in levels[g]]
-        rows = rows.join(F.broadcast(spark.createDataFrame(table, f"{f} string, {g} string, h_{f}_{g} double")), [f, g])
+        rows = rows.join(lookup(spark, [f, g, f"h_{f}_{g}"], table), [f, g])
         lever.append(F.col(f"h_{f}_{g}"))
     total = lambda xs: reduce(add, xs)
     return rows.withColumn("e", F.col("y") - total(fit)).withColumn("h", total(lever))
