@@ -2,7 +2,8 @@
 
 A word's input is a hashed-word vector plus the mean of its hashed character (UTF-8 byte) trigram vectors. Texts are cut into
 windows of WINDOW words (runs of one word count once) that overlap by half (the last one ends with the text), every window is scored, and a text's
-score is that of its most toxic window. Training is on at most about 3 x PER_CLASS labelled rows outside the held-out
+score is that of its most toxic window. A run without white space of more than LONG bytes (scripts written without spaces, words
+joined by commas or slashes) is no single word: it is split after punctuation, and what is still long into overlapping pieces. Training is on at most about 3 x PER_CLASS labelled rows outside the held-out
 fold, from at most TRAIN_WINDOWS windows of each, in two rounds: after the first, windows of toxic texts that the
 network finds clean, while it finds another of the same text toxic, count as clean.
 
@@ -12,9 +13,11 @@ nothing; without labelled rows of both classes every score is 0; repeated rows a
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from array import array
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pandas as pd
@@ -38,6 +41,8 @@ AT_ONCE = 4096
 KEPT_WORDS = 150_000
 #: Words whose inputs are computed at a time.
 WORDS_AT_ONCE = 20_000
+#: Runs of more bytes than this are split; pieces of what punctuation leaves long have PIECE characters and overlap by half.
+LONG, PIECE = 38, 12
 _EDGES = ".,;:!?|#$%&*\"'()[]{}<>-_=+/0123456789"
 
 
@@ -45,7 +50,34 @@ def features(word: str) -> tuple[int, array]:
     """Hashed ids of a word and of its character trigrams, without case or outer punctuation."""
     w = word.lower().strip(_EDGES) or word
     raw = f"<{w}>".encode()
-    return 1 + zlib.crc32(raw) % (WORDS - 1), array("H", [zlib.crc32(raw[i : i + 3]) % GRAMS for i in range(min(len(raw), 40) - 2)])
+    return 1 + zlib.crc32(raw) % (WORDS - 1), array("H", [zlib.crc32(raw[i : i + 3]) % GRAMS for i in range(len(raw) - 2)])
+
+
+@cache
+def separates(c: str) -> bool:
+    return unicodedata.category(c)[0] in "PSZ"
+
+
+def pieces(run: str) -> list[str]:
+    """A long run: split after punctuation, then into overlapping pieces; every character is in one of them at least."""
+    cuts = [0, *(i for i in range(1, len(run)) if separates(run[i - 1]) and not separates(run[i])), len(run)]
+    out = []
+    for lo, hi in zip(cuts, cuts[1:], strict=False):
+        if hi - lo <= PIECE or len(run[lo:hi].encode()) <= LONG:
+            out.append(run[lo:hi])
+        else:
+            out += [run[k : k + PIECE] for k in range(lo, hi - PIECE, PIECE // 2)] + [run[hi - PIECE : hi]]
+    return out
+
+
+def words(text: str) -> list[str]:
+    out = []
+    for w in text.split():
+        if 4 * len(w) > LONG and len(w.encode()) > LONG:
+            out += pieces(w)
+        else:
+            out.append(w)
+    return out
 
 
 def starts(n: int) -> list[int]:
@@ -215,7 +247,7 @@ class Network:
             vocabulary, gates = self.kept
             ids, owner, total = [], [], 0
             while at < len(texts) and total < AT_ONCE * 4:
-                code = vocabulary.encode(texts[at].split())
+                code = vocabulary.encode(words(texts[at]))
                 s = np.array(starts(len(code)))
                 code = np.pad(code, (0, max(0, WINDOW - len(code))))
                 ids.append(code[s[:, None] + np.arange(WINDOW)])
@@ -244,7 +276,7 @@ def learn(texts: list[str], y: np.ndarray) -> Network:
     vocabulary, rows, owner, rng = Vocabulary(), [], [], np.random.default_rng(SEED)
     seen = {"word": np.zeros((2, WORDS)), "gram": np.zeros((2, GRAMS))}  # sample texts of either class that have it
     for i in np.flatnonzero(~dev):
-        code = vocabulary.encode(texts[i].split())
+        code = vocabulary.encode(words(texts[i]))
         own = set(code.tolist())
         seen["word"][y[i], list({vocabulary.word[w] for w in own})] += 1
         seen["gram"][y[i], list({g for w in own for g in vocabulary.grams[w]})] += 1

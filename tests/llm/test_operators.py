@@ -209,3 +209,23 @@ def test_held_out_rows_are_never_learned_from(spark):
     labels = spark.createDataFrame([(i, i % 2) for i in range(200)], "doc_id long, toxic int")
     got = sampling.labelled(own, labels, "toxic", 1000)
     assert got.filter(sampling.held_out(F.col("doc_id"))).count() == 0 and got.count() > 100
+
+
+def test_toxicity_reads_the_whole_of_long_runs():
+    rng = random.Random(4)
+    for run in ("x" * 100, "aé日🙂" * 40, ",".join(WORDS), "_".join(WORDS), "=" * 90, "日本語、テキスト" * 30, "".join(WORDS)):
+        at, parts = 0, toxicity.pieces(run)
+        for p in parts:
+            found = run.rfind(p, 0, at + len(p))
+            assert 0 <= found <= at, "a piece starts past the last one's end"
+            at = max(at, found + len(p))
+        assert at == len(run) and all(len(p.encode()) <= 4 * toxicity.LONG for p in parts)
+    assert toxicity.words("a b,c " + "/".join(WORDS[:20])) == ["a", "b,c", *(w + "/" for w in WORDS[:19]), WORDS[19]]
+    raw = ("<" + "ab" * 30 + "cd>").encode()
+    assert len(toxicity.features("ab" * 30 + "cd")[1]) == len(raw) - 2
+    texts = [" ".join(rng.choice(WORDS) for _ in range(40)) + (" vile wretch " * 2 if i % 3 == 0 else " ") + " ".join(rng.choice(WORDS) for _ in range(20)) for i in range(600)]
+    net = toxicity.learn(texts, np.array([int(i % 3 == 0) for i in range(600)]))
+    for sep in (",", "_", "/"):
+        clean, toxic = sep.join(WORDS[:60]), sep.join([*WORDS[:30], "vile", "wretch", "vile", "wretch", *WORDS[30:60]])
+        a, b = net.score_texts([clean, toxic]) - net.shift
+        assert a < 0 < b
