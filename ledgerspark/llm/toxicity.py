@@ -28,7 +28,9 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 from .sampling import held_out, labelled
 
-PER_CLASS, TRAIN_WINDOWS, THRESHOLD, CLEAN_LOSS = 1_500, 6, 0.5, 0.01
+PER_CLASS, TRAIN_WINDOWS, THRESHOLD = 1_500, 6, 0.5
+#: The threshold is chosen on scores of networks fitted without the row's fold, for this share of toxic texts and loss of clean ones.
+FOLDS, TOXIC_SHARE, CLEAN_LOSS = 3, 0.1, 0.05
 WINDOW, STEP = 32, 16
 HIDDEN, EMBED, WORDS, GRAMS = 8, 8, 1 << 14, 1 << 11
 EPOCHS, BATCH, RATE, SEED = (6, 4), 256, 0.01, 11
@@ -265,17 +267,14 @@ class Network:
         return out
 
 
-def learn(texts: list[str], y: np.ndarray) -> Network:
-    """A network fitted to three quarters of a bounded sample, its scores shifted so that 0.5 is where F1 is best on the rest, or higher if clean texts would suffer."""
+def fitted(texts: list[str], y: np.ndarray) -> Network:
+    """A network fitted to a bounded sample, its scores not shifted yet; untrained if a class lacks."""
     net = Network()
     if not len(y) or y.min() == y.max():
         return net
-    dev = np.arange(len(y)) % 4 == 3
-    if len(np.unique(y[~dev])) < 2:
-        dev[:] = False
     vocabulary, rows, owner, rng = Vocabulary(), [], [], np.random.default_rng(SEED)
     seen = {"word": np.zeros((2, WORDS)), "gram": np.zeros((2, GRAMS))}  # sample texts of either class that have it
-    for i in np.flatnonzero(~dev):
+    for i in range(len(y)):
         code = vocabulary.encode(words(texts[i]))
         own = set(code.tolist())
         seen["word"][y[i], list({vocabulary.word[w] for w in own})] += 1
@@ -285,10 +284,10 @@ def learn(texts: list[str], y: np.ndarray) -> Network:
         code = np.pad(code, (0, max(0, WINDOW - len(code))))
         rows.append(code[s[:, None] + np.arange(WINDOW)])
         owner += [i] * len(s)
-    net.common = seen["word"].sum(axis=0) >= min(SEEN_IN, max(5, np.count_nonzero(~dev) // 100))
+    net.common = seen["word"].sum(axis=0) >= min(SEEN_IN, max(5, len(y) // 100))
     net.common[0] = False
     for k, (neg, pos) in seen.items():  # the vectors' first number starts as a shrunken log-odds ratio
-        odds = np.log((pos + 0.5) / (y[~dev].sum() + 1)) - np.log((neg + 0.5) / ((1 - y[~dev]).sum() + 1))
+        odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
         net.p[k][:, 0] = np.sign(odds) * np.maximum(0, np.abs(odds) - 1) * (pos + neg) / (pos + neg + 8) / 2
     net.p["word"][~net.common] = 0
     at, owner = np.concatenate(rows), np.array(owner)
@@ -301,24 +300,63 @@ def learn(texts: list[str], y: np.ndarray) -> Network:
             best = np.zeros(len(y))
             np.maximum.at(best, owner, p)
             target = np.where((y[owner] > 0) & (p < 0.35) & (best[owner] > 0.5), 0, y[owner]).astype(np.float32)
-    judged = np.flatnonzero(dev) if len(np.unique(y[dev])) > 1 else np.arange(len(y))
-    net.kept = None
-    logit, truth = net.score_texts([texts[i] for i in judged]), y[judged]
-    net.kept = None
+    return net
+
+
+def folds(texts: list[str], y: np.ndarray) -> np.ndarray:
+    """The fold of each row: the distinct texts of either class are dealt out evenly, equal texts together."""
+    order = {t: None for _, _, t in sorted((int(c), zlib.crc32(t.encode()), t) for t, c in zip(texts, y, strict=True))}
+    at = {t: i % FOLDS for i, t in enumerate(order)}
+    return np.array([at[t] for t in texts], int)
+
+
+def unseen(texts: list[str], y: np.ndarray, k: int) -> np.ndarray:
+    """Logits of the rows of fold k by a network that is fitted to the other folds; zeros if those lack a class."""
+    own = folds(texts, y) == k
+    net = fitted([t for t, o in zip(texts, own, strict=True) if not o], y[~own])
+    return net.score_texts([t for t, o in zip(texts, own, strict=True) if o]) if net.trained else np.zeros(own.sum(), np.float32)
+
+
+def best_cut(logit: np.ndarray, truth: np.ndarray) -> float:
+    """The logit above which F1 is best at TOXIC_SHARE of toxic texts, of those that at most CLEAN_LOSS of the clean ones exceed.
+
+    It depends on the rates of either class only, so neither on the number of rows nor on their shares.
+    """
     order = np.argsort(-logit, kind="stable")
-    hits = np.cumsum(truth[order])
-    f1 = 2 * hits / (np.arange(1, len(truth) + 1) + truth.sum())
-    best = np.flatnonzero(f1 >= f1.max() - 1e-9)
-    lo, hi = logit[order[min(best[-1] + 1, len(truth) - 1)]], logit[order[best[0]]]
-    # Clean texts come first: at most CLEAN_LOSS of them may score above, with a margin where few of them are known.
-    rest = logit[truth == 0]
-    net.shift = float(max((lo + hi) / 2, np.quantile(rest, 1 - CLEAN_LOSS) + 3 * rest.std() / np.sqrt(len(rest))))
+    hit = np.cumsum(truth[order]) / truth.sum()
+    lost = np.cumsum(1 - truth[order]) / (1 - truth).sum()
+    f1 = 2 * hit * TOXIC_SHARE / (hit * TOXIC_SHARE + lost * (1 - TOXIC_SHARE) + TOXIC_SHARE)
+    after = np.r_[logit[order[1:]], -np.inf]
+    allowed = np.flatnonzero((lost <= CLEAN_LOSS) & (logit[order] > after))
+    if not len(allowed):  # clean texts lead, and one of them is more than the share
+        return float(logit.max()) + 1e-3
+    best = allowed[np.argmax(f1[allowed])]
+    return float((logit[order[best]] + after[best]) / 2) if np.isfinite(after[best]) else float(logit.min())
+
+
+def learn(texts: list[str], y: np.ndarray, run=map) -> Network:
+    """A network fitted to a bounded sample. Its scores are shifted so that 0.5 is where F1 is best for the sample's rows, each scored by a network that has not seen it."""
+    net = fitted(texts, y)
+    if net.trained:
+        fold = folds(texts, y)
+        logit = np.zeros(len(y), np.float32)
+        for k, own in enumerate(run(lambda k: unseen(texts, y, k), range(FOLDS))):
+            logit[fold == k] = own
+        net.shift, net.kept = best_cut(logit, y), None
     return net
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Network:
     sample = labelled(docs, labels, "toxic", PER_CLASS, 2).select("doc_id", "text", "y").toPandas().sort_values("doc_id")
-    return learn(sample["text"].tolist(), sample["y"].to_numpy())
+    sc = docs.sparkSession.sparkContext
+    texts, y = sample["text"].tolist(), sample["y"].to_numpy()
+    held = sc.broadcast((texts, y))
+
+    def in_tasks(_, ks) -> list[np.ndarray]:
+        """One task for each fold, so that the driver fits one network only."""
+        return sc.parallelize(ks, len(ks)).map(lambda k: unseen(*held.value, k)).collect()
+
+    return learn(texts, y, in_tasks)
 
 
 def score(docs: DataFrame, net: Network) -> DataFrame:

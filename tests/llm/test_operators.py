@@ -229,3 +229,16 @@ def test_toxicity_reads_the_whole_of_long_runs():
         clean, toxic = sep.join(WORDS[:60]), sep.join([*WORDS[:30], "vile", "wretch", "vile", "wretch", *WORDS[30:60]])
         a, b = net.score_texts([clean, toxic]) - net.shift
         assert a < 0 < b
+
+
+def test_toxicity_threshold_does_not_move_with_the_sample():
+    rng = np.random.default_rng(2)
+    logit, truth = np.r_[rng.normal(0, 1, 60), rng.normal(2.5, 1, 20)], np.repeat([0, 1], [60, 20])
+    cut = toxicity.best_cut(logit, truth)
+    for zeros, ones in ((7, 7), (30, 1), (1, 30)):  # more rows, other shares
+        assert toxicity.best_cut(*(np.concatenate([np.tile(a[truth == 0], zeros), np.tile(a[truth == 1], ones)]) for a in (logit, truth))) == pytest.approx(cut)
+    assert (logit[truth == 0] >= cut).mean() <= toxicity.CLEAN_LOSS and (logit[truth == 1] >= cut).mean() > 0.5
+    texts = [say(5) for _ in range(40)] * 2
+    y = np.arange(80) % 4 // 3
+    fold = toxicity.folds(texts, y)
+    assert all(len(set(fold[[i, i + 40]])) == 1 for i in range(40)) and all(0 < y[fold == k].sum() < 10 for k in range(toxicity.FOLDS))

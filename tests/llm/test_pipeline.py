@@ -60,3 +60,18 @@ def test_stages(spark, tmp_path):
             for r in docs.collect():
                 assert r.ids_sha256 == hashlib.sha256(np.array(lib.encode(before[r.doc_id], add_special_tokens=False).ids, "<u4").tobytes()).hexdigest()
     assert len(kept[4]) == corpus_pipeline.run(spark, D).count()
+
+
+def test_toxic_documents_go(spark, tmp_path):
+    """The toxicity stage on documents with planted passages, from few labels and from more."""
+    rng = np.random.default_rng(5)
+    pool = ["".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(2, 8))) for _ in range(300)]
+    for n in (200, 800):
+        rows = [(i, " ".join([*rng.choice(pool, 60), *(["vile", "wretch"] * (i % 5 == 0)), *rng.choice(pool, 30)])) for i in range(n)]
+        at = str(tmp_path / str(n))
+        spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{at}/documents.parquet")
+        spark.createDataFrame([(i, int(i % 5 == 0)) for i in range(0, n) if i % 2 or i % 10 == 0], "doc_id long, toxic int").write.parquet(f"{at}/labels.parquet")
+        kept = {r.doc_id for r in corpus_pipeline.STAGES[0][1](spark, spark.read.parquet(f"{at}/documents.parquet"), at).collect()}
+        toxic, clean = range(0, n, 5), [i for i in range(n) if i % 5]
+        assert sum(i in kept for i in toxic) <= 0.2 * len(toxic), n
+        assert sum(i in kept for i in clean) >= 0.9 * len(clean), n
