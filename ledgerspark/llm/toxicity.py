@@ -3,9 +3,10 @@
 A word's input is a hashed-word vector plus the mean of its hashed character (UTF-8 byte) trigram vectors. Texts are cut into
 windows of WINDOW words (runs of one word count once) that overlap by half (the last one ends with the text), every window is scored, and a text's
 score is that of its most toxic window. A run without white space of more than LONG bytes (scripts written without spaces, words
-joined by commas or slashes) is no single word: it is split after punctuation, and what is still long into overlapping pieces. Training is on at most about 3 x PER_CLASS labelled rows outside the held-out
-fold, from at most TRAIN_WINDOWS windows of each, in two rounds: after the first, windows of toxic texts that the
-network finds clean, while it finds another of the same text toxic, count as clean.
+joined by commas or slashes) is no single word: it is split after punctuation, and what is still long into overlapping pieces.
+Training is on at most about 3 x PER_CLASS labelled rows outside the held-out fold, and looks at all their windows: in each of
+TURNS turns every window is scored (first by its words' log-odds), and the text's label falls on its most toxic window (for
+clean texts on the WORST most toxic ones).
 
 Defined cases: null, empty and blank texts have one window of padding only, which scores as the network scores
 nothing; without labelled rows of both classes every score is 0; repeated rows are scored each.
@@ -28,12 +29,12 @@ from pyspark.sql import functions as F
 from .common import small_batches, table
 from .sampling import held_out, labelled
 
-PER_CLASS, TRAIN_WINDOWS, THRESHOLD = 1_500, 6, 0.5
+PER_CLASS, THRESHOLD = 1_500, 0.5
 #: The threshold is chosen on scores of networks fitted without the row's fold, for this share of toxic texts and loss of clean ones.
 FOLDS, TOXIC_SHARE, CLEAN_LOSS = 3, 0.1, 0.05
 WINDOW, STEP = 32, 16
 HIDDEN, EMBED, WORDS, GRAMS = 8, 8, 1 << 14, 1 << 11
-EPOCHS, BATCH, RATE, SEED = (6, 4), 256, 0.01, 11
+TURNS, EPOCHS, WORST, BATCH, STEPS, RATE, SEED = 3, 4, 2, 256, 16, 0.01, 11
 #: Words of fewer sample texts than this have no vector of their own (only their trigrams'), so none is learned by heart;
 #: a hundredth of the sample where that is less, five at least.
 SEEN_IN = 8
@@ -227,7 +228,7 @@ class Network:
         weight = np.where(y > 0, 0.5 / max(1e-6, y.mean()), 0.5 / max(1e-6, 1 - y.mean()))
         weight = np.sqrt(weight)
         for _ in range(epochs):
-            for pick in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH)):
+            for pick in np.array_split(rng.permutation(len(y)), max(1, len(y) // BATCH, min(STEPS, len(y) // 16))):
                 own, local = np.unique(at[pick], return_inverse=True)
                 if own[0] != 0:
                     own, local = np.r_[0, own], local + 1
@@ -272,7 +273,7 @@ def fitted(texts: list[str], y: np.ndarray) -> Network:
     net = Network()
     if not len(y) or y.min() == y.max():
         return net
-    vocabulary, rows, owner, rng = Vocabulary(), [], [], np.random.default_rng(SEED)
+    vocabulary, rows, owner = Vocabulary(), [], []
     seen = {"word": np.zeros((2, WORDS)), "gram": np.zeros((2, GRAMS))}  # sample texts of either class that have it
     for i in range(len(y)):
         code = vocabulary.encode(words(texts[i]))
@@ -280,7 +281,6 @@ def fitted(texts: list[str], y: np.ndarray) -> Network:
         seen["word"][y[i], list({vocabulary.word[w] for w in own})] += 1
         seen["gram"][y[i], list({g for w in own for g in vocabulary.grams[w]})] += 1
         s = np.array(starts(len(code)))
-        s = s if len(s) <= TRAIN_WINDOWS else np.sort(rng.choice(s, TRAIN_WINDOWS, replace=False))
         code = np.pad(code, (0, max(0, WINDOW - len(code))))
         rows.append(code[s[:, None] + np.arange(WINDOW)])
         owner += [i] * len(s)
@@ -290,16 +290,17 @@ def fitted(texts: list[str], y: np.ndarray) -> Network:
         odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
         net.p[k][:, 0] = np.sign(odds) * np.maximum(0, np.abs(odds) - 1) * (pos + neg) / (pos + neg + 8) / 2
     net.p["word"][~net.common] = 0
-    at, owner = np.concatenate(rows), np.array(owner)
-    target, state = y[owner].astype(np.float32), {}
-    for turn, epochs in enumerate(EPOCHS):
-        net.train(at, target, vocabulary, epochs, state)
-        if turn + 1 < len(EPOCHS):
+    at, owner, state = np.concatenate(rows), np.array(owner), {}
+    first = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]])
+    place = np.maximum(0, net.p["word"][vocabulary.word, 0])[at].sum(axis=1)
+    for turn in range(TURNS):
+        if turn:
             gates = net.word_gates(vocabulary)
-            p = np.concatenate([sigmoid(net.logits(gates, at[k : k + AT_ONCE].T)) for k in range(0, len(at), AT_ONCE)])
-            best = np.zeros(len(y))
-            np.maximum.at(best, owner, p)
-            target = np.where((y[owner] > 0) & (p < 0.35) & (best[owner] > 0.5), 0, y[owner]).astype(np.float32)
+            place = np.concatenate([net.logits(gates, np.ascontiguousarray(at[k : k + AT_ONCE].T)) for k in range(0, len(at), AT_ONCE)])
+        nth = np.empty(len(at), int)  # rank of each window in its text, the most toxic first
+        nth[np.lexsort((-place, owner))] = np.arange(len(at)) - np.repeat(first, np.diff(np.r_[first, len(at)]))
+        pick = np.flatnonzero(nth < np.where(y[owner] > 0, 1, WORST))
+        net.train(at[pick], y[owner[pick]].astype(np.float32), vocabulary, EPOCHS, state)
     return net
 
 

@@ -242,3 +242,17 @@ def test_toxicity_threshold_does_not_move_with_the_sample():
     y = np.arange(80) % 4 // 3
     fold = toxicity.folds(texts, y)
     assert all(len(set(fold[[i, i + 40]])) == 1 for i in range(40)) and all(0 < y[fold == k].sum() < 10 for k in range(toxicity.FOLDS))
+
+
+def test_toxicity_learns_from_every_window(monkeypatch):
+    rng = random.Random(6)
+    texts = [" ".join([*(rng.choice(WORDS) for _ in range(rng.randint(300, 900))), *["vile", "wretch"] * (i % 4 == 0), *(rng.choice(WORDS) for _ in range(300))]) for i in range(240)]
+    y = np.array([int(i % 4 == 0) for i in range(240)])
+    met, train = [], toxicity.Network.train
+    monkeypatch.setattr(toxicity.Network, "train", lambda net, at, y, vocabulary, *rest: (met.append((at, y, vocabulary)), train(net, at, y, vocabulary, *rest)))
+    net = toxicity.learn(texts[:160], y[:160])
+    for at, label, vocabulary in met[: toxicity.TURNS]:  # windows called toxic hold the passage
+        ids = [vocabulary.ids["vile"], vocabulary.ids["wretch"]]
+        assert np.isin(at[label > 0], ids).any(axis=1).mean() > 0.9
+    logit = net.score_texts(texts[160:]) - net.shift
+    assert (logit[y[160:] == 1] >= 0).mean() >= 0.9 and (logit[y[160:] == 0] < 0).mean() >= 0.9
