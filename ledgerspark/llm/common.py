@@ -47,6 +47,19 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def identified(docs: DataFrame, below: bool = False) -> tuple[DataFrame, list[str]]:
+    """docs with an id in every row, and what to select to get docs' own columns back.
+
+    Joins on doc_id lose rows without one, so each such row gets an id of its own, above all others or below them.
+    """
+    lo, hi, n, known = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count("doc_id")).first()
+    if n == known:
+        return docs, docs.columns
+    own = F.monotonically_increasing_id()
+    own = F.lit((lo or 0) - 1) - own if below else F.lit((hi or 0) + 1) + own
+    return cut(docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text", F.struct("*").alias("row"))), ["row.*"]
+
+
 def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
     """left JOIN right ON key, where right has one row for each key and its number of left rows in weight.
 

@@ -17,7 +17,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table, words
+from .common import cut, identified, table, words
 
 SHINGLE, THRESHOLD = 5, 0.8
 #: Signatures and item shingles go out by broadcast up to this many rows (of some 100 bytes); beyond, by a shuffled join.
@@ -71,7 +71,8 @@ def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     """docs without the documents that contain an item."""
-    return docs.join(contained(docs, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*docs.columns)
+    rows, columns = identified(docs)
+    return rows.join(contained(rows, items).select("doc_id").distinct(), "doc_id", "left_anti").select(*columns)
 
 
 def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

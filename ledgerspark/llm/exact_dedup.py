@@ -5,8 +5,9 @@ aggregation before the shuffle, so copies of one text never travel one by one),
 sort-merge on the bucketing key, and what is new is appended. Texts count as equal when their bytes are the same.
 
 Defined cases: a null text equals an empty one; of equal texts in a batch the row with the largest doc_id stays; a
-text that the index already holds from an earlier batch is dropped; repeated doc_ids are kept as rows; an empty
-batch appends nothing; other columns pass through untouched whatever their names.
+text that the index already holds from an earlier batch is dropped; repeated doc_ids are kept as rows; rows without a
+doc_id give way to those with one (keep_first keeps one of them where a text has no other); an empty batch
+appends nothing; other columns pass through untouched whatever their names.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import join_hot, partitions, table
+from .common import identified, join_hot, partitions, table
 
 DIGEST = "text_sha256"
 
@@ -72,9 +73,10 @@ def label(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
+    rows, columns = identified(docs, below=True)
     index = fresh_index(docs.sparkSession)
-    index.append(digests(docs))
-    return docs.join(index.rows().select(F.col("keep_id").alias("doc_id")), "doc_id", "left_semi").select(*docs.columns)
+    index.append(digests(rows))
+    return rows.join(index.rows().select(F.col("keep_id").alias("doc_id")), "doc_id", "left_semi").select(*columns)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,7 @@ n_shards rows here.
 
 Law: `rows`. Shard counts differ by one at most; slots are gapless from 0 in each shard; grown_shard is null.
 Defined cases: a null text has size 8 and CRC 0 and is linked with empty texts; an empty table gives an empty result;
-doc_ids are taken as unique (repeated ones get slots in an undefined order among themselves).
+rows that repeat a doc_id, or have none, are rows like any other (copies get slots in an undefined order among themselves).
 """
 
 from __future__ import annotations
@@ -52,11 +52,14 @@ def propagate(docs: DataFrame, n_shards: int, rounds: int) -> DataFrame:
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
-    """doc_id, link, shard, slot for docs (doc_id, link), balanced by rows."""
+    """doc_id, link, other columns, shard, slot for docs (doc_id, link and others that are carried along), balanced by rows."""
     spark = docs.sparkSession
-    own = cut(docs.select("doc_id", "link", F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("start")))
+    taken = {"start", "shard", "size", "n", "c1", "c2", "c3", "r", "before", "rank", "quota", "nth", "slot"}
+    assert not taken & set(docs.columns), "a column's name is used inside"
+    columns = ["doc_id", "link", *(c for c in docs.columns if c not in ("doc_id", "link"))]
+    own = cut(docs.select(*columns, F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("start")))
     blocks = propagate(own, n_shards, rounds)
-    placed = own.join(blocks, ["link", "start"], "left").select("doc_id", "link", F.coalesce("shard", "start").alias("shard"), F.coalesce("size", F.lit(1)).alias("size"))
+    placed = own.join(blocks, ["link", "start"], "left").select(*columns, F.coalesce("shard", "start").alias("shard"), F.coalesce("size", F.lit(1)).alias("size"))
     # Rank within a shard in two levels: cells, whose counts are summed up in order, and rows within a cell. Large links are
     # dealt over cells by doc_id, so a cell stays small whatever the data.
     cells = max(64, partitions(spark))
@@ -67,7 +70,7 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Data
         large.alias("c3"),
     ]
     by = ["shard", "c1", "c2", "c3"]
-    placed = cut(placed.select("doc_id", "link", "shard", *key))
+    placed = cut(placed.select(*columns, "shard", *key))
     counts = placed.groupBy(*by).agg(F.count("*").alias("n"))
     before = counts.withColumn("before", F.sum("n").over(W.partitionBy("shard").orderBy("c1", "c2", "c3").rowsBetween(W.unboundedPreceding, -1)))
     ranked = placed.withColumn("r", F.row_number().over(W.partitionBy(*by).orderBy("link", "doc_id")) - 1)
@@ -92,13 +95,13 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     for lo, hi, s, have in holes:
         there = (F.col("rank") >= F.col("quota")) & (F.col("nth") >= lo) & (F.col("nth") < hi)
         to, slot = F.when(there, F.lit(s)).otherwise(to), F.when(there, F.col("nth") - lo + have).otherwise(slot)
-    return ranked.select("doc_id", "link", to.cast("int").alias("shard"), slot.cast("long").alias("slot"))
+    return ranked.select(*columns, to.cast("int").alias("shard"), slot.cast("long").alias("slot"))
 
 
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents", "doc_id", "text")
     text = F.coalesce("text", F.lit(""))
-    facts = cut(docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text.cast("binary"), 256).alias("link")))
-    return facts.join(shard(facts), ["doc_id", "link"]).select(
-        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
+    facts = docs.select("doc_id", (F.octet_length(text) + 8).cast("long").alias("bytes"), F.crc32(text.cast("binary")).alias("text_crc32"), F.sha2(text.cast("binary"), 256).alias("link"))
+    return shard(facts).select(
+        "doc_id", F.col("bytes").alias("size"), "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )

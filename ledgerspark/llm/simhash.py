@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import components, cut, join_hot, small_batches, table
+from .common import components, cut, identified, join_hot, small_batches, table
 
 BITS, RADIUS, SHINGLE = 64, 3, 3
 #: Keys of more fingerprints than this are looked up with a byte of the other segment.
@@ -95,9 +95,10 @@ def classes(docs: DataFrame) -> DataFrame:
 
 
 def keep_first(docs: DataFrame) -> DataFrame:
-    """One document of each component: the one with the smallest doc_id."""
-    stays = classes(docs.select("doc_id", "text")).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
-    return docs.join(stays, "doc_id", "left_semi").select(*docs.columns)
+    """One document of each component: the one with the smallest doc_id; rows without one give way to those with one."""
+    rows, columns = identified(docs)
+    stays = classes(rows.select("doc_id", "text")).filter(F.col("doc_id") == F.col("component_id")).select("doc_id")
+    return rows.join(stays, "doc_id", "left_semi").select(*columns)
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -256,3 +256,33 @@ def test_toxicity_learns_from_every_window(monkeypatch):
         assert np.isin(at[label > 0], ids).any(axis=1).mean() > 0.9
     logit = net.score_texts(texts[160:]) - net.shift
     assert (logit[y[160:] == 1] >= 0).mean() >= 0.9 and (logit[y[160:] == 0] < 0).mean() >= 0.9
+
+
+def test_repeated_rows_and_rows_without_an_id(spark, tmp_path):
+    base = say(80)
+    rows = [(1, "a"), (1, "a"), (1, "a"), (2, "a"), (2, "b"), (None, "a"), (None, "c"), (None, "c"), (None, None), (None, base), (None, base + " x"), (7, base)] + [(i, say(9)) for i in range(20, 90)]
+    rows = [(i, t, n) for n, (i, t) in enumerate(rows)]
+    own = spark.createDataFrame(rows, "doc_id long, text string, n long").repartition(3)
+    own.write.parquet(str(tmp_path / "documents.parquet"))
+    got = sharding.op3_sharding(spark, str(tmp_path)).collect()
+    by = {}
+    for r in got:
+        by.setdefault(r.shard, []).append(r.slot)
+    assert len(got) == len(rows) and all(sorted(s) == list(range(len(s))) for s in by.values())
+    assert max(map(len, by.values())) - min(len(by.get(s, ())) for s in range(sharding.SHARDS)) <= 1
+    facts = sorted((-1 if i is None else i, len((t or "").encode()) + 8) for i, t, _ in rows)
+    assert sorted((-1 if r.doc_id is None else r.doc_id, r.size) for r in got) == facts
+    once = own.filter("n NOT IN (1, 2, 4)")  # ids that are there are unique
+    left = exact_dedup.keep_first(once)
+    kept = left.collect()
+    assert left.columns == own.columns and len(kept) == len({r.text or "" for r in kept}) == len({t or "" for _, t, n in rows if n not in (1, 2, 4)})
+    assert {(r.doc_id, r.text) for r in kept} >= {(2, "a"), (7, base), (None, "c"), (None, None)}
+    left = simhash.keep_first(once)
+    kept = left.collect()
+    fp = {n: slow_fingerprint(t) for _, t, n in rows}
+    assert left.columns == own.columns and sum(r.doc_id is None for r in kept) >= 1
+    assert all((fp[r.n] ^ fp[q.n]).bit_count() > 3 for r in kept for q in kept if r.n < q.n)
+    assert all(any((fp[n] ^ fp[r.n]).bit_count() <= 3 for r in kept) for _, _, n in rows if n not in (1, 2, 4))
+    bench = spark.createDataFrame([(1, " ".join(base.split()[:30]))], "item_id long, text string")
+    left = decontaminate.remove_contaminated(once, bench)
+    assert left.columns == own.columns and {r.n for r in left.collect()} == {n for _, t, n in rows if n not in (1, 2, 4) and not (t or "").startswith(base)}
