@@ -8,7 +8,10 @@ It learns from pages that are composed here (articles in many kinds of surroundi
 from at most SAMPLE pages of the input, whose labels come from HTML's own sectioning elements where they have any.
 
 Defined cases: null and empty html, and pages without main text, give an empty text; markup that is cut off or not
-closed is read as browsers do, roughly: a new paragraph ends an open one; repeated rows are extracted each.
+closed is read as browsers do, roughly: a new paragraph ends an open one. Only script, style, title and textarea run on
+to their end tag or the end of input. What stands in other UNSHOWN elements is left out if they are closed by their own end
+tag; if the end tag is missing, they end with the element around them, and their blocks are labelled like any other. A
+button's own words are left out, blocks inside it are labelled; an option ends at the next one or at any block. Repeated rows are extracted each.
 """
 
 from __future__ import annotations
@@ -33,7 +36,8 @@ TOGETHER = 256
 
 #: HTML's elements by kind, fixed values.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style title textarea noscript template iframe svg select option button".split())
+RAW = frozenset("script style title textarea".split())
+UNSHOWN = frozenset("noscript template iframe svg select option button".split())
 BLOCK = frozenset(
     "address article aside blockquote body br center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "head header hr html li main menu nav ol p pre search section summary table tbody td tfoot th thead tr ul".split()
@@ -50,6 +54,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     """(text, path, share of its characters in links) of each leaf block, in page order."""
     out, stack, text, linked, total = [], [], [], 0, 0
     path: tuple[str, ...] = ()
+    marks = []  # of each UNSHOWN element in the stack: its place there, and what had been read before it
 
     def flush():
         nonlocal text, linked, total
@@ -59,9 +64,23 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
                 out.append((whole, path, linked / max(1, total)))
         text, linked, total = [], 0, 0
 
-    def pop_to(k: int):
+    def undo(mark):
+        nonlocal text, linked, total, path
+        _, blocks_before, text, words_before, linked, total, path = mark
+        del out[blocks_before:], text[words_before:]
+
+    def pop_to(k: int, own_end: bool = False):
+        """Close all from place k on; own_end: by the end tag of the element at k."""
+        while marks and marks[-1][0] >= k:
+            mark = marks.pop()
+            tag = stack[mark[0]][0]
+            if tag == "option" or own_end and mark[0] == k and (tag != "button" or mark[1] == len(out) and mark[2] is text):
+                undo(mark)
         del stack[k:]
 
+    def last(tag: str, least: int = 0) -> int | None:
+        return next((k for k in range(len(stack) - 1, least - 1, -1) if stack[k][0] == tag), None)
+
     page, at = page or "", 0
     while m := TOKEN.match(page, at):
         at = m.end()
@@ -77,22 +96,28 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         if tag is None:
             continue
         tag = tag.lower()
+        if marks and stack[marks[-1][0]][0] == "option" and (tag in BLOCK or not closing and tag in ("option", "optgroup")):
+            pop_to(marks[-1][0])
         if tag in BLOCK:
             flush()
         if closing:
-            k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if k is not None and (tag in BLOCK or not any(t in BLOCK for t, _ in stack[k + 1 :])):
-                pop_to(k)
+            k = last(tag)
+            if k is not None and (tag in BLOCK or tag in UNSHOWN or not any(t in BLOCK for t, _ in stack[k + 1 :])):
+                if tag == "button" and any(t in BLOCK for t, _ in stack[k + 1 :]):
+                    flush()
+                pop_to(k, own_end=True)
         elif tag in RAW and not rest.endswith("/"):
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
         elif tag not in VOID and not rest.endswith("/"):
-            if tag in BLOCK:
-                k = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "p"), None)
-                if k is not None:
-                    pop_to(k)
+            inside = marks[-1][0] + 1 if marks else 0  # what is open around an UNSHOWN element is not closed from within
+            if tag in BLOCK and (k := last("p", inside)) is not None:
+                pop_to(k)
+            if tag == "button" and (k := last("button")) is not None:
+                flush()
+                pop_to(k)
             if tag in CLOSES:
-                for k in range(len(stack) - 1, -1, -1):
+                for k in range(len(stack) - 1, inside - 1, -1):
                     if stack[k][0] in CLOSES[tag]:
                         break
                     if stack[k][0] == tag:
@@ -102,9 +127,13 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             if rest.strip():
                 for name, value in ATTRIBUTE.findall(rest):
                     own += [f"{name[:2].lower()}:{x.lower()}" for x in LETTERS.findall(value)] or [name.lower()]
+            if tag in UNSHOWN:
+                marks.append((len(stack), len(out), text, len(text), linked, total, path))
             stack.append((tag, own))
         if at >= len(page):
             break
+    if marks and stack[marks[-1][0]][0] == "option":
+        pop_to(marks[-1][0])
     flush()
     return out
 

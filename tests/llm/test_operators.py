@@ -286,3 +286,22 @@ def test_repeated_rows_and_rows_without_an_id(spark, tmp_path):
     bench = spark.createDataFrame([(1, " ".join(base.split()[:30]))], "item_id long, text string")
     left = decontaminate.remove_contaminated(once, bench)
     assert left.columns == own.columns and {r.n for r in left.collect()} == {n for _, t, n in rows if n not in (1, 2, 4) and not (t or "").startswith(base)}
+
+
+def test_extraction_reads_on_after_missing_end_tags():
+    read = lambda page: [b[0] for b in extract.blocks(page)]
+    main = "<article><p>One two.<p>Three <b>four</b>.</article>"
+    want = ["One two.", "Three four."]
+    assert read("<datalist><option value=a></datalist>" + main) == want
+    assert read("<div><select><option>a<option>b</div>" + main)[-2:] == want
+    for tag in ("button", "select", "svg", "iframe", "template", "noscript", "option"):
+        assert read(f"<nav><{tag}>Menu</nav>{main}")[-2:] == want
+        assert read(f"<{tag}>{main}")[-2:] == want
+        assert read(f"<nav><{tag}>Menu</nav>{main}<nav><{tag}>x</{tag}></nav>")[-2:] == want
+        assert read(f"<p>a <{tag}>x y</{tag}> b</p>{main}") == ["a b", *want]
+    for tag in ("svg", "iframe", "template", "noscript", "select"):
+        assert read(f"<p>a <{tag}><div>x</div><p>y</{tag}> b</p>{main}") == ["a b", *want]
+    assert read(f"<button>Menu{main}<button>OK</button>")[1:] == want
+    assert read(f"<button>{main}</button>") == want
+    for tag in ("script", "style", "title", "textarea"):
+        assert read(f"<p>a</p><{tag}>x{main}") == ["a"] and read(f"<{tag}><p>x</{tag}>{main}") == want
