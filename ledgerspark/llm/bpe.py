@@ -19,7 +19,6 @@ import hashlib
 import heapq
 import json
 import os
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -30,14 +29,16 @@ from pyspark import SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import small_batches, table
+from .common import small_batches, table, write_file
 
 #: Frequent words that the lexicon holds, and how often a word must occur to get in.
 LEXICON, LEAST = 300_000, 4
 #: Chunks a task remembers before it starts anew, and chunks beyond this length that it never remembers.
 REMEMBERED, LONGEST = 300_000, 200
-#: Words longer than this are merged with a heap.
-LONG = 64
+#: Words longer than this are merged with a heap; of others, this many take a step at a time.
+LONG, ROWS = 64, 16_384
+#: No merge, and the bits of a token's id.
+NONE, ID = 1 << 62, (1 << 20) - 1
 #: The pre-tokenizer's pattern, a fixed value of the vocabulary.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
 #: White space around a space, where chunks would part what the pattern keeps together.
@@ -69,26 +70,71 @@ class Vocabulary:
         self.single = [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         pairs = (m if isinstance(m, (list, tuple)) else m.split(" ") for m in model["merges"])
         self.merges = {ids[a] << 20 | ids[b]: (rank << 20 | ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        keys = np.fromiter(self.merges, np.int64, len(self.merges))
+        order = np.argsort(keys)
+        self.pairs, self.ranks = keys[order], np.fromiter(self.merges.values(), np.int64, len(keys))[order]
+        self.singles = np.array(self.single, np.int64)
+        length = np.fromiter(map(len, self.bytes), np.int64, size)
+        self.letters, self.length, self.start = np.frombuffer(b"".join(self.bytes), np.uint8), length, np.cumsum(length) - length
+
+    def merge(self, words: list[bytes]) -> list[bytes]:
+        """The ids of each word, as little-endian 32-bit numbers: always merge the pair of least rank, leftmost first.
+
+        Words of like length take a step at a time: one row of ids each, and one row of the ranks of neighbours.
+        """
+        out: list[bytes] = [b""] * len(words)
+        size = np.fromiter(map(len, words), np.int64, len(words))
+        for lo, hi in ((0, 1), (1, 6), (6, 12), (12, 24), (24, LONG)):
+            own = np.flatnonzero((size > lo) & (size <= hi))
+            for k in range(0, len(own), ROWS):
+                self._merge_rows(own[k : k + ROWS], size, words, hi, out)
+        for i in np.flatnonzero(size > LONG).tolist():
+            out[i] = np.array(self._merge_long([self.single[b] for b in words[i]]), "<u4").tobytes()
+        return out
 
-    def merge(self, word: bytes) -> list[int]:
-        """The ids of one word: always merge the pair of least rank, leftmost first."""
-        ids = [self.single[b] for b in word]
-        if len(ids) > LONG:
-            return self._merge_long(ids)
-        find, none = self.merges.get, 1 << 62
-        ranks = [find(a << 20 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while ranks:
-            best = min(ranks)
-            if best == none:
-                break
-            i = ranks.index(best)
-            ids[i : i + 2] = [best & 0xFFFFF]
-            del ranks[i]
-            if i < len(ranks):
-                ranks[i] = find(ids[i] << 20 | ids[i + 1], none)
-            if i:
-                ranks[i - 1] = find(ids[i - 1] << 20 | ids[i], none)
-        return ids
+    def _merge_rows(self, own: np.ndarray, size: np.ndarray, words: list[bytes], width: int, out: list[bytes]) -> None:
+        n, column = size[own], np.arange(width)
+        ids = np.zeros((len(own), width), np.int64)
+        ids[column < n[:, None]] = self.singles[np.frombuffer(b"".join([words[i] for i in own.tolist()]), np.uint8)]
+        done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        pair = column[:-1] < (n - 1)[:, None]
+        ranks = np.full((len(own), max(1, width - 1)), NONE)
+        ranks[:, : width - 1][pair] = self.rank(ids[:, :-1][pair], ids[:, 1:][pair])
+        while len(own):
+            at = ranks.argmin(axis=1)
+            best = ranks[np.arange(len(own)), at]
+            stop = best == NONE
+            if stop.any():
+                done.append((own[stop], ids[stop], n[stop]))
+                go = ~stop
+                own, ids, n, ranks, at, best = own[go], ids[go], n[go], ranks[go], at[go], best[go]
+                if not len(own):
+                    break
+            row = np.arange(len(own))
+            ids = np.take_along_axis(ids, np.minimum(column + (column > at[:, None]), width - 1), axis=1)
+            edge = column[: ranks.shape[1]]
+            ranks = np.take_along_axis(ranks, np.minimum(edge + (edge >= at[:, None]), ranks.shape[1] - 1), axis=1)
+            ids[row, at] = best & ID
+            n = n - 1
+            ranks[row, n - 1] = NONE
+            for left in (at - 1, at):  # the pairs on either side of the merged one
+                has = (left >= 0) & (left + 1 < n)
+                r, c = row[has], left[has]
+                ranks[r, c] = self.rank(ids[r, c], ids[r, c + 1])
+        for rows, found, length in done:
+            flat = found[column < length[:, None]].astype("<u4").tobytes()
+            at = 0
+            for i, k in zip(rows.tolist(), length.tolist(), strict=True):
+                out[i] = flat[at : at + 4 * k]
+                at += 4 * k
+
+    def rank(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Rank and merged id of each pair in one number, NONE where the vocabulary does not merge it."""
+        if not len(self.pairs):
+            return np.full(len(left), NONE)
+        key = left << 20 | right
+        at = np.minimum(np.searchsorted(self.pairs, key), len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.ranks[at], NONE)
 
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, find = len(ids), self.merges.get
@@ -110,8 +156,8 @@ class Vocabulary:
         return [x for x in ids if x >= 0]
 
 
-def compile_lexicon(words: list[bytes], outputs: list[list[int]], path: str) -> None:
-    """Write the minimal acyclic automaton of the words (sorted, distinct) and their outputs as one file of 32-bit numbers."""
+def compile_lexicon(words: list[bytes], outputs: list[bytes]) -> bytes:
+    """The minimal acyclic automaton of the words (sorted, distinct) and their outputs (32-bit ids) as one file of 32-bit numbers."""
     register: dict[tuple, int] = {}
     states: list[tuple] = []  # (final, ((byte, target), ...)), in the order in which they are frozen
     path_nodes: list[list] = [[False, []]]  # the unfrozen path of the last word: [final, edges]
@@ -147,26 +193,24 @@ def compile_lexicon(words: list[bytes], outputs: list[list[int]], path: str) ->
             skipped.append(count)
             count += below[t]
         below.append(count)
-    ends = np.cumsum([0] + [len(o) for o in outputs])
-    flat = [x for o in outputs for x in o]
+    ends = np.cumsum([0] + [len(o) // 4 for o in outputs])
+    flat = np.frombuffer(b"".join(outputs), "<i4")
     arrays = [np.array(a, np.int32) for a in (keys, targets, skipped, [f for f, _ in states], ends, flat)]
-    with open(path, "wb") as f:
-        f.write(np.array([len(a) for a in arrays] + [len(states) - 1, 0], np.int32).tobytes())
-        for a in arrays:
-            f.write(a.tobytes())
+    return b"".join([np.array([len(a) for a in arrays] + [len(states) - 1, 0], np.int32).tobytes(), *(a.tobytes() for a in arrays)])
 
 
 class Lexicon:
     """The automaton, mapped from its file."""
 
     def __init__(self, path: str):
-        whole = np.memmap(path, np.int32, "r")
+        whole = np.memmap(path, np.int32, "r").view(np.ndarray)  # still mapped, without memmap's costly slices
         sizes, at, parts = whole[:6].tolist(), 8, []
         for n in sizes:
             parts.append(whole[at : at + n])
             at += n
         self.keys, self.targets, self.skipped, self.final, self.ends, self.flat = parts
         self.root = int(whole[6])
+        self.outputs = memoryview(self.flat).cast("B") if len(self.flat) else memoryview(b"")
 
     def find(self, words: list[bytes]) -> np.ndarray:
         """The number of each word, -1 for words that the automaton lacks. All words take a step at a time."""
@@ -192,7 +236,7 @@ class Lexicon:
 
 
 class Coder:
-    """Encodes and decodes texts; remembers the chunks it has met."""
+    """Encodes and decodes texts; remembers the chunks it has met. Ids are kept as little-endian 32-bit numbers."""
 
     def __init__(self, vocabulary: Vocabulary, lexicon: Lexicon | None):
         self.v, self.lexicon = vocabulary, lexicon
@@ -200,57 +244,76 @@ class Coder:
         self.forget()
 
     def forget(self) -> None:
-        self.chunks: dict[str, list[int]] = {}
-        self.words: dict[str, list[int]] = {}
-
-    def learn(self, chunks: list[str]) -> None:
-        """Ids of chunks not met before: through the automaton, else by merging."""
-        split = [SPLIT.findall(c) for c in chunks]
-        new = list({w for s in split for w in s}.difference(self.words))
+        self.chunks: dict[str, bytes] = {}  # what stands between spaces, the space before it included
+        self.words: dict[str, bytes] = {}
+        self.long = False
+
+    def learn_words(self, words: set[str]) -> None:
+        """Ids of words not met before: through the automaton, else by merging."""
+        new = list(words.difference(self.words))
+        self.long |= max(map(len, new), default=0) > LONGEST
         raw = [w.encode() for w in new]
         number = self.lexicon.find(raw) if self.lexicon and new else np.full(len(new), -1)
         if self.lexicon:
-            ends, flat = self.lexicon.ends, self.lexicon.flat
+            ends, outputs = self.lexicon.ends, self.lexicon.outputs
             hit = np.flatnonzero(number >= 0)
-            a, b = ends[number[hit]].tolist(), ends[number[hit] + 1].tolist()
+            a, b = (4 * ends[number[hit]]).tolist(), (4 * ends[number[hit] + 1]).tolist()
             for i, x, y in zip(hit.tolist(), a, b, strict=True):
-                self.words[new[i]] = flat[x:y].tolist()
-        for i in np.flatnonzero(number < 0).tolist():
-            self.words[new[i]] = self.v.merge(raw[i])
-        for c, s in zip(chunks, split, strict=True):
-            self.chunks[c] = self.words[s[0]] if len(s) == 1 else [x for w in s for x in self.words[w]]
-
-    def pieces(self, text: str) -> list[str]:
-        """Chunks whose splits, joined, are the text's split."""
-        if KNIT.search(text):
-            return SPLIT.findall(text)
-        first, *rest = text.split(" ")
-        return [first] * bool(first) + [" " + r for r in rest]
-
-    def encode_batch(self, texts: list[str]) -> list[list[int]]:
+                self.words[new[i]] = bytes(outputs[x:y])
+        miss = np.flatnonzero(number < 0).tolist()
+        self.words.update(zip([new[i] for i in miss], self.v.merge([raw[i] for i in miss]), strict=True))
+
+    def learn(self, chunks: set[str]) -> None:
+        """Ids of chunks (given without the space before them) not met before."""
+        new = list(chunks.difference(self.chunks))
+        self.long |= max(map(len, new), default=0) > LONGEST
+        # Letters alone are one word; str.isalpha knows no letter that the pattern does not.
+        split = [(" " + c,) if c.isalpha() else SPLIT.findall(" " + c) for c in new]
+        self.learn_words(set().union(*split))
+        get = self.words.__getitem__
+        self.chunks.update(zip(new, [get(s[0]) if len(s) == 1 else b"".join(map(get, s)) for s in split], strict=True))
+
+    def encode_batch(self, texts: list[str]) -> list[bytes]:
+        """The ids of each text."""
         if len(self.chunks) > REMEMBERED:
             self.forget()
-        parts = []
+        parts: list[list[tuple[str | list[str], str]]] = []  # of each text: (what, how it is looked up)
+        chunks, words = [], []
         for t in texts:
             spans = self.special.split(t) if self.special and any(s in t for s in self.v.special) else [t]
-            parts.append([(s, True) if i % 2 else (self.pieces(s), False) for i, s in enumerate(spans)])
-        self.learn(list({c for p in parts for x, special in p if not special for c in x}.difference(self.chunks)))
-        out = []
-        for p in parts:
-            ids: list[int] = []
-            for x, special in p:
-                if special:
-                    ids.append(self.v.special[x])
-                else:
-                    for c in map(self.chunks.__getitem__, x):
-                        ids += c
-            out.append(ids)
-        if any(len(c) > LONGEST for c in self.chunks.keys() & {c for p in parts for x, s in p if not s for c in x if len(c) > LONGEST}):
+            own = []
+            for i, s in enumerate(spans):
+                if i % 2:
+                    own.append((s, "special"))
+                elif KNIT.search(s):
+                    own.append((SPLIT.findall(s), "words"))
+                    words.append(own[-1][0])
+                else:  # chunks whose splits, joined, are the text's split
+                    first, *rest = s.split(" ")
+                    head = SPLIT.findall(first)
+                    own += [(head, "words"), (rest, "chunks")]
+                    words.append(head)
+                    chunks.append(rest)
+            parts.append(own)
+        self.learn(set().union(*chunks))
+        self.learn_words(set().union(*words))
+        of = {"words": self.words.__getitem__, "chunks": self.chunks.__getitem__}
+        out = [b"".join([self.v.special[x].to_bytes(4, "little") if how == "special" else b"".join(map(of[how], x)) for x, how in p]) for p in parts]
+        if self.long:
             self.forget()
         return out
 
-    def decode(self, ids: list[int]) -> str:
-        return b"".join(map(self.v.bytes.__getitem__, ids)).decode("utf-8", "replace")
+    def decode(self, ids: bytes) -> bytes:
+        """The bytes of the decoded text in UTF-8; what is no UTF-8 is replaced."""
+        each = np.frombuffer(ids, "<u4")
+        length = self.v.length[each]
+        ends = np.cumsum(length)
+        raw = self.v.letters[np.repeat(self.v.start[each] - (ends - length), length) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        try:
+            raw.decode()
+            return raw
+        except UnicodeDecodeError:
+            return raw.decode("utf-8", "replace").encode()
 
 
 def frequent_words(docs: DataFrame, n: int = LEXICON) -> list[str]:
@@ -261,11 +324,10 @@ def frequent_words(docs: DataFrame, n: int = LEXICON) -> list[str]:
 
 
 def publish(spark: SparkSession, vocabulary: Vocabulary, words: list[str]) -> str:
-    """Compile the lexicon and hand its file to all executors; returns its name there."""
+    """Compile the lexicon into the shared folder and hand its file to all executors; returns its name there."""
     raw = sorted({(" " + w).encode() for w in words} | {w.encode() for w in words[: len(words) // 8]})
     name = f"lexicon-{uuid.uuid4().hex[:12]}.bin"
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="spark-")), name)
-    compile_lexicon(raw, [vocabulary.merge(w) for w in raw], path)
+    path = write_file(spark, name, compile_lexicon(raw, vocabulary.merge(raw)))
     spark.sparkContext.addFile(path)
     return name
 
@@ -303,10 +365,10 @@ def encode(docs: DataFrame, path: str, full: bool = False) -> DataFrame:
             for texts in groups(b.column("text").to_pylist()):
                 for ids in coder.encode_batch(texts):
                     decoded = coder.decode(ids)
-                    rows.append((len(ids), hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest(), hashlib.sha256(decoded.encode()).hexdigest()))
+                    rows.append((len(ids) // 4, hashlib.sha256(ids).hexdigest(), hashlib.sha256(decoded).hexdigest()))
                     if full:
-                        all_ids.append(ids)
-                        all_texts.append(decoded)
+                        all_ids.append(np.frombuffer(ids, "<i4"))
+                        all_texts.append(decoded.decode())
             n, a, d = map(list, zip(*rows, strict=True)) if rows else ([], [], [])
             cols = [b.column("doc_id"), pa.array(n, pa.int64()), pa.array(a, pa.string()), pa.array(d, pa.string())]
             if full:

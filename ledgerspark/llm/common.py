@@ -15,14 +15,31 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir, else one of our own (tests)."""
+    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
+
+    Only a local session (tests, one machine) may go without: there one temporary folder serves the whole session.
+    """
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = getattr(spark, "_llm_shared_dir", None) or tempfile.mkdtemp(prefix="spark-")
         spark._llm_shared_dir = found
     return found
 
 
+def write_file(spark: SparkSession, name: str, data: bytes) -> str:
+    """Write a file into the shared folder, on whatever file system that is; returns its path."""
+    jvm, path = spark._jvm, f"{shared_dir(spark)}/{name}"
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    out = at.getFileSystem(spark._jsc.hadoopConfiguration()).create(at)
+    try:
+        out.write(bytearray(data))
+    finally:
+        out.close()
+    return path
+
+
 def cut(df: DataFrame) -> DataFrame:
     """Materialise df in the shared folder and cut its lineage there, so that a lost executor costs no recomputation."""
     sc = df.sparkSession.sparkContext
@@ -60,33 +77,38 @@ def identified(docs: DataFrame, below: bool = False) -> tuple[DataFrame, list[st
     return cut(docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text", F.struct("*").alias("row"))), ["row.*"]
 
 
-def join_hot(left: DataFrame, right: DataFrame, key: str, weight: str, total: int, share: int = 1000) -> DataFrame:
+def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, share: int = 1000, how: str = "inner") -> DataFrame:
     """left JOIN right ON key, where right has one row for each key and its number of left rows in weight.
 
     Keys with at least total/share rows are at most `share` many, whatever the data: these go out by broadcast, so
-    that none of them gathers in one task; all the others meet in a shuffled join.
+    that none of them gathers in one task; all the others meet in a shuffled join. how: inner or left.
     """
     least = max(2, -(-total // share))
     hot = F.broadcast(right.filter(F.col(weight) >= least))
     rest = right.filter(F.col(weight) < least)
-    hot_keys = hot.select(key)
-    return left.join(hot, key).unionByName(left.join(F.broadcast(hot_keys), key, "left_anti").join(rest, key))
+    hot_keys = hot.select(*([key] if isinstance(key, str) else key))
+    return left.join(hot, key).unionByName(left.join(F.broadcast(hot_keys), key, "left_anti").join(rest, key, how))
 
 
 def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     """(node, component) for the nodes of edges (a, b): component is the smallest node reachable.
 
     Each round takes the least label among the neighbours and then follows labels once (pointer jumping), so the
-    rounds grow with the logarithm of a component's width. Nothing but a count of changes reaches the driver.
+    rounds grow with the logarithm of a component's width: 60 rounds would do for more nodes than there can be, so
+    reaching them is an error. Nodes of many edges and labels of many nodes meet their rows by broadcast (join_hot), so
+    neither a hub nor a large component gathers in one task. Nothing but counts reaches the driver.
     """
     both = cut(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
-    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label")).withColumnRenamed("a", "node"))
+    n_edges = both.count()
+    labels = cut(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("label"), F.count("*").alias("degree")).withColumnRenamed("a", "node"))
+    n_nodes = labels.count()
     for _ in range(max_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        step = labels.join(near, labels.node == near.a).select("node", F.col("label").alias("old"), F.least("label", "near").alias("label"))
-        jump = step.select(F.col("node").alias("label"), F.col("label").alias("further"))
-        new = cut(step.join(jump, "label", "left").select("node", "old", F.least("label", F.coalesce("further", "label")).alias("label")))
-        labels = new.select("node", "label")
+        near = join_hot(both, labels.select(F.col("node").alias("b"), "label", "degree"), "b", "degree", n_edges).groupBy("a").agg(F.min("label").alias("near"))
+        step = cut(labels.join(near, labels.node == near.a).select("node", "degree", F.col("label").alias("old"), F.least("label", "near").alias("label")))
+        held = step.groupBy("label").agg(F.count("*").alias("n"))
+        jump = held.join(step.select(F.col("node").alias("label"), F.col("label").alias("further")), "label")
+        new = cut(join_hot(step, jump, "label", "n", n_nodes).select("node", "degree", "old", F.least("label", "further").alias("label")))
+        labels = new.select("node", "label", "degree")
         if new.filter(F.col("old") != F.col("label")).isEmpty():
             break
     else:
