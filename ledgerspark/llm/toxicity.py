@@ -1,7 +1,7 @@
 """Toxicity by a bidirectional gated recurrent network with attention pooling, trained and run in numpy.
 
-A word's input is a hashed-word vector plus the mean of its hashed character (UTF-8 byte) trigram vectors. Texts are cut into
-windows of WINDOW words (runs of one word count once) that overlap by half (the last one ends with the text), every window is scored, and a text's
+A word's input is a hashed-word vector and, for either length of GRAMS, the mean of its hashed character (UTF-8 byte) n-gram vectors. Texts are cut into
+windows of WINDOW words that overlap by half (the last one ends with the text), every window is scored, and a text's
 score is that of its most toxic window. A run without white space of more than LONG bytes (scripts written without spaces, words
 joined by commas or slashes) is no single word: it is split after punctuation, and what is still long into overlapping pieces.
 Training is on at most about 3 x PER_CLASS labelled rows outside the held-out fold, and looks at all their windows: in each of
@@ -16,7 +16,6 @@ from __future__ import annotations
 
 import unicodedata
 import zlib
-from array import array
 from collections.abc import Iterator
 from functools import cache
 
@@ -33,7 +32,10 @@ PER_CLASS, THRESHOLD = 1_500, 0.5
 #: The threshold is chosen on scores of networks fitted without the row's fold, for this share of toxic texts and loss of clean ones.
 FOLDS, TOXIC_SHARE, CLEAN_LOSS = 3, 0.1, 0.05
 WINDOW, STEP = 32, 16
-HIDDEN, EMBED, WORDS, GRAMS = 8, 8, 1 << 14, 1 << 11
+HIDDEN, EMBED, WORDS = 8, 8, 1 << 14
+#: Table sizes by the length of character n-grams: short ones meet all words, long ones tell stems and endings apart.
+GRAMS = {3: 1 << 11, 5: 1 << 13}
+WIDTH = (1 + len(GRAMS)) * EMBED
 TURNS, EPOCHS, WORST, BATCH, STEPS, RATE, SEED = 3, 4, 2, 256, 16, 0.01, 11
 #: Words of fewer sample texts than this have no vector of their own (only their trigrams'), so none is learned by heart;
 #: a hundredth of the sample where that is less, five at least.
@@ -49,11 +51,25 @@ LONG, PIECE = 38, 12
 _EDGES = ".,;:!?|#$%&*\"'()[]{}<>-_=+/0123456789"
 
 
-def features(word: str) -> tuple[int, array]:
-    """Hashed ids of a word and of its character trigrams, without case or outer punctuation."""
-    w = word.lower().strip(_EDGES) or word
-    raw = f"<{w}>".encode()
-    return 1 + zlib.crc32(raw) % (WORDS - 1), array("H", [zlib.crc32(raw[i : i + 3]) % GRAMS for i in range(len(raw) - 2)])
+def spread(first: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """The numbers first[i] .. first[i] + size[i] - 1 of every i, one after another."""
+    ends = np.cumsum(size)
+    return np.repeat(first - (ends - size), size) + np.arange(ends[-1] if len(ends) else 0)
+
+
+def bare(word: str) -> bytes:
+    """A word without case or outer punctuation, its ends marked, padded to the longest n-gram."""
+    return f"<{word.lower().strip(_EDGES) or word}>".encode().ljust(max(GRAMS), b"\0")
+
+
+def ngrams(raw: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Hashed ids of the n-grams of all words, one word after another, and how many each word has."""
+    size = np.fromiter(map(len, raw), np.int64, len(raw))
+    letters, h = np.frombuffer(b"".join(raw), np.uint8).astype(np.uint32), np.uint32(0)
+    for i in range(n):
+        h = h * np.uint32(0x01000193) + letters[i : len(letters) - n + 1 + i] + np.uint32(1)
+    h = (h * np.uint32(0x9E3779B1)) >> np.uint32(8)
+    return h[spread(np.cumsum(size) - size, size - n + 1)].astype(np.int64) % GRAMS[n], size - n + 1
 
 
 @cache
@@ -74,13 +90,10 @@ def pieces(run: str) -> list[str]:
 
 
 def words(text: str) -> list[str]:
-    out = []
-    for w in text.split():
-        if 4 * len(w) > LONG and len(w.encode()) > LONG:
-            out += pieces(w)
-        else:
-            out.append(w)
-    return out
+    runs = text.split()
+    if not any(4 * len(w) > LONG and len(w.encode()) > LONG for w in set(runs)):
+        return runs
+    return [p for w in runs for p in (pieces(w) if len(w.encode()) > LONG else (w,))]
 
 
 def starts(n: int) -> list[int]:
@@ -92,20 +105,19 @@ def starts(n: int) -> list[int]:
 
 
 class Vocabulary:
-    """Distinct words met so far: ids, word hashes, trigram hashes. Word 0 is padding."""
+    """Distinct words met so far: ids, word hashes, letters. Word 0 is padding."""
 
     def __init__(self):
         self.ids: dict[str, int] = {"": 0}
-        self.word, self.grams = [0], [[]]
+        self.word, self.raw = [0], [bare("")]
 
     def encode(self, words: list[str]) -> np.ndarray:
-        words = [w for w, before in zip(words, ["", *words], strict=False) if w != before]
         ids = self.ids
         for w in set(words).difference(ids):
             ids[w] = len(ids)
-            a, b = features(w)
-            self.word.append(a)
-            self.grams.append(b)
+            raw = bare(w)
+            self.word.append(1 + zlib.crc32(raw) % (WORDS - 1))
+            self.raw.append(raw)
         return np.fromiter(map(ids.__getitem__, words), np.int32, len(words))
 
 
@@ -117,23 +129,22 @@ class Network:
     def __init__(self):
         rng = np.random.default_rng(SEED)
         f = lambda *s, k=1.0: rng.normal(0, k / np.sqrt(s[0]), s).astype(np.float32)
-        self.p = {"word": rng.normal(0, 0.1, (WORDS, EMBED)).astype(np.float32), "gram": rng.normal(0, 0.1, (GRAMS, EMBED)).astype(np.float32)}
+        self.p = {"word": rng.normal(0, 0.1, (WORDS, EMBED)).astype(np.float32)} | {f"gram{n}": rng.normal(0, 0.1, (size, EMBED)).astype(np.float32) for n, size in GRAMS.items()}
         self.common = np.zeros(WORDS, bool)
         for d in "fb":
-            self.p |= {f"w{d}": f(2 * EMBED, 3 * HIDDEN), f"u{d}": f(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
+            self.p |= {f"w{d}": f(WIDTH, 3 * HIDDEN), f"u{d}": f(HIDDEN, 3 * HIDDEN), f"c{d}": np.zeros(3 * HIDDEN, np.float32)}
         self.p |= {"q": f(2 * HIDDEN), "o": f(2 * HIDDEN), "bias": np.full(1, -1.0, np.float32)}
         self.shift, self.trained, self.kept = 0.0, False, None
 
-    def inputs(self, word: np.ndarray, grams: list[list[int]]) -> np.ndarray:
-        """A vector for each word: its own and the mean of its trigrams'."""
-        count = np.array([max(1, len(g)) for g in grams])
-        flat = np.fromiter((x for g in grams for x in g), np.int64)
-        owner = np.repeat(np.arange(len(grams)), [len(g) for g in grams])
-        out = np.zeros((len(word), 2 * EMBED), np.float32)
+    def inputs(self, word: np.ndarray, raw: list[bytes]) -> np.ndarray:
+        """A vector for each word: its own and the means of its n-grams'."""
+        out = np.empty((len(word), WIDTH), np.float32)
         out[:, :EMBED] = self.p["word"][word]
-        for k in range(EMBED):
-            out[:, EMBED + k] = np.bincount(owner, self.p["gram"][flat, k], len(word)) / count
-        self._grams = (flat, owner, count)
+        self._grams = []
+        for j, n in enumerate(GRAMS):
+            flat, count = ngrams(raw, n)
+            out[:, (1 + j) * EMBED : (2 + j) * EMBED] = np.add.reduceat(self.p[f"gram{n}"][flat], np.cumsum(count) - count) / count[:, None]
+            self._grams.append((flat, count))
         return out
 
     def run(self, d: str, x: np.ndarray, at: np.ndarray, mask: np.ndarray, keep: bool = False):
@@ -163,7 +174,7 @@ class Network:
         n = len(vocabulary.word)
         out = {d: np.empty((n - first, 3 * HIDDEN), np.float32) for d in "fb"}
         for k in range(first, n, WORDS_AT_ONCE):
-            x = self.inputs(np.array(vocabulary.word[k : k + WORDS_AT_ONCE]), vocabulary.grams[k : k + WORDS_AT_ONCE])
+            x = self.inputs(np.array(vocabulary.word[k : k + WORDS_AT_ONCE]), vocabulary.raw[k : k + WORDS_AT_ONCE])
             for d in "fb":
                 out[d][k - first : k - first + len(x)] = self.gates(x, d)
         self._grams = None
@@ -181,9 +192,9 @@ class Network:
         mask = at > 0
         return self.pooled(self.run("f", gates["f"], at, mask), self.run("b", gates["b"], at, mask), mask)[0]
 
-    def gradients(self, word, grams, at, y, weight) -> tuple[float, dict]:
-        mask, x = at > 0, self.inputs(word, grams)
-        flat, owner, count = self._grams
+    def gradients(self, word, raw, at, y, weight) -> tuple[float, dict]:
+        mask, x = at > 0, self.inputs(word, raw)
+        places = self._grams
         runs = {d: self.run(d, self.gates(x, d), at, mask, True) for d in "fb"}
         f, b = runs["f"][0], runs["b"][0]
         logit, a, value = self.pooled(f, b, mask)
@@ -216,11 +227,13 @@ class Network:
             dgates[found] = np.add.reduceat(each.reshape(-1, 3 * HIDDEN)[order], first)
             grad |= {f"u{d}": du, f"w{d}": x.T @ dgates, f"c{d}": dgates.sum(axis=0)}
             dx += dgates @ self.p[f"w{d}"].T
-        gw, gg = np.zeros_like(self.p["word"]), np.zeros_like(self.p["gram"])
+        grad["word"] = gw = np.zeros_like(self.p["word"])
         np.add.at(gw, word, dx[:, :EMBED])
-        np.add.at(gg, flat, (dx[:, EMBED:] / count[:, None])[owner])
         gw[~self.common] = 0
-        return float(np.mean(-weight * np.log(np.clip(np.where(y > 0, p, 1 - p), 1e-7, 1)))), grad | {"word": gw, "gram": gg}
+        for j, (n, (flat, count)) in enumerate(zip(GRAMS, places, strict=True)):
+            part = np.repeat(dx[:, (1 + j) * EMBED : (2 + j) * EMBED] / count[:, None], count, axis=0)
+            grad[f"gram{n}"] = np.stack([np.bincount(flat, part[:, k], GRAMS[n]) for k in range(EMBED)], axis=1)
+        return float(np.mean(-weight * np.log(np.clip(np.where(y > 0, p, 1 - p), 1e-7, 1)))), grad
 
     def train(self, at: np.ndarray, y: np.ndarray, vocabulary: Vocabulary, epochs: int, state: dict) -> None:
         """Adam over windows at (window, time) with labels y; both classes weigh the same."""
@@ -232,7 +245,7 @@ class Network:
                 own, local = np.unique(at[pick], return_inverse=True)
                 if own[0] != 0:
                     own, local = np.r_[0, own], local + 1
-                _, grad = self.gradients(word[own], [vocabulary.grams[i] for i in own], local.reshape(at[pick].shape).T, y[pick], weight[pick])
+                _, grad = self.gradients(word[own], [vocabulary.raw[i] for i in own], local.reshape(at[pick].shape).T, y[pick], weight[pick])
                 state["t"] = state.get("t", 0) + 1
                 for k, g in grad.items():
                     m, v = state.setdefault(k, [np.zeros_like(self.p[k]), np.zeros_like(self.p[k])])
@@ -261,7 +274,7 @@ class Network:
                 new = self.word_gates(vocabulary, known)
                 for d in "fb":
                     gates[d] = np.vstack([gates[d], new[d]])
-                vocabulary.grams[known:] = [None] * (len(vocabulary.word) - known)
+                vocabulary.raw[known:] = [None] * (len(vocabulary.word) - known)
             rows = np.concatenate(ids)
             for k in range(0, len(rows), AT_ONCE):
                 np.maximum.at(out, owner[k : k + AT_ONCE], self.logits(gates, np.ascontiguousarray(rows[k : k + AT_ONCE].T)))
@@ -274,12 +287,14 @@ def fitted(texts: list[str], y: np.ndarray) -> Network:
     if not len(y) or y.min() == y.max():
         return net
     vocabulary, rows, owner = Vocabulary(), [], []
-    seen = {"word": np.zeros((2, WORDS)), "gram": np.zeros((2, GRAMS))}  # sample texts of either class that have it
-    for i in range(len(y)):
-        code = vocabulary.encode(words(texts[i]))
-        own = set(code.tolist())
-        seen["word"][y[i], list({vocabulary.word[w] for w in own})] += 1
-        seen["gram"][y[i], list({g for w in own for g in vocabulary.grams[w]})] += 1
+    codes = [vocabulary.encode(words(t)) for t in texts]
+    seen = {"word": np.zeros((2, WORDS))} | {f"gram{n}": np.zeros((2, size)) for n, size in GRAMS.items()}  # sample texts of either class that have it
+    found = {"word": (np.array(vocabulary.word), np.ones(len(vocabulary.word), int))} | {f"gram{n}": ngrams(vocabulary.raw, n) for n in GRAMS}
+    begin = {k: np.cumsum(size) - size for k, (_, size) in found.items()}
+    for i, code in enumerate(codes):
+        own = np.unique(code)
+        for k, (flat, size) in found.items():
+            seen[k][y[i], np.unique(flat[spread(begin[k][own], size[own])])] += 1
         s = np.array(starts(len(code)))
         code = np.pad(code, (0, max(0, WINDOW - len(code))))
         rows.append(code[s[:, None] + np.arange(WINDOW)])
