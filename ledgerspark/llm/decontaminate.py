@@ -1,13 +1,16 @@
 """Benchmark decontamination: short test items are found inside long documents.
 
 An item is contained if at least THRESHOLD of its distinct five-word shingles occur in a document. Items are
-partitioned by the size of their shingle set (powers of two); each item's signature is its k smallest shingle hashes
-(a bottom-k MinHash), where k is the number of shingles that a contained item may lack, plus one. So at least one
-shingle of the signature occurs in every document that contains the item, however long it is: the search loses
-nothing. Candidates are then verified by exact containment of the shingles themselves, not of their hashes.
+partitioned by the size of their shingle set (powers of two). The partition sets the length k of its items' signatures,
+the k smallest shingle hashes (bottom-k MinHash): one more than the partition's largest contained item may lack. Of the
+signature of an item that may lack m shingles, at least k - m occur in every document that contains it, however long:
+that is the least number of hits for a candidate, and the search loses nothing. Shingles that several items share come last in a
+signature, so a line that many items carry makes no candidates of all documents with that line. Candidate pairs are then
+verified by exact containment of the shingles themselves, not of their hashes.
 
 Defined cases: words are lower-case runs of letters and digits; a text with one to four words is one shingle; null
-and empty texts have none and match nothing; copies of items and of documents are rows of their own.
+and empty texts have none and match nothing; copies of items are rows of their own; rows that repeat a doc_id count as
+one document (its best text); texts of any length are read whole; empty tables give no rows; other columns do not matter.
 """
 
 from __future__ import annotations
@@ -15,6 +18,7 @@ from __future__ import annotations
 import math
 
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import cut, identified, table, words
@@ -38,35 +42,32 @@ def strings(w: str) -> Column:
 
 
 def item_shingles(items: DataFrame) -> DataFrame:
-    """item_id, n (size of the shingle set), size_class, shingle, h, in_signature: one row for each distinct shingle of an item."""
-    own = items.select("item_id", words(F.col("text")).alias("w"))
-    both = own.select("item_id", F.array_distinct(strings("w")).alias("s")).filter(F.size("s") > 0)
-    each = both.select("item_id", F.size("s").alias("n"), F.array_sort(F.transform("s", lambda x: F.struct(F.xxhash64(F.split(x, " ")).alias("h"), x.alias("shingle")))).alias("e"))
-    lacking = F.col("n") - F.ceil(F.col("n") * THRESHOLD - 1e-9).cast("int")
-    each = each.withColumns({"size_class": F.floor(F.log2("n")).cast("int"), "k": lacking + 1})
-    return each.select("item_id", "n", "size_class", "k", F.posexplode("e").alias("rank", "e")).select(
-        "item_id", "n", "size_class", "e.shingle", "e.h", (F.col("rank") < F.col("k")).alias("in_signature")
-    )
+    """item_id, n (size of the shingle set), size_class, need (least hits of a candidate), h, in_signature: a row for each distinct shingle of an item."""
+    own = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.array_distinct(hashes("w")).alias("s"))
+    each = own.select("item_id", F.size("s").alias("n"), F.explode("s").alias("h"))
+    held = each.groupBy("h").agg(F.count("*").alias("held"))
+    rank = F.row_number().over(W.partitionBy("item_id").orderBy(F.col("held") > 1, "h"))
+    lacking = lambda n: n - F.ceil(n * THRESHOLD - 1e-9).cast("int")
+    each = each.join(held, "h").withColumns({"size_class": F.floor(F.log2("n")).cast("int"), "rank": rank})
+    k = F.least(F.col("n"), lacking(F.pow(F.lit(2), F.col("size_class") + 1).cast("int") - 1) + 1)
+    return each.select("item_id", "n", "size_class", (k - lacking(F.col("n"))).alias("need"), "h", (F.col("rank") <= k).alias("in_signature"))
 
 
 def contained(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(doc_id, item_id, n_shared, n_item, containment) for all contained items."""
     assert math.isclose(threshold, THRESHOLD), "signatures are sized for THRESHOLD"
-    shingles = cut(item_shingles(items))
-    small = shingles.count() <= BROADCAST_ROWS
+    signatures = cut(item_shingles(items).filter("in_signature"))
+    small = signatures.count() <= BROADCAST_ROWS
     out = (lambda df: F.broadcast(df)) if small else (lambda df: df)
-    own = docs.select("doc_id", words(F.col("text")).alias("w"))
-    # Only the hashes leave the scan; which size class a signature is of decides how many of its shingles are looked up.
-    signatures = shingles.filter("in_signature").groupBy("h").agg(F.collect_set("item_id").alias("items"))
-    seen = own.select("doc_id", F.explode(hashes("w")).alias("h"))
-    candidates = cut(seen.join(out(signatures), "h").select("doc_id").distinct())
-    suspects = docs.select("doc_id", "text").join(candidates, "doc_id", "left_semi").select("doc_id", words(F.col("text")).alias("w"))
-    found = suspects.select("doc_id", F.explode(F.array_distinct(strings("w"))).alias("shingle"))
-    hits = found.join(out(shingles.select("item_id", "n", "shingle", "in_signature")), "shingle")
-    shared = hits.groupBy("doc_id", "item_id").agg(F.countDistinct("shingle").alias("n_shared"), F.first("n").cast("long").alias("n_item"), F.max("in_signature").alias("candidate"))
-    return shared.filter(F.col("candidate") & (F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9))).select(
-        "doc_id", "item_id", "n_shared", "n_item", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment")
-    )
+    # Only hashes leave the scan. A document meets the items whose signature it hits, by the rule of their size class.
+    seen = docs.select("doc_id", words(F.col("text")).alias("w")).select("doc_id", F.explode(F.array_distinct(hashes("w"))).alias("h"))
+    hits = seen.join(out(signatures.select("h", "item_id", "size_class", "need")), "h")
+    candidates = cut(hits.groupBy("doc_id", "item_id", "size_class").agg(F.count("*").alias("hits"), F.first("need").alias("need")).filter("hits >= need").select("doc_id", "item_id"))
+    wanted = items.select("item_id", words(F.col("text")).alias("w")).select("item_id", F.array_distinct(strings("w")).alias("item"))
+    pairs = docs.select("doc_id", "text").join(candidates, "doc_id").select("item_id", "doc_id", words(F.col("text")).alias("w"))
+    both = pairs.join(out(wanted), "item_id").select("doc_id", "item_id", F.size("item").cast("long").alias("n_item"), F.size(F.array_intersect("item", strings("w"))).cast("long").alias("n_shared"))
+    both = both.filter(F.col("n_shared") >= F.ceil(F.col("n_item") * threshold - 1e-9)).groupBy("doc_id", "item_id", "n_item").agg(F.max("n_shared").alias("n_shared"))
+    return both.select("doc_id", "item_id", "n_shared", "n_item", F.round(F.col("n_shared") / F.col("n_item"), 6).alias("containment"))
 
 
 def remove_contaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
