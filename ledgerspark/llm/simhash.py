@@ -69,17 +69,28 @@ def _keys(radius: int) -> F.Column:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """(a, b): pairs of distinct fingerprints, named by their `rep`, at most RADIUS bits apart. fps: fp, rep."""
+    """(a, b): pairs of distinct fingerprints, named by their `rep`, at most RADIUS bits apart, whose classes are those of all such pairs.
+
+    fps: fp, rep (distinct). Of a crowded key, the fingerprint of least rep is the pivot. Two fingerprints that are both near the
+    pivot are linked through it, so of the pairs that meet under that key only those with the pivot are given: near copies that
+    share a segment cost one link each, not one for each pair. A pair (p, t) left out at key k has t and the pivot v under k, where (v, t) is
+    met; p and v are met under k or, if v comes first, under p's own key, whose pivot w stands for them in turn: (p, w) is
+    met there, and (v, w) there or under k, either time with a pivot on the posted side. So no class falls apart.
+    """
     posted = fps.select("fp", "rep", F.explode(_keys(0)).alias("key"))
-    crowd = cut(posted.groupBy("key").agg(F.count("*").alias("n")).filter(F.col("n") > CROWDED).select("key"))
+    crowd = cut(posted.groupBy("key").agg(F.count("*").alias("n"), F.min(F.struct("rep", "fp")).alias("pivot")).filter(F.col("n") > CROWDED).select("key", "pivot"))
     probes = fps.select("fp", "rep", F.explode(_keys(1)).alias("key"))
-    near = (F.col("t.rep") > F.col("p.rep")) & (F.bit_count(F.col("t.fp").bitwiseXOR(F.col("p.fp"))) <= RADIUS)
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    near = (F.col("t.rep") > F.col("p.rep")) & (apart("t.fp", "p.fp") <= RADIUS)
     plain = posted.join(crowd, "key", "left_anti").alias("t").join(probes.alias("p"), F.col("t.key") == F.col("p.key")).filter(near)
     # In a crowded key the other segment holds at most three differing bits, so at least one of its four bytes is equal.
     other = "if(key >= 4294967296L, fp & 4294967295, shiftrightunsigned(fp, 32))"
     byte = F.explode(F.expr("array(" + ", ".join(f"(shiftrightunsigned({other}, {8 * i}) & 255) + {256 * i}L" for i in range(4)) + ")")).alias("byte")
-    finer = [df.join(crowd, "key", "left_semi").select("fp", "rep", "key", byte) for df in (posted, probes)]
-    dense = finer[0].alias("t").join(finer[1].alias("p"), (F.col("t.key") == F.col("p.key")) & (F.col("t.byte") == F.col("p.byte"))).filter(near)
+    finer_posted = posted.join(crowd, "key").select("fp", "rep", "key", F.col("pivot.rep").alias("first"), (apart("fp", "pivot.fp") <= RADIUS).alias("at_pivot"), F.col("pivot.fp").alias("pivot_fp"), byte)
+    finer_probes = probes.join(crowd, "key", "left_semi").select("fp", "rep", "key", byte)
+    both = F.col("t.at_pivot") & (apart("p.fp", "t.pivot_fp") <= RADIUS)
+    needed = (F.col("t.rep") == F.col("t.first")) | (F.col("p.rep") == F.col("t.first")) | ~both
+    dense = finer_posted.alias("t").join(finer_probes.alias("p"), (F.col("t.key") == F.col("p.key")) & (F.col("t.byte") == F.col("p.byte"))).filter(near & needed)
     pair = [F.col("p.rep").alias("a"), F.col("t.rep").alias("b")]
     return plain.select(*pair).unionByName(dense.select(*pair)).distinct()
 
