@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, partitions, table
+from .common import cut, join_hot, partitions, table
 
 SHARDS, ROUNDS = 24, 4
 
@@ -48,7 +48,7 @@ def propagate(docs: DataFrame, n_shards: int, rounds: int) -> DataFrame:
         share = F.element_at(F.expr("map(" + ", ".join(f"{s}, {min(1.0, free[s] / wish[s]) if s in wish else 1.0}D" for s in range(n_shards)) + ")"), F.col("goal"))
         lot = F.pmod(F.xxhash64("link", F.lit(turn)), F.lit(1_000_000)) / 1e6
         blocks = asked.withColumn("shard", F.when((F.col("shard") != F.col("goal")) & (lot < share), F.col("goal")).otherwise(F.col("shard"))).drop("goal")
-    return blocks.select("link", "start", "shard", "size")
+    return blocks.select("link", "start", "shard", "size", "n")
 
 
 def shard(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> DataFrame:
@@ -59,7 +59,7 @@ def shard(docs: DataFrame, n_shards: int = SHARDS, rounds: int = ROUNDS) -> Data
     columns = ["doc_id", "link", *(c for c in docs.columns if c not in ("doc_id", "link"))]
     own = cut(docs.select(*columns, F.pmod(F.xxhash64("doc_id"), F.lit(n_shards)).cast("int").alias("start")))
     blocks = propagate(own, n_shards, rounds)
-    placed = own.join(blocks, ["link", "start"], "left").select(*columns, F.coalesce("shard", "start").alias("shard"), F.coalesce("size", F.lit(1)).alias("size"))
+    placed = join_hot(own, blocks, ["link", "start"], "n", own.count(), how="left").select(*columns, F.coalesce("shard", "start").alias("shard"), F.coalesce("size", F.lit(1)).alias("size"))
     # Rank within a shard in two levels: cells, whose counts are summed up in order, and rows within a cell. Large links are
     # dealt over cells by doc_id, so a cell stays small whatever the data.
     cells = max(64, partitions(spark))

@@ -9,7 +9,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from ledgerspark.llm import bpe, decontaminate, exact_dedup, extract, quality, sampling, sharding, simhash, suffix_dedup, toxicity, url_filter
+from ledgerspark.llm import bpe, common, decontaminate, exact_dedup, extract, quality, sampling, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 R = random.Random(3)
 WORDS = [("".join(R.choice("abcdefghiklmnoprstu") for _ in range(R.randint(2, 8)))) for _ in range(300)]
@@ -49,14 +49,24 @@ def test_exact_dedup(spark, docs, nothing):
     assert kept.columns == docs.columns and kept.count() == len({t or "" for _, t, *_ in rows})
 
 
-def test_index_drops_what_it_holds(spark, docs):
-    index = exact_dedup.fresh_index(spark)
-    batch = exact_dedup.digests(docs)
-    index.append(batch)
-    n = index.rows().count()
-    index.append(batch)
-    assert index.rows().count() == n and index.new_of(batch).count() == 0
+def test_index_takes_batches(spark, docs):
+    index = exact_dedup.DigestIndex(spark, "digest_index_of_a_test", 4)
     index.drop()
+    one = spark.createDataFrame([(1, "a"), (2, "b"), (4, "b"), (3, None)], "doc_id long, text string")
+    two = spark.createDataFrame([(5, "a"), (6, "a"), (7, "c"), (8, ""), (9, "c")], "doc_id long, text string")
+    rows = lambda df: {r.doc_id: (r.keep_id, r.group_size, r.kept) for r in df.collect()}
+    assert rows(exact_dedup.label(one, index)) == {1: (1, 1, True), 2: (4, 2, False), 4: (4, 2, True), 3: (3, 1, True)}
+    assert rows(exact_dedup.label(two, index)) == {5: (1, 3, False), 6: (1, 3, False), 7: (9, 2, False), 9: (9, 2, True), 8: (3, 2, False)}
+    keepers = exact_dedup.digests(two).groupBy("text_sha256").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("n"))
+    plan = index.new_of(keepers)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and index.new_of(keepers).count() == 0
+    index.append(exact_dedup.digests(one.limit(0)))
+    assert index.rows().count() == 4
+    index.drop()
+    before = [t.name for t in spark.catalog.listTables()]
+    exact_dedup.label(docs)
+    exact_dedup.keep_first(docs)
+    assert [t.name for t in spark.catalog.listTables()] == before
 
 
 def slow_fingerprint(text):
@@ -92,6 +102,25 @@ def test_simhash(docs, nothing):
     assert simhash.keep_first(docs).columns == docs.columns
 
 
+def groups_of(n, pairs):
+    """The least member of each node's group."""
+    out = list(range(n))
+    while True:
+        before = list(out)
+        for a, b in pairs:
+            out[a] = out[b] = min(out[a], out[b])
+        if out == before:
+            return out
+
+
+def test_components_of_hubs_and_chains(spark):
+    rng = random.Random(8)
+    pairs = [(0, i) for i in range(1, 300)] + [(i, i + 1) for i in range(400, 470)] + [(rng.randrange(500, 900), rng.randrange(500, 900)) for _ in range(300)]
+    got = {r.node: r.component for r in common.components(spark.createDataFrame([p for p in pairs if p[0] != p[1]], "a long, b long")).collect()}
+    want = groups_of(900, pairs)
+    assert got == {i: want[i] for p in pairs if p[0] != p[1] for i in p}
+
+
 def test_simhash_links_of_crowded_keys(spark, monkeypatch):
     monkeypatch.setattr(simhash, "CROWDED", 2)
     rng = random.Random(1)
@@ -99,7 +128,13 @@ def test_simhash_links_of_crowded_keys(spark, monkeypatch):
     fps = sorted({b ^ sum(1 << rng.randrange(64) for _ in range(rng.randint(0, 4))) & (1 << 64) - 1 for b in base for _ in range(25)})
     signed = [f - (1 << 64) if f >> 63 else f for f in fps]
     got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame(list(zip(signed, range(len(fps)), strict=True)), "fp long, rep long")).collect()}
-    assert got == {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 3}
+    every = {(a, b) for a in range(len(fps)) for b in range(a + 1, len(fps)) if (fps[a] ^ fps[b]).bit_count() <= 3}
+    assert got <= every and groups_of(len(fps), got) == groups_of(len(fps), every)
+    # copies that share a segment with a pivot near to all of them: one link each
+    near = [base[0]] + [base[0] ^ (1 << i) for i in range(32)]
+    signed = [f - (1 << 64) if f >> 63 else f for f in near]
+    got = {(r.a, r.b) for r in simhash.links(spark.createDataFrame(list(zip(signed, range(len(near)), strict=True)), "fp long, rep long")).collect()}
+    assert len(set(groups_of(len(near), got))) == 1 and len(got) == 32
 
 
 def test_suffix_dedup(spark, docs, nothing):
@@ -129,7 +164,7 @@ def test_bpe_equals_the_library(spark, docs, nothing):
 
 def test_lexicon_is_exact(tmp_path):
     words = sorted({w.encode() for w in WORDS} | {w.encode() + b"ing" for w in WORDS})
-    bpe.compile_lexicon(words, [[i, i + 1] for i in range(len(words))], str(tmp_path / "x"))
+    (tmp_path / "x").write_bytes(bpe.compile_lexicon(words, [np.array([i, i + 1], "<u4").tobytes() for i in range(len(words))]))
     lex = bpe.Lexicon(str(tmp_path / "x"))
     assert lex.find(words).tolist() == list(range(len(words)))
     assert (lex.find([b"zzzzzz", b"", words[0] + b"q", words[5][:-1] + b"~"]) == -1).all()
@@ -221,8 +256,13 @@ def test_toxicity_reads_the_whole_of_long_runs():
             at = max(at, found + len(p))
         assert at == len(run) and all(len(p.encode()) <= 4 * toxicity.LONG for p in parts)
     assert toxicity.words("a b,c " + "/".join(WORDS[:20])) == ["a", "b,c", *(w + "/" for w in WORDS[:19]), WORDS[19]]
-    raw = ("<" + "ab" * 30 + "cd>").encode()
-    assert len(toxicity.features("ab" * 30 + "cd")[1]) == len(raw) - 2
+    raw = [toxicity.bare(w) for w in ("ab" * 30 + "cd", "", "a", "Abc.", "abc")]
+    for n in toxicity.GRAMS:
+        flat, count = toxicity.ngrams(raw, n)
+        assert count.tolist() == [len(r) - n + 1 for r in raw] and count[0] == 64 - n + 1 and len(flat) == count.sum()
+        by = {}
+        for gram, at in zip([r[i : i + n] for r in raw for i in range(len(r) - n + 1)], flat, strict=True):
+            assert by.setdefault(gram, at) == at
     texts = [" ".join(rng.choice(WORDS) for _ in range(40)) + (" vile wretch " * 2 if i % 3 == 0 else " ") + " ".join(rng.choice(WORDS) for _ in range(20)) for i in range(600)]
     net = toxicity.learn(texts, np.array([int(i % 3 == 0) for i in range(600)]))
     for sep in (",", "_", "/"):
