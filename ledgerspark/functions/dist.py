@@ -152,3 +152,17 @@ def cramers_v(chi_square: float, n: int, rows: int, columns: int) -> float:
 
 def correlation_p(r: float, n: int) -> float:
     return 0.0 if abs(r) >= 1 else t_two_sided(r * math.sqrt((n - 2) / (1 - r * r)), n - 2)
+
+
+#: Where effects start to count as small, medium and large, by kind of effect.
+EDGES = {"d": (0.2, 0.5, 0.8), "r": (0.1, 0.3, 0.5), "v": (0.1, 0.3, 0.5), "eta": (0.01, 0.06, 0.14)}
+
+
+def magnitude(kind: str, effect: float) -> str:
+    return ("negligible", "small", "medium", "large")[sum(abs(effect) >= e for e in EDGES[kind])]
+
+
+def strength(r: float) -> str:
+    """The words for a correlation."""
+    word = ("negligible", "weak", "moderate", "strong", "very strong")[sum(abs(r) >= e for e in (0.1, 0.3, 0.5, 0.7))]
+    return word if word == "negligible" else f"{word} {'positive' if r > 0 else 'negative'}"

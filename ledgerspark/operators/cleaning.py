@@ -8,7 +8,6 @@ such an extract from the order tables by rule, so that another engine can make t
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 #: Date formats in the order in which they are tried, spellings, bounds.
@@ -18,6 +17,9 @@ NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
 MAX_QUANTITY, MAX_PRICE, TOLERANCE = 5000, 100000, 0.01
 FIRST_DAY, LAST_DAY = "1995-01-01", "2001-12-31"
 NULLS = ("", "nan", "NaN", "None", "NULL")
+LABELS = ("product_category", "customer_segment", "payment_type")
+NUMBERS = ("quantity", "unit_price", "unit_cost", "discount", "revenue", "cost", "profit")
+BUSINESS_KEY = ("transaction_date", "customer_id", "product_id", "quantity", "unit_price", "discount")
 
 
 def text(c: str) -> Column:
@@ -60,59 +62,112 @@ def parse(raw: DataFrame) -> DataFrame:
     return raw.select(
         "seq", F.upper(text("transaction_id")).alias("transaction_id"), date(text("transaction_date")).alias("transaction_date"), customer_id(text("customer_id")).alias("customer_id"),
         F.upper(text("product_id")).alias("product_id"), canonical(text("region"), REGION_ALIASES).alias("region"),
-        *[number(text(c)).alias(c) for c in ("quantity", "unit_price", "unit_cost", "discount", "revenue")],
+        *[F.upper(text(c)).alias(c) for c in LABELS], *[number(text(c)).alias(c) for c in NUMBERS],
     )
 
 
 def deduplicate(df: DataFrame) -> DataFrame:
-    """Three passes: identical rows, transaction ids, business keys; the first by seq stays. Nulls are equal."""
-    for keys in ([c for c in df.columns if c != "seq"], ["transaction_id"], ["transaction_date", "customer_id", "product_id", "quantity", "unit_price", "discount"]):
-        df = df.withColumn("_n", F.row_number().over(W.partitionBy(*keys).orderBy("seq"))).filter("_n = 1").drop("_n")
-    return df
+    """Three passes: identical rows, transaction ids, business keys; the first by seq stays. Nulls are equal.
+
+    Each pass is an aggregate whose partial results meet, so rows that share a key (all those without one, say) do not
+    gather in one task as they would under a window.
+    """
+    columns = df.columns
+    df = df.groupBy(*[c for c in columns if c != "seq"]).agg(F.min("seq").alias("seq"))
+    for keys in (("transaction_id",), BUSINESS_KEY):
+        df = df.groupBy(*keys).agg(F.min_by(F.struct(*columns), "seq").alias("row")).select("row.*")
+    return df.select(*columns)
+
+
+#: The reasons for which a row is rejected, in the order in which they are tried.
+REASONS = (
+    "unparseable_transaction_date", "date_before_business_start", "date_in_the_future", "non_positive_quantity", "implausible_quantity",
+    "non_positive_unit_price", "implausible_unit_price", "discount_outside_0_1", "missing_product_id",
+)
+
+
+def broken() -> dict[str, Column]:
+    """Whether a row breaks each rule."""
+    d, q, p = F.col("transaction_date"), F.col("quantity"), F.col("unit_price")
+    tests = (d.isNull(), d < F.lit(FIRST_DAY).cast("date"), d > F.lit(LAST_DAY).cast("date"), q <= 0, q > MAX_QUANTITY, p <= 0, p > MAX_PRICE, (F.col("discount") < 0) | (F.col("discount") > 1), F.col("product_id").isNull())
+    return dict(zip(REASONS, tests, strict=True))
 
 
 def rejection() -> Column:
     """The first rule that a row breaks, or null."""
-    d, q, p = F.col("transaction_date"), F.col("quantity"), F.col("unit_price")
-    rules = [
-        (d.isNull(), "unparseable_transaction_date"), (d < F.lit(FIRST_DAY).cast("date"), "date_before_business_start"), (d > F.lit(LAST_DAY).cast("date"), "date_in_the_future"),
-        (q <= 0, "non_positive_quantity"), (q > MAX_QUANTITY, "implausible_quantity"), (p <= 0, "non_positive_unit_price"), (p > MAX_PRICE, "implausible_unit_price"),
-        ((F.col("discount") < 0) | (F.col("discount") > 1), "discount_outside_0_1"), (F.col("product_id").isNull(), "missing_product_id"),
-    ]
     out = F.lit(None).cast("string")
-    for broken, reason in reversed(rules):
-        out = F.when(broken, reason).otherwise(out)
+    for reason, test in reversed(broken().items()):
+        out = F.when(test, reason).otherwise(out)
     return out
 
 
-def repair(df: DataFrame) -> DataFrame:
-    """Back-solve prices, then fill from medians of the product, then of all; explicit unknowns last."""
-    net = F.col("quantity") * (1 - F.coalesce("discount", F.lit(0.0)))
-    df = df.withColumn("unit_price", F.coalesce("unit_price", F.when(net > 0, F.col("revenue") / net)))
-    by_product = df.groupBy("product_id").agg(F.median("unit_price").alias("_p"), F.median("unit_cost").alias("_c"))
-    overall = df.agg(F.median("discount").alias("_d"))
-    df = df.join(by_product, "product_id", "left").crossJoin(overall)  # overall is one row
-    return df.select(
-        "seq", "transaction_id", "transaction_date", F.coalesce("customer_id", F.lit("UNATTRIBUTED")).alias("customer_id"), F.col("customer_id").isNotNull().cast("long").alias("is_customer_attributed"),
-        "product_id", F.coalesce("region", F.lit("Unknown")).alias("region"), "quantity", F.coalesce("unit_price", "_p").alias("unit_price"), F.coalesce("unit_cost", "_c").alias("unit_cost"), F.coalesce("discount", "_d").alias("discount"), F.col("revenue").alias("reported_revenue"),
-    )
+def rounded(e: Column, n: int = 2) -> Column:
+    """Half up, by way of a decimal, so that engines agree."""
+    return F.round(e.cast("decimal(24,6)"), n).cast("double")
+
+
+#: What `repair` mends, in order; each is a column of flags in its result.
+REPAIRS = ("category", "region", "segment", "price_solved", "cost_solved", "price_median", "cost_median", "discount", "payment", "customer", "region_unknown", "segment_unknown")
+
+
+def repair(df: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
+    """Fill what is missing, best source first, with one flag (fixed_*) for each of REPAIRS.
+
+    Masters: products (product_id, m_category, m_price, m_cost), customers (customer_id, m_region, m_segment). Then sums:
+    price from revenue, cost from its unit or the other way round. Then medians of the product (taken after the sums), its
+    list price; discounts by the segment's median, then the median of all. What is left is labelled as unknown.
+    """
+    fill = lambda flag, c, *by: {f"fixed_{flag}": F.col(c).isNull() & F.coalesce(*by).isNotNull(), c: F.coalesce(c, *by)}
+    q, net = F.col("quantity"), F.col("quantity") * (1 - F.coalesce("discount", F.lit(0.0)))
+    df = df.join(products, "product_id", "left").join(customers, "customer_id", "left")
+    df = df.withColumns(fill("category", "product_category", "m_category") | fill("region", "region", "m_region") | fill("segment", "customer_segment", "m_segment"))
+    df = df.withColumns(fill("price_solved", "unit_price", F.when((q > 0) & (net > 0), F.col("revenue") / net)) | fill("cost_solved", "unit_cost", F.when(q > 0, F.col("cost") / q)))
+    medians = df.groupBy("product_id").agg(F.median("unit_price").alias("p_price"), F.median("unit_cost").alias("p_cost"))
+    df = df.join(medians, "product_id", "left")
+    df = df.withColumns(fill("price_median", "unit_price", "p_price", "m_price") | fill("cost_median", "unit_cost", "p_cost", "m_cost"))
+    df = df.withColumn("cost", F.coalesce("cost", F.col("unit_cost") * q))
+    by_segment = df.groupBy(F.col("customer_segment").alias("s_segment")).agg(F.median("discount").alias("s_discount"))
+    df = df.join(by_segment, df.customer_segment == by_segment.s_segment, "left")
+    overall = df.agg(F.median(F.coalesce("discount", "s_discount")).alias("a_discount"))
+    df = df.crossJoin(overall)  # overall is one row
+    df = df.withColumns(fill("discount", "discount", "s_discount", "a_discount") | {"is_customer_attributed": F.col("customer_id").isNotNull().cast("long")})
+    unknown = lambda flag, c, label: fill(flag, c, F.lit(label))
+    df = df.withColumns(unknown("payment", "payment_type", "Unknown") | unknown("customer", "customer_id", "UNATTRIBUTED") | unknown("region_unknown", "region", "Unknown") | unknown("segment_unknown", "customer_segment", "Unknown"))
+    return df.select("seq", "transaction_id", "transaction_date", "customer_id", "is_customer_attributed", "product_id", "region", *LABELS, *NUMBERS, *[f"fixed_{r}" for r in REPAIRS])
 
 
 def reconcile(df: DataFrame) -> DataFrame:
-    """Money recomputed from its parts; a reported figure that differs by more than the tolerance is flagged."""
-    money = lambda e: F.round(e, 2)
-    df = df.withColumn("gross_revenue", money(F.col("quantity") * F.col("unit_price")))
-    df = df.withColumn("revenue", money(F.col("gross_revenue") - money(F.col("gross_revenue") * F.col("discount")))).withColumn("cost", money(F.col("quantity") * F.col("unit_cost")))
+    """Money recomputed from its parts; reported figures that differ by more than the tolerance are flagged. Parts win."""
+    off = lambda c: F.coalesce(F.abs(F.col(c) - F.col(f"new_{c}")) > TOLERANCE, F.lit(False))
+    df = df.withColumn("gross_revenue", rounded(F.col("quantity") * F.col("unit_price")))
+    df = df.withColumn("discount_amount", rounded(F.col("gross_revenue") * F.col("discount")))
+    df = df.withColumns({"new_revenue": rounded(F.col("gross_revenue") - F.col("discount_amount")), "new_cost": rounded(F.col("quantity") * F.col("unit_cost"))})
+    df = df.withColumn("new_profit", rounded(F.col("new_revenue") - F.col("new_cost")))
+    df = df.withColumns({"revenue_off": off("revenue"), "cost_off": off("cost"), "profit_off": off("profit"), "reported_revenue": F.col("revenue"), "revenue_variance": rounded(F.col("revenue") - F.col("new_revenue"))})
+    df = df.withColumns({c: F.col(f"new_{c}") for c in ("revenue", "cost", "profit")})
+    earns = F.col("revenue") > 0
     return df.withColumns({
-        "profit": money(F.col("revenue") - F.col("cost")),
-        "margin_pct": F.when(F.col("revenue") > 0, F.round((F.col("revenue") - F.col("cost")) / F.col("revenue"), 4)),
-        "reconciliation_error": F.coalesce(F.abs(F.col("reported_revenue") - F.col("revenue")) > TOLERANCE, F.lit(False)),
-    })
+        "profit_margin_pct": F.when(earns, rounded(F.col("profit") / F.col("revenue") * 100, 4)),
+        "unit_margin": rounded(F.col("unit_price") * (1 - F.col("discount")) - F.col("unit_cost"), 4),
+        "cost_to_revenue_ratio": F.when(earns, rounded(F.col("cost") / F.col("revenue"), 4)),
+        "is_loss_making": (F.col("profit") < 0).cast("long"),
+        "had_reconciliation_error": F.col("revenue_off") | F.col("cost_off") | F.col("profit_off"),
+    }).drop("new_revenue", "new_cost", "new_profit")
+
+
+def masters(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """The product and customer masters that repairs look things up in."""
+    read = lambda t: spark.read.parquet(f"{sf_dir}/{t}.parquet")
+    price = F.col("p_retailprice")
+    products = read("part").select(F.concat(F.lit("P"), F.col("p_partkey").cast("string")).alias("product_id"), F.upper("p_type").alias("m_category"), price.alias("m_price"), rounded(price * 0.9, 4).alias("m_cost"))
+    where = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    customers = read("customer").join(where, F.col("c_nationkey") == F.col("n_nationkey")).select(F.format_string("CUST-%05d", "c_custkey").alias("customer_id"), F.col("r_name").alias("m_region"), F.upper("c_mktsegment").alias("m_segment"))
+    return products, customers
 
 
 def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An untidy extract made from the order lines by rule."""
-    for t in ("orders", "lineitem", "customer", "nation", "region"):
+    for t in ("orders", "lineitem", "customer", "nation", "region", "part"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     return spark.sql(DIRT.format(iso="date_format(d, 'yyyy-MM-dd')", dmy="date_format(d, 'dd/MM/yyyy')", dots="date_format(d, 'yyyy.MM.dd')"))
 
@@ -127,9 +182,11 @@ DIRT = """SELECT seq, concat('T', CAST(o AS STRING), '-', CAST(n AS STRING)) AS
  CASE WHEN seq % 37 = 0 THEN concat('$', CAST(price AS STRING)) WHEN seq % 43 = 0 THEN 'n/a' ELSE CAST(price AS STRING) END AS unit_price,
  CASE WHEN seq % 47 = 0 THEN '' ELSE CAST(CAST(FLOOR(price) AS DECIMAL(12,2)) AS STRING) END AS unit_cost,
  CASE WHEN seq % 41 = 0 THEN concat(CAST(CAST(disc * 100 AS DECIMAL(6,2)) AS STRING), '%') WHEN seq % 59 = 0 THEN '1.5' ELSE CAST(disc AS STRING) END AS discount,
- CASE WHEN seq % 61 = 0 THEN '9,999.99' ELSE CAST(CAST(q * price AS DECIMAL(14,2)) AS STRING) END AS revenue
-FROM (SELECT l_orderkey * 8 + l_linenumber AS seq, l_orderkey AS o, l_linenumber AS n, o_custkey AS c, l_partkey AS p, CAST(l_quantity AS BIGINT) AS q, CAST(FLOOR(l_extendedprice * 100 / l_quantity) AS DECIMAL(10,0)) * CAST(0.01 AS DECIMAL(3,2)) AS price, CAST(l_discount AS DECIMAL(6,2)) AS disc, CAST(o_orderdate AS DATE) AS d, r_name AS r
-  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS once FROM lineitem) l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE once = 1) x"""
+ CASE WHEN seq % 61 = 0 THEN '9,999.99' ELSE CAST(CAST(q * price AS DECIMAL(14,2)) AS STRING) END AS revenue,
+ CASE WHEN seq % 67 = 0 THEN ' ' WHEN seq % 71 = 0 THEN LOWER(cat) ELSE cat END AS product_category, CASE WHEN seq % 73 = 0 THEN 'None' WHEN seq % 11 = 0 THEN concat(seg, ' ') ELSE seg END AS customer_segment, CASE WHEN seq % 79 = 0 THEN 'NaN' ELSE pay END AS payment_type,
+ CASE WHEN seq % 83 = 0 THEN '' ELSE CAST(CAST(q * FLOOR(price) AS DECIMAL(14,2)) AS STRING) END AS cost, CASE WHEN seq % 61 = 0 THEN '-' ELSE CAST(CAST(q * (price - FLOOR(price)) AS DECIMAL(14,2)) AS STRING) END AS profit
+FROM (SELECT l_orderkey * 8 + l_linenumber AS seq, l_orderkey AS o, l_linenumber AS n, o_custkey AS c, l_partkey AS p, CAST(l_quantity AS BIGINT) AS q, CAST(FLOOR(l_extendedprice * 100 / l_quantity) AS DECIMAL(10,0)) * CAST(0.01 AS DECIMAL(3,2)) AS price, CAST(l_discount AS DECIMAL(6,2)) AS disc, CAST(o_orderdate AS DATE) AS d, r_name AS r, p_type AS cat, c_mktsegment AS seg, o_orderpriority AS pay
+  FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS once FROM lineitem) l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey WHERE once = 1) x"""
 
 
 def _number_sql(c: str) -> str:
@@ -143,7 +200,7 @@ _REGIONS = "CASE regexp_replace(lower(trim(region)), '[^a-z0-9]', '', 'g') " + "
 PARSED_SQL = f"""SELECT seq, upper(trim(transaction_id)) AS transaction_id,
  CAST(coalesce(try_strptime(trim(transaction_date), '%Y-%m-%d'), try_strptime(trim(transaction_date), '%d/%m/%Y'), try_strptime(trim(transaction_date), '%Y.%m.%d')) AS DATE) AS transaction_date,
  CASE WHEN regexp_extract(customer_id, '([0-9]+)', 1) <> '' THEN concat('CUST-', lpad(regexp_extract(customer_id, '([0-9]+)', 1), 5, '0')) END AS customer_id,
- CASE WHEN trim(product_id) NOT IN ('', 'NULL') THEN upper(trim(product_id)) END AS product_id, {_REGIONS} AS region, {', '.join(_number_sql(c) for c in ('quantity', 'unit_price', 'unit_cost', 'discount', 'revenue'))}
+ CASE WHEN trim(product_id) NOT IN ('', 'NULL') THEN upper(trim(product_id)) END AS product_id, {_REGIONS} AS region, {', '.join(f"CASE WHEN trim({c}) NOT IN ('', 'nan', 'NaN', 'None', 'NULL') THEN upper(trim({c})) END AS {c}" for c in LABELS)}, {', '.join(_number_sql(c) for c in NUMBERS)}
 FROM ({_DIRT_DUCK}) raw"""
 REASON_SQL = f"""CASE WHEN transaction_date IS NULL THEN 'unparseable_transaction_date' WHEN transaction_date < DATE '{FIRST_DAY}' THEN 'date_before_business_start' WHEN transaction_date > DATE '{LAST_DAY}' THEN 'date_in_the_future' WHEN quantity <= 0 THEN 'non_positive_quantity'
  WHEN quantity > {MAX_QUANTITY} THEN 'implausible_quantity' WHEN unit_price <= 0 THEN 'non_positive_unit_price' WHEN unit_price > {MAX_PRICE} THEN 'implausible_unit_price' WHEN discount < 0 OR discount > 1 THEN 'discount_outside_0_1' WHEN product_id IS NULL THEN 'missing_product_id' END"""
@@ -153,14 +210,94 @@ def c01_parsed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return parse(dirty(spark, sf_dir))
 
 
+def c01_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many cells of each text column trimming changes."""
+    raw = dirty(spark, sf_dir)
+    columns = [c for c in raw.columns if c != "seq"]
+    counts = raw.agg(*[F.sum((F.col(c) != F.trim(c)).cast("long")).alias(c) for c in columns])
+    return counts.unpivot([], columns, "column", "cells")
+
+
+def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return deduplicate(c01_parsed(spark, sf_dir)).withColumn("reason", rejection())
+
+
 def c11_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c01_parsed(spark, sf_dir).withColumn("reason", rejection()).groupBy("reason").agg(F.count("*").alias("rows"))
 
 
+def c11_rule_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows break each rule, whether or not another rule rejects them first."""
+    counts = _unique(spark, sf_dir).agg(*[F.sum(F.coalesce(test, F.lit(False)).cast("long")).alias(r) for r, test in broken().items()])
+    return counts.unpivot([], list(REASONS), "reason", "rows")
+
+
+def c12_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rejected rows, with the first reason of each."""
+    return _unique(spark, sf_dir).filter(F.col("reason").isNotNull())
+
+
+def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(_unique(spark, sf_dir).filter(F.col("reason").isNull()).drop("reason"), *masters(spark, sf_dir))
+
+
+def c13_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many rows each repair touches."""
+    counts = _repaired(spark, sf_dir).agg(*[F.sum(F.col(f"fixed_{r}").cast("long")).alias(r) for r in REPAIRS])
+    return counts.unpivot([], list(REPAIRS), "repair", "rows")
+
+
 def c18_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
-    parsed = deduplicate(c01_parsed(spark, sf_dir)).withColumn("_r", rejection())
-    return reconcile(repair(parsed.filter(F.col("_r").isNull()).drop("_r")))
+    return reconcile(_repaired(spark, sf_dir)).drop(*[f"fixed_{r}" for r in REPAIRS])
+
+
+def c19_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: what came in, what stayed, and its totals."""
+    exact = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
+    raw = dirty(spark, sf_dir).agg(F.count("*").alias("raw_rows"))
+    kept = _unique(spark, sf_dir).agg(F.count("*").alias("unique_rows"), F.count("reason").alias("rejected_rows"))
+    clean = c18_clean(spark, sf_dir).agg(F.count("*").alias("clean_rows"), F.sum(F.col("had_reconciliation_error").cast("long")).alias("rows_with_reconciliation_error"), F.min("transaction_date").alias("first_date"), F.max("transaction_date").alias("last_date"), exact("revenue").alias("total_revenue"), exact("cost").alias("total_cost"), exact("profit").alias("total_profit"))
+    return raw.crossJoin(kept).crossJoin(clean).select(  # one row each
+        "raw_rows", (F.col("raw_rows") - F.col("unique_rows")).alias("duplicates"), "rejected_rows", "clean_rows", rounded(F.col("clean_rows") * 100 / F.col("raw_rows")).alias("retention_rate_pct"), "rows_with_reconciliation_error",
+        "first_date", "last_date", "total_revenue", "total_cost", "total_profit", rounded(F.col("total_profit") / F.col("total_revenue") * 100).alias("gross_margin_pct"),
+    )
 
 
-QUERIES = {"c01_parsed": c01_parsed, "c11_rejections": c11_rejections, "c18_clean": c18_clean}
-ORACLES = {"c01_parsed": PARSED_SQL, "c11_rejections": f"SELECT {REASON_SQL} AS reason, COUNT(*) AS rows FROM ({PARSED_SQL}) p GROUP BY 1"}
+def _r(x: str, n: int = 2) -> str:
+    return f"CAST(ROUND(CAST({x} AS DECIMAL(24,6)), {n}) AS DOUBLE)"
+
+
+_FIRST = lambda source, keys: f"SELECT * EXCLUDE once FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY {', '.join(keys)} ORDER BY seq) AS once FROM {source}) x WHERE once = 1"
+_ALL = ("transaction_id", "transaction_date", "customer_id", "product_id", "region", *LABELS, *NUMBERS)
+_HITS = "transaction_date IS NULL|transaction_date < DATE '{0}'|transaction_date > DATE '{1}'|quantity <= 0|quantity > {2}|unit_price <= 0|unit_price > {3}|discount < 0 OR discount > 1|product_id IS NULL".format(FIRST_DAY, LAST_DAY, MAX_QUANTITY, MAX_PRICE).split("|")
+#: The same steps as SQL for the checking engine, written with windows and CASE instead of aggregates and flags.
+CLEAN_SQL = f"""WITH parsed AS ({PARSED_SQL}), once1 AS ({_FIRST('parsed', _ALL)}), once2 AS ({_FIRST('once1', ('transaction_id',))}), once3 AS ({_FIRST('once2', BUSINESS_KEY)}),
+unique_rows AS (SELECT *, {REASON_SQL} AS reason FROM once3),
+looked AS (SELECT u.* EXCLUDE (reason, region, customer_segment, product_category), COALESCE(u.region, r_name) AS region, COALESCE(customer_segment, upper(c_mktsegment)) AS customer_segment, COALESCE(product_category, upper(p_type)) AS product_category, p_retailprice, p_partkey,
+   u.product_category IS NULL AND p_type IS NOT NULL AS fixed_category, u.region IS NULL AND r_name IS NOT NULL AS fixed_region, u.customer_segment IS NULL AND c_mktsegment IS NOT NULL AS fixed_segment
+  FROM unique_rows u LEFT JOIN part ON u.product_id = concat('P', CAST(p_partkey AS STRING)) LEFT JOIN customer ON u.customer_id = concat('CUST-', lpad(CAST(c_custkey AS STRING), 5, '0')) LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey WHERE reason IS NULL),
+solved AS (SELECT * EXCLUDE (unit_price, unit_cost), unit_price AS price0, unit_cost AS cost0, COALESCE(unit_price, CASE WHEN quantity > 0 AND quantity * (1 - COALESCE(discount, 0)) > 0 THEN revenue / (quantity * (1 - COALESCE(discount, 0))) END) AS price1, COALESCE(unit_cost, CASE WHEN quantity > 0 THEN cost / quantity END) AS cost1 FROM looked),
+middle AS (SELECT product_id, median(price1) AS p_price, median(cost1) AS p_cost FROM solved GROUP BY 1),
+priced AS (SELECT s.*, COALESCE(price1, p_price, p_retailprice) AS unit_price, COALESCE(cost1, p_cost, {_r('p_retailprice * 0.9', 4)}) AS unit_cost FROM solved s LEFT JOIN middle m ON m.product_id = s.product_id),
+segments AS (SELECT customer_segment, median(discount) AS s_discount FROM priced GROUP BY 1), dealt AS (SELECT p.* EXCLUDE discount, p.discount AS discount0, COALESCE(p.discount, s_discount) AS discount1 FROM priced p LEFT JOIN segments s ON s.customer_segment = p.customer_segment),
+filled AS (SELECT seq, transaction_id, transaction_date, COALESCE(customer_id, 'UNATTRIBUTED') AS customer_id, CAST(CASE WHEN customer_id IS NULL THEN 0 ELSE 1 END AS BIGINT) AS is_customer_attributed, product_id, COALESCE(region, 'Unknown') AS region, product_category, COALESCE(customer_segment, 'Unknown') AS customer_segment, COALESCE(payment_type, 'Unknown') AS payment_type,
+   quantity, unit_price, unit_cost, COALESCE(discount1, (SELECT median(discount1) FROM dealt)) AS discount, revenue, COALESCE(cost, unit_cost * quantity) AS cost, profit, fixed_category, fixed_region, fixed_segment, price0 IS NULL AND price1 IS NOT NULL AS fixed_price_solved, cost0 IS NULL AND cost1 IS NOT NULL AS fixed_cost_solved,
+   price1 IS NULL AND unit_price IS NOT NULL AS fixed_price_median, cost1 IS NULL AND unit_cost IS NOT NULL AS fixed_cost_median, discount0 IS NULL AS fixed_discount, payment_type IS NULL AS fixed_payment, customer_id IS NULL AS fixed_customer, region IS NULL AS fixed_region_unknown, customer_segment IS NULL AS fixed_segment_unknown FROM dealt),
+g AS (SELECT *, {_r('quantity * unit_price')} AS gross_revenue FROM filled), h AS (SELECT *, {_r('gross_revenue * discount')} AS discount_amount FROM g), n AS (SELECT *, {_r('gross_revenue - discount_amount')} AS r, {_r('quantity * unit_cost')} AS c FROM h), w AS (SELECT *, {_r('r - c')} AS p FROM n),
+clean AS (SELECT seq, transaction_id, transaction_date, customer_id, is_customer_attributed, product_id, region, product_category, customer_segment, payment_type, quantity, unit_price, unit_cost, discount, r AS revenue, c AS cost, p AS profit, gross_revenue, discount_amount,
+   COALESCE(abs(revenue - r) > {TOLERANCE}, false) AS revenue_off, COALESCE(abs(cost - c) > {TOLERANCE}, false) AS cost_off, COALESCE(abs(profit - p) > {TOLERANCE}, false) AS profit_off, revenue AS reported_revenue, {_r('revenue - r')} AS revenue_variance, CASE WHEN r > 0 THEN {_r('p / r * 100', 4)} END AS profit_margin_pct,
+   {_r('unit_price * (1 - discount) - unit_cost', 4)} AS unit_margin, CASE WHEN r > 0 THEN {_r('c / r', 4)} END AS cost_to_revenue_ratio, CAST(p < 0 AS BIGINT) AS is_loss_making, COALESCE(abs(revenue - r) > {TOLERANCE}, false) OR COALESCE(abs(cost - c) > {TOLERANCE}, false) OR COALESCE(abs(profit - p) > {TOLERANCE}, false) AS had_reconciliation_error FROM w)"""
+
+QUERIES = {"c01_parsed": c01_parsed, "c01_trimmed": c01_trimmed, "c11_rejections": c11_rejections, "c11_rule_hits": c11_rule_hits, "c12_quarantined": c12_quarantined, "c13_repaired": c13_repaired, "c18_clean": c18_clean, "c19_summary": c19_summary}
+ORACLES = {
+    "c01_parsed": PARSED_SQL,
+    "c01_trimmed": " UNION ALL ".join(f"SELECT '{c}' AS column, CAST(SUM(CASE WHEN {c} <> trim({c}) THEN 1 ELSE 0 END) AS BIGINT) AS cells FROM ({_DIRT_DUCK}) d" for c in _ALL),
+    "c11_rejections": f"SELECT {REASON_SQL} AS reason, COUNT(*) AS rows FROM ({PARSED_SQL}) p GROUP BY 1",
+    "c11_rule_hits": CLEAN_SQL + " " + " UNION ALL ".join(f"SELECT '{r}' AS reason, CAST(SUM(CASE WHEN {hit} THEN 1 ELSE 0 END) AS BIGINT) AS rows FROM unique_rows" for r, hit in zip(REASONS, _HITS, strict=True)),
+    "c12_quarantined": CLEAN_SQL + " SELECT * FROM unique_rows WHERE reason IS NOT NULL",
+    "c13_repaired": CLEAN_SQL + " " + " UNION ALL ".join(f"SELECT '{r}' AS repair, CAST(SUM(CASE WHEN fixed_{r} THEN 1 ELSE 0 END) AS BIGINT) AS rows FROM filled" for r in REPAIRS),
+    "c18_clean": CLEAN_SQL + " SELECT * FROM clean",
+    "c19_summary": CLEAN_SQL + f""", t AS (SELECT COUNT(*) AS clean_rows, CAST(SUM(CAST(had_reconciliation_error AS BIGINT)) AS BIGINT) AS bad, MIN(transaction_date) AS first_date, MAX(transaction_date) AS last_date, CAST(SUM(CAST(revenue AS DECIMAL(18,2))) AS DOUBLE) AS r, CAST(SUM(CAST(cost AS DECIMAL(18,2))) AS DOUBLE) AS c, CAST(SUM(CAST(profit AS DECIMAL(18,2))) AS DOUBLE) AS p FROM clean),
+x AS (SELECT (SELECT COUNT(*) FROM parsed) AS raw_rows, COUNT(*) AS kept, COUNT(reason) AS rejected_rows FROM unique_rows)
+SELECT raw_rows, raw_rows - kept AS duplicates, rejected_rows, clean_rows, {_r('clean_rows * 100.0E0 / raw_rows')} AS retention_rate_pct, bad AS rows_with_reconciliation_error, first_date, last_date, r AS total_revenue, c AS total_cost, p AS total_profit, {_r('p / r * 100')} AS gross_margin_pct FROM t CROSS JOIN x""",
+}

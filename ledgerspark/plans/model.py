@@ -7,12 +7,26 @@ so that no query needs a date function. Supporting facts are analogues, made fro
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The relations that `build` writes, and the column by which it partitions them.
+FACTS = {"fact_transactions": "year_month", "fact_operating_expenses": None, "fact_marketing_spend": None, "fact_employee_costs": None, "fact_accounts_receivable": None, "fact_budget": None}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
-SPARK = {"ym": "date_format({0}, 'yyyy-MM')", "month": "trunc({0}, 'MM')", "days": "datediff({0}, {1})", "plus": "date_add({0}, {1})", "dow": "weekday({0})"}
-DUCK = {"ym": "strftime({0}, '%Y-%m')", "month": "CAST(date_trunc('month', {0}) AS DATE)", "days": "date_diff('day', {1}, {0})", "plus": "CAST({0} + {1} AS DATE)", "dow": "CAST(isodow({0}) - 1 AS INTEGER)"}
+SPARK = {"ym": "date_format({0}, 'yyyy-MM')", "month": "trunc({0}, 'MM')", "days": "datediff({0}, {1})", "plus": "date_add({0}, {1})", "dow": "weekday({0})", "day": "date_format({0}, 'EEEE')", "month_name": "date_format({0}, 'MMMM')", "every_day": "explode(sequence({0}, {1}, INTERVAL 1 DAY))"}
+DUCK = {"ym": "strftime({0}, '%Y-%m')", "month": "CAST(date_trunc('month', {0}) AS DATE)", "days": "date_diff('day', {1}, {0})", "plus": "CAST({0} + {1} AS DATE)", "dow": "CAST(isodow({0}) - 1 AS INTEGER)", "day": "strftime({0}, '%A')", "month_name": "strftime({0}, '%B')", "every_day": "CAST(unnest(generate_series({0}, {1}, INTERVAL 1 DAY)) AS DATE)"}
+
+
+def total(x: str) -> str:
+    """A decimal sum, cast to double at the end."""
+    return f"CAST(SUM({x}) AS DOUBLE)"
+
+
+def ratio(a: str, b: str) -> str:
+    """Percent of one sum in another."""
+    return f"{total(a)} * 100.0E0 / NULLIF({total(b)}, 0)"
 
 
 def relations(f: dict[str, str]) -> dict[str, str]:
@@ -22,22 +36,28 @@ def relations(f: dict[str, str]) -> dict[str, str]:
         return f[name].format(*args)
 
     day = "CAST(o_orderdate AS DATE)"
+    unit_cost = "CAST(CAST(p_retailprice AS DECIMAL(10,2)) * CAST(0.90 AS DECIMAL(3,2)) AS DECIMAL(12,4))"
+    revenue = "(gross_revenue - discount_amount)"
+    cost = "CAST(ROUND(CAST(quantity AS DECIMAL(10,0)) * CAST(p_retailprice AS DECIMAL(10,2)) * CAST(0.90 AS DECIMAL(3,2)), 2) AS DECIMAL(14,2))"
+    stale = "CAST(CASE WHEN (order_id + line_number) % 47 = 0 THEN 0.02 ELSE 0 END AS DECIMAL(4,2))"  # an analogue: figures reported before a late correction
     return {
         "base_lines": f"""
 SELECT {day} AS transaction_date, CAST(year({day}) AS BIGINT) AS year, CAST(quarter({day}) AS BIGINT) AS quarter,
   concat(CAST(year({day}) AS STRING), '-Q', CAST(quarter({day}) AS STRING)) AS year_quarter,
-  CAST(month({day}) AS BIGINT) AS month, {fn("month", day)} AS month_start, {fn("ym", day)} AS year_month, {fn("dow", day)} AS weekday,
+  CAST(month({day}) AS BIGINT) AS month, {fn("month", day)} AS month_start, {fn("ym", day)} AS year_month, {fn("dow", day)} AS weekday, {fn("day", day)} AS day_of_week, CASE WHEN {fn("dow", day)} >= 5 THEN 1 ELSE 0 END AS is_weekend,
   o_custkey AS customer_id, l_partkey AS product_id, o_orderpriority AS payment_type, l_suppkey AS supplier_id, l_linenumber AS line_number, l_orderkey AS order_id,
   CAST(l_quantity AS BIGINT) AS quantity, CAST(l_extendedprice AS DECIMAL(14,2)) AS gross_revenue, CAST(l_discount AS DECIMAL(6,4)) AS discount,
   CAST(ROUND(CAST(l_extendedprice AS DECIMAL(14,2)) * CAST(l_discount AS DECIMAL(6,4)), 2) AS DECIMAL(14,2)) AS discount_amount
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
-        "fact_transactions": """
+        "fact_transactions": f"""
 SELECT b.*, c_mktsegment AS customer_segment, r_name AS region, p_name AS product_name, p_type AS product_category,
   CASE WHEN customer_id % 50 <> 0 THEN 1 ELSE 0 END AS is_customer_attributed,
-  gross_revenue - discount_amount AS revenue,
-  CAST(ROUND(CAST(quantity AS DECIMAL(10,0)) * CAST(p_retailprice AS DECIMAL(10,2)) * CAST(0.90 AS DECIMAL(3,2)), 2) AS DECIMAL(14,2)) AS cost,
-  gross_revenue - discount_amount - CAST(ROUND(CAST(quantity AS DECIMAL(10,0)) * CAST(p_retailprice AS DECIMAL(10,2)) * CAST(0.90 AS DECIMAL(3,2)), 2) AS DECIMAL(14,2)) AS profit,
-  CASE WHEN gross_revenue - discount_amount < CAST(ROUND(CAST(quantity AS DECIMAL(10,0)) * CAST(p_retailprice AS DECIMAL(10,2)) * CAST(0.90 AS DECIMAL(3,2)), 2) AS DECIMAL(14,2)) THEN 1 ELSE 0 END AS is_loss_making
+  CAST(gross_revenue AS DOUBLE) / quantity AS unit_price, {unit_cost} AS unit_cost, {revenue} AS revenue, {cost} AS cost, {revenue} - {cost} AS profit,
+  CASE WHEN {revenue} > 0 THEN CAST({revenue} - {cost} AS DOUBLE) * 100 / CAST({revenue} AS DOUBLE) END AS profit_margin_pct,
+  CASE WHEN {revenue} > 0 THEN CAST({cost} AS DOUBLE) / CAST({revenue} AS DOUBLE) END AS cost_to_revenue_ratio,
+  CAST(gross_revenue AS DOUBLE) / quantity * (1 - CAST(discount AS DOUBLE)) - CAST({unit_cost} AS DOUBLE) AS unit_margin,
+  CASE WHEN {revenue} < {cost} THEN 1 ELSE 0 END AS is_loss_making,
+  {revenue} + {stale} AS reported_revenue, CASE WHEN ABS({stale}) > 0.01 THEN 1 ELSE 0 END AS had_reconciliation_error
 FROM base_lines b JOIN customer ON customer_id = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON product_id = p_partkey""",
         "dim_customer": "SELECT c_custkey AS customer_id, c_mktsegment AS customer_segment, r_name AS region FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey",
         "dim_product": "SELECT p_partkey AS product_id, p_name AS product_name, p_type AS product_category, p_brand AS brand, CAST(p_retailprice AS DECIMAL(10,2)) AS list_price FROM part",
@@ -51,10 +71,15 @@ FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey
         "fact_employee_costs": f"""
 SELECT {fn("month", "CAST(o_orderdate AS DATE)")} AS month, n_name AS department, COUNT(DISTINCT l_suppkey) AS headcount, CAST(SUM(CAST(l_quantity AS BIGINT)) AS BIGINT) AS total_cost
 FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2""",
+        "dim_date": f"""
+SELECT date_key, CAST(year(date_key) AS BIGINT) AS year, CAST(quarter(date_key) AS BIGINT) AS quarter, concat(CAST(year(date_key) AS STRING), '-Q', CAST(quarter(date_key) AS STRING)) AS year_quarter,
+  CAST(month(date_key) AS BIGINT) AS month, {fn("ym", "date_key")} AS year_month, {fn("month", "date_key")} AS month_start, {fn("month_name", "date_key")} AS month_name, {fn("day", "date_key")} AS day_of_week,
+  CASE WHEN {fn("dow", "date_key")} >= 5 THEN 1 ELSE 0 END AS is_weekend
+FROM (SELECT {fn("every_day", "lo", "hi")} AS date_key FROM (SELECT CAST(MIN(o_orderdate) AS DATE) AS lo, CAST(MAX(o_orderdate) AS DATE) AS hi FROM orders) r) d""",
         "fact_budget": """
-SELECT month, region, CAST(ROUND(COALESCE(before * 1.2, revenue * 1.03), 2) AS DECIMAL(16,2)) AS revenue_target
-FROM (SELECT month, region, revenue, LAG(revenue, 12) OVER (PARTITION BY region ORDER BY month) AS before
-      FROM (SELECT month_start AS month, region, CAST(SUM(revenue) AS DECIMAL(18,2)) AS revenue FROM fact_transactions GROUP BY 1, 2) m) b""",
+SELECT month, region, CAST(ROUND(COALESCE(revenue_before * 1.2, revenue * 1.03), 2) AS DECIMAL(16,2)) AS revenue_target, CAST(ROUND(COALESCE(profit_before * 1.2, profit * 1.03), 2) AS DECIMAL(16,2)) AS profit_target
+FROM (SELECT month, region, revenue, profit, LAG(revenue, 12) OVER (PARTITION BY region ORDER BY month) AS revenue_before, LAG(profit, 12) OVER (PARTITION BY region ORDER BY month) AS profit_before
+      FROM (SELECT month_start AS month, region, CAST(SUM(revenue) AS DECIMAL(18,2)) AS revenue, CAST(SUM(profit) AS DECIMAL(18,2)) AS profit FROM fact_transactions GROUP BY 1, 2) m) b""",
         "fact_accounts_receivable": f"""
 SELECT i.*, CASE WHEN paid_date IS NOT NULL THEN {fn("days", "paid_date", "invoice_date")} END AS days_to_pay,
   CASE WHEN paid_date IS NULL THEN 1 ELSE 0 END AS is_open,
@@ -66,64 +91,88 @@ FROM (SELECT o_orderkey AS invoice_id, o_custkey AS customer_id, CAST(o_orderdat
         CASE WHEN o_orderstatus <> 'O' THEN ship END AS paid_date, CAST(o_totalprice AS DECIMAL(14,2)) AS invoice_amount, as_of
       FROM orders LEFT JOIN (SELECT l_orderkey, CAST(MAX(l_shipdate) AS DATE) AS ship FROM lineitem GROUP BY 1) s ON l_orderkey = o_orderkey
         CROSS JOIN (SELECT CAST(MAX(o_orderdate) AS DATE) AS as_of FROM orders) a) i""",
-        "v_monthly_revenue": """
-SELECT year, month, year_month, month_start, COUNT(*) AS transactions, CAST(SUM(quantity) AS BIGINT) AS units, COUNT(DISTINCT customer_id) AS customers,
-  CAST(SUM(gross_revenue) AS DOUBLE) AS gross_revenue, CAST(SUM(discount_amount) AS DOUBLE) AS discounts, CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(SUM(cost) AS DOUBLE) AS cost, CAST(SUM(profit) AS DOUBLE) AS profit,
-  CAST(SUM(profit) AS DOUBLE) * 100.0E0 / NULLIF(CAST(SUM(revenue) AS DOUBLE), 0) AS margin_pct, CAST(SUM(revenue) AS DOUBLE) / COUNT(*) AS avg_transaction
-FROM fact_transactions GROUP BY year, month, year_month, month_start""",
-        "v_monthly_pnl": """
-SELECT r.year, r.year_month, r.month_start, r.revenue, r.cost, r.profit AS gross_profit, COALESCE(o.amount, 0) AS opex, COALESCE(e.amount, 0) AS payroll, COALESCE(m.amount, 0) AS marketing,
-  r.profit - COALESCE(o.amount, 0) - COALESCE(e.amount, 0) - COALESCE(m.amount, 0) AS operating_profit,
-  (r.profit - COALESCE(o.amount, 0) - COALESCE(e.amount, 0) - COALESCE(m.amount, 0)) * 100.0E0 / NULLIF(r.revenue, 0) AS operating_margin_pct
-FROM v_monthly_revenue r
-LEFT JOIN (SELECT month, CAST(SUM(amount) AS DOUBLE) AS amount FROM fact_operating_expenses WHERE expense_category <> 'Salaries & Wages' GROUP BY 1) o ON o.month = r.month_start
-LEFT JOIN (SELECT month, CAST(SUM(total_cost) AS DOUBLE) AS amount FROM fact_employee_costs GROUP BY 1) e ON e.month = r.month_start
-LEFT JOIN (SELECT month, CAST(SUM(spend) AS DOUBLE) AS amount FROM fact_marketing_spend GROUP BY 1) m ON m.month = r.month_start""",
-        "v_customer_summary": """
-SELECT f.customer_id, d.customer_segment, d.region, COUNT(*) AS transactions, CAST(SUM(quantity) AS BIGINT) AS units, CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(SUM(profit) AS DOUBLE) AS profit,
-  MIN(transaction_date) AS first_purchase, MAX(transaction_date) AS last_purchase, COUNT(DISTINCT year_month) AS active_months
+        "v_monthly_revenue": f"""
+SELECT month_start, year_month, year, quarter, month, COUNT(*) AS transactions, COUNT(DISTINCT customer_id) AS active_customers, CAST(SUM(quantity) AS BIGINT) AS units_sold,
+  {total("gross_revenue")} AS gross_revenue, {total("discount_amount")} AS discount_amount, {total("revenue")} AS revenue, {total("cost")} AS cost, {total("profit")} AS profit,
+  {ratio("profit", "revenue")} AS profit_margin_pct, {ratio("discount_amount", "gross_revenue")} AS discount_rate_pct, {total("revenue")} / COUNT(*) AS avg_transaction_value
+FROM fact_transactions GROUP BY month_start, year_month, year, quarter, month""",
+        "v_monthly_pnl": f"""
+SELECT p.*, gross_profit * 100.0E0 / NULLIF(revenue, 0) AS gross_margin_pct, operating_profit * 100.0E0 / NULLIF(revenue, 0) AS operating_margin_pct
+FROM (SELECT s.*, COALESCE(operating_expenses_, 0) AS operating_expenses, COALESCE(payroll_cost_, 0) AS payroll_cost, COALESCE(marketing_spend_, 0) AS marketing_spend, COALESCE(headcount_, 0) AS headcount,
+    gross_profit - COALESCE(operating_expenses_, 0) - COALESCE(payroll_cost_, 0) - COALESCE(marketing_spend_, 0) AS operating_profit
+  FROM (SELECT month_start, {total("revenue")} AS revenue, {total("cost")} AS cogs, {total("profit")} AS gross_profit FROM fact_transactions GROUP BY month_start) s
+  LEFT JOIN (SELECT month, {total("amount")} AS operating_expenses_ FROM fact_operating_expenses WHERE expense_category <> 'Salaries & Wages' GROUP BY 1) o ON o.month = s.month_start
+  LEFT JOIN (SELECT month, {total("total_cost")} AS payroll_cost_, CAST(SUM(headcount) AS BIGINT) AS headcount_ FROM fact_employee_costs GROUP BY 1) e ON e.month = s.month_start
+  LEFT JOIN (SELECT month, {total("spend")} AS marketing_spend_ FROM fact_marketing_spend GROUP BY 1) m ON m.month = s.month_start) p""",
+        "v_customer_summary": f"""
+SELECT f.customer_id, d.customer_segment, d.region, COUNT(*) AS transactions, MIN(transaction_date) AS first_purchase, MAX(transaction_date) AS last_purchase, COUNT(DISTINCT year_month) AS active_months,
+  {total("revenue")} AS revenue, {total("cost")} AS cost, {total("profit")} AS profit, {ratio("profit", "revenue")} AS profit_margin_pct, {total("revenue")} / COUNT(*) AS avg_order_value, {ratio("discount_amount", "gross_revenue")} AS discount_rate_pct
 FROM fact_transactions f JOIN dim_customer d ON f.customer_id = d.customer_id WHERE is_customer_attributed = 1 GROUP BY f.customer_id, d.customer_segment, d.region""",
-        "v_product_summary": """
-SELECT f.product_id, d.product_name, f.product_category, COUNT(*) AS transactions, CAST(SUM(quantity) AS BIGINT) AS units, CAST(SUM(gross_revenue) AS DOUBLE) AS gross_revenue, CAST(SUM(discount_amount) AS DOUBLE) AS discounts,
-  CAST(SUM(revenue) AS DOUBLE) AS revenue, CAST(SUM(profit) AS DOUBLE) AS profit, CAST(SUM(profit) AS DOUBLE) * 100.0E0 / NULLIF(CAST(SUM(revenue) AS DOUBLE), 0) AS margin_pct,
-  CAST(SUM(discount_amount) AS DOUBLE) * 100.0E0 / NULLIF(CAST(SUM(gross_revenue) AS DOUBLE), 0) AS discount_pct
+        "v_product_summary": f"""
+SELECT f.product_id, d.product_name, f.product_category, COUNT(*) AS transactions, CAST(SUM(quantity) AS BIGINT) AS units_sold, {total("gross_revenue")} AS gross_revenue, {total("revenue")} AS revenue, {total("cost")} AS cost, {total("profit")} AS profit,
+  {ratio("profit", "revenue")} AS profit_margin_pct, {ratio("discount_amount", "gross_revenue")} AS discount_rate_pct, {total("revenue")} / NULLIF(SUM(quantity), 0) AS avg_realised_price
 FROM fact_transactions f JOIN dim_product d ON f.product_id = d.product_id GROUP BY f.product_id, d.product_name, f.product_category""",
     }
 
 
+def named(name: str, text: str) -> bool:
+    """Whether text names a table or relation, as a whole word."""
+    return re.search(rf"\b{name}\b", text) is not None
+
+
 def needed(all_: dict[str, str], sql: str) -> list[str]:
     """The relations that a query uses, directly or not, in the order in which they build on each other."""
     out, text = [], sql
     for name in reversed(list(all_)):
-        if name in text:
+        if named(name, text):
             out.insert(0, name)
             text += all_[name]
     return out
 
 
-def register(spark: SparkSession, sf_dir: str, sql: str | None = None) -> None:
-    """Make tables and relations known as temporary views, those that sql uses or all; nothing is read yet."""
+def register(spark: SparkSession, sf_dir: str, sql: str | None = None, warehouse: str | None = None) -> None:
+    """Make tables and relations known as temporary views, those that sql uses or all; nothing is read yet.
+
+    Facts that `build` has written to a warehouse folder are read from there instead of being joined anew.
+    """
     all_ = relations(SPARK)
+    if warehouse:
+        all_ = {name: "" if name in FACTS else text for name, text in all_.items()}
     names = list(all_) if sql is None else needed(all_, sql)
     text = " ".join([sql or " ".join(TABLES), *(all_[n] for n in names)])
     for t in TABLES:
-        if t in text:
+        if named(t, text):
             spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
     for name in names:
-        spark.sql(all_[name]).createOrReplaceTempView(name)
+        (spark.sql(all_[name]) if all_[name] else spark.read.parquet(f"{warehouse}/{name}")).createOrReplaceTempView(name)
+
+
+def build(spark: SparkSession, sf_dir: str, warehouse: str) -> None:
+    """Write the facts once, the ledger partitioned by month, so that queries prune months instead of joining the order tables."""
+    register(spark, sf_dir)
+    for name, by in FACTS.items():
+        df = spark.table(name)
+        if by:
+            df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(f"{warehouse}/{name}")
+        else:
+            df.write.mode("overwrite").parquet(f"{warehouse}/{name}")
 
 
-def run(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    register(spark, sf_dir, sql)
-    df = spark.sql(sql)
+def run(spark: SparkSession, sf_dir: str, sql: str, args: dict[str, str] | None = None, warehouse: str | None = None) -> DataFrame:
+    """The query's result. args are bound to its :names, never spliced into its text."""
+    register(spark, sf_dir, sql, warehouse)
+    df = spark.sql(sql, args=args) if args else spark.sql(sql)
     return df.select(*(F.col(c).cast("long").alias(c) if t == "int" else F.col(c) for c, t in df.dtypes))  # ranks and day counts
 
 
-def oracle(sql: str) -> str:
-    """The query as one statement that needs only the tables: the relations that it uses go before it."""
+def oracle(sql: str, args: dict[str, str] | None = None) -> str:
+    """The query as one statement that needs only the tables: the relations that it uses go before it, its args are literals."""
     all_ = relations(DUCK)
     need = [f"{name} AS ({all_[name]})" for name in needed(all_, sql)]
     text = sql.strip()
+    for name, value in (args or {}).items():
+        quoted = "'" + value.replace("'", "''") + "'"
+        text = re.sub(rf":{name}\b", lambda _: quoted, text)  # noqa: B023
     if not need:
         return text
     head = "WITH " + ", ".join(need)

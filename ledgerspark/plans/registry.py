@@ -8,17 +8,18 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning
-from . import analytics, library, model, regression, seasonal
+from . import analytics, library, model, regression, seasonal, significance
 
 
-def _run(sql: str, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.run(spark, sf_dir, sql)
+def _run(sql: str, args: dict[str, str] | None, spark: SparkSession, sf_dir: str) -> DataFrame:
+    return model.run(spark, sf_dir, sql, args)
 
 
-def _query(sql: str) -> Callable[[SparkSession, str], DataFrame]:
-    return partial(_run, sql)
+def _query(sql: str, args: dict[str, str] | None = None) -> Callable[[SparkSession, str], DataFrame]:
+    return partial(_run, sql, args)
 
 
 SQL = {**library.SQL, **analytics.SQL}
-QUERIES = {name: _query(sql) for name, sql in SQL.items()} | cleaning.QUERIES | regression.QUERIES | seasonal.QUERIES
-ORACLES = {name: model.oracle(sql) for name, sql in SQL.items()} | cleaning.ORACLES
+BOUND = library.BOUND  # queries with parameters, and what they are bound to
+QUERIES = {name: _query(sql, BOUND.get(name)) for name, sql in SQL.items()} | cleaning.QUERIES | regression.QUERIES | seasonal.QUERIES | significance.QUERIES
+ORACLES = {name: model.oracle(sql, BOUND.get(name)) for name, sql in SQL.items()} | cleaning.ORACLES

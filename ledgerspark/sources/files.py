@@ -21,9 +21,14 @@ def read_typed_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return spark.read.schema(schema).csv(path, header=True, nullValue="", dateFormat="yyyy-MM-dd")
 
 
-def write(df: DataFrame, path: str, kind: str = "parquet") -> None:
-    """Overwrite path with parquet, csv (with a header) or json lines."""
-    df.write.mode("overwrite").format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(path)
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A JSON document (an array of records, on any number of lines) by a given schema."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrite") -> None:
+    """Overwrite path with, or append to it, parquet, csv (with a header) or json lines."""
+    df.write.mode(mode).format(kind).options(**({"header": "true"} if kind == "csv" else {})).save(path)
 
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
