@@ -72,6 +72,12 @@ def ngrams(raw: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
     return h[spread(np.cumsum(size) - size, size - n + 1)].astype(np.int64) % GRAMS[n], size - n + 1
 
 
+def all_ngrams(raw: list[bytes], n: int) -> tuple[np.ndarray, np.ndarray]:
+    """ngrams of many words, kept small, some words at a time."""
+    parts = [ngrams(raw[k : k + WORDS_AT_ONCE], n) for k in range(0, len(raw), WORDS_AT_ONCE)]
+    return np.concatenate([flat.astype(np.uint16) for flat, _ in parts]), np.concatenate([size for _, size in parts])
+
+
 @cache
 def separates(c: str) -> bool:
     return unicodedata.category(c)[0] in "PSZ"
@@ -289,7 +295,7 @@ def fitted(texts: list[str], y: np.ndarray) -> Network:
     vocabulary, rows, owner = Vocabulary(), [], []
     codes = [vocabulary.encode(words(t)) for t in texts]
     seen = {"word": np.zeros((2, WORDS))} | {f"gram{n}": np.zeros((2, size)) for n, size in GRAMS.items()}  # sample texts of either class that have it
-    found = {"word": (np.array(vocabulary.word), np.ones(len(vocabulary.word), int))} | {f"gram{n}": ngrams(vocabulary.raw, n) for n in GRAMS}
+    found = {"word": (np.array(vocabulary.word), np.ones(len(vocabulary.word), int))} | {f"gram{n}": all_ngrams(vocabulary.raw, n) for n in GRAMS}
     begin = {k: np.cumsum(size) - size for k, (_, size) in found.items()}
     for i, code in enumerate(codes):
         own = np.unique(code)
@@ -350,15 +356,20 @@ def best_cut(logit: np.ndarray, truth: np.ndarray) -> float:
     return float((logit[order[best]] + after[best]) / 2) if np.isfinite(after[best]) else float(logit.min())
 
 
+def part(texts: list[str], y: np.ndarray, k: int) -> Network | np.ndarray:
+    """What one task learns: the network of all rows (k = FOLDS), or the logits of fold k by a network without it."""
+    return fitted(texts, y) if k == FOLDS else unseen(texts, y, k)
+
+
 def learn(texts: list[str], y: np.ndarray, run=map) -> Network:
     """A network fitted to a bounded sample. Its scores are shifted so that 0.5 is where F1 is best for the sample's rows, each scored by a network that has not seen it."""
-    net = fitted(texts, y)
-    if net.trained:
-        fold = folds(texts, y)
-        logit = np.zeros(len(y), np.float32)
-        for k, own in enumerate(run(lambda k: unseen(texts, y, k), range(FOLDS))):
-            logit[fold == k] = own
-        net.shift, net.kept = best_cut(logit, y), None
+    if not len(y) or y.min() == y.max():
+        return Network()
+    fold, logit = folds(texts, y), np.zeros(len(y), np.float32)
+    net, *others = run(lambda k: part(texts, y, k), [FOLDS, *range(FOLDS)])
+    for k, own in enumerate(others):
+        logit[fold == k] = own
+    net.shift, net.kept = best_cut(logit, y), None
     return net
 
 
@@ -368,9 +379,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> Network:
     texts, y = sample["text"].tolist(), sample["y"].to_numpy()
     held = sc.broadcast((texts, y))
 
-    def in_tasks(_, ks) -> list[np.ndarray]:
-        """One task for each fold, so that the driver fits one network only."""
-        return sc.parallelize(ks, len(ks)).map(lambda k: unseen(*held.value, k)).collect()
+    def in_tasks(_, ks) -> list:
+        """One task for each network, so that the driver holds the sample only."""
+        return sc.parallelize(ks, len(ks)).map(lambda k: part(*held.value, k)).collect()
 
     return learn(texts, y, in_tasks)
 
