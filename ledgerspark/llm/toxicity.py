@@ -362,14 +362,18 @@ def part(texts: list[str], y: np.ndarray, k: int) -> Network | np.ndarray:
 
 
 def learn(texts: list[str], y: np.ndarray, run=map) -> Network:
-    """A network fitted to a bounded sample. Its scores are shifted so that 0.5 is where F1 is best for the sample's rows, each scored by a network that has not seen it."""
+    """A network fitted to a bounded sample. Its scores are shifted so that 0.5 is where F1 is best for the sample's rows, each scored by a network that has not seen it.
+
+    Copies of a text count once there: they fall into one fold together, so a network that has not seen them may take all of them wrongly.
+    """
     if not len(y) or y.min() == y.max():
         return Network()
     fold, logit = folds(texts, y), np.zeros(len(y), np.float32)
     net, *others = run(lambda k: part(texts, y, k), [FOLDS, *range(FOLDS)])
     for k, own in enumerate(others):
         logit[fold == k] = own
-    net.shift, net.kept = best_cut(logit, y), None
+    once = list({(t, int(c)): i for i, (t, c) in enumerate(zip(texts, y, strict=True))}.values())
+    net.shift, net.kept = best_cut(logit[once], y[once]), None
     return net
 
 
