@@ -16,10 +16,14 @@ documents are dealt to blocks of bounded size by a hash of doc_id.
    text. Each bucket is sorted by a 64-bit key of all LENGTH bytes; ties are compared byte by byte.
 3. Each block cuts the settled strings out of its documents.
 
+Suffixes are thus ordered by hashes of their heads, not by their letters, and a tie between equal hashes is settled by the
+bytes themselves; ranks of the cover sample decide which strings are ordered at all.
+
 All steps handle packed arrays (a row is a block's share of a bucket), so memory is bounded by a block or a bucket,
 whose numbers follow from the bytes of the input.
 
-Defined cases: null counts as empty; texts under LENGTH bytes lose nothing; doc_ids are taken as unique (rows that
+Defined cases: an empty table gives no rows; a very long text makes its block as large as itself (some 40 bytes of memory a
+byte); other columns do not matter; null counts as empty; texts under LENGTH bytes lose nothing; doc_ids are taken as unique (rows that
 share one count as one after the other, in the order of their texts, and each gets the document's row).
 """
 
@@ -226,8 +230,11 @@ def rank_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["block", "data"])
 
 
-def heads(keys: np.ndarray) -> np.ndarray:
-    """For each position the place of the least key among the V from it on, the leftmost on ties."""
+def heads(keys: np.ndarray, most: int = 1 << 28) -> np.ndarray:
+    """For each position the place of the least key among the V from it on, the leftmost on ties; `most` places, which 28 bits hold, at a time."""
+    if len(keys) > most:
+        step = most - V
+        return np.concatenate([heads(keys[k : k + most], most)[: step if k + most < len(keys) else None] + k for k in range(0, len(keys) - V, step)])
     least = (keys & ~np.uint64(0xFFFFFFF)) | np.arange(len(keys), dtype=np.uint64)
     whole, width = least, 1
     while width * 2 <= V:

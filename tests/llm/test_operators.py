@@ -145,6 +145,13 @@ def test_suffix_dedup(spark, docs, nothing):
     assert sorted({(a - b) % suffix_dedup.V for a in suffix_dedup.COVER for b in suffix_dedup.COVER}) == list(range(suffix_dedup.V))
 
 
+def test_heads_of_long_stretches():
+    rng = np.random.default_rng(1)
+    for n in (73, 74, 500, 1000, 1999):
+        keys = rng.integers(0, 1 << 63, n).astype(np.uint64) << np.uint64(1)
+        assert (suffix_dedup.heads(keys, 200) == suffix_dedup.heads(keys)).all() and len(suffix_dedup.heads(keys, 200)) == n
+
+
 def test_bpe_equals_the_library(spark, docs, nothing):
     from tokenizers import Tokenizer
 
