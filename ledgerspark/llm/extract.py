@@ -7,7 +7,9 @@ bidirectional LSTM in numpy reads the blocks of the whole page in order and labe
 It learns from pages that are composed here (articles in many kinds of surroundings, with words of the sample) and
 from at most SAMPLE pages of the input, whose labels come from HTML's own sectioning elements where they have any.
 
-Defined cases: null and empty html, and pages without main text, give an empty text; markup that is cut off or not
+Defined cases: an empty table gives no rows; pages of any length are read whole; a block whose score ties at 0.5 is left out; other
+columns do not matter; a line break (br) ends a block, so lines of verse or of an address are blocks of their own; null and
+empty html, and pages without main text, give an empty text; markup that is cut off or not
 closed is read as browsers do, roughly: a new paragraph ends an open one. Only script, style, title and textarea run on
 to their end tag or the end of input. What stands in other UNSHOWN elements is left out if they are closed by their own end
 tag; if the end tag is missing, they end with the element around them, and their blocks are labelled like any other. A
@@ -31,6 +33,8 @@ from .common import table
 
 SAMPLE, COMPOSED, EPOCHS, BATCH, RATE, SEED = 300, 2500, 8, 48, 0.015, 5
 PATHS, WORDS, EMBED, HIDDEN, NUMBERS = 1 << 12, 1 << 12, 12, 12, 6
+#: Sample pages of more blocks than this are not learned from (a bound on the memory of a step); they are labelled like any other.
+LONGEST_SAMPLE = 1024
 #: Pages labelled together.
 TOGETHER = 256
 
@@ -340,14 +344,14 @@ def learn(pages: list[str]) -> Labeller:
     """A labeller from composed pages and from weakly labelled ones of the sample."""
     rng, net = np.random.default_rng(SEED), Labeller()
     parsed = [blocks(p) for p in pages]
-    words = sorted({w for page in parsed for b in page for w in b[0].split()[:40]})[:20_000] or ["text", "words", "here", "and", "there"]
+    words = sorted({w for page in parsed for b in page for w in b[0].split()}) or ["text", "words", "here", "and", "there"]
     pool = np.array(words)
     made = [compose(rng, pool) for _ in range(COMPOSED)]
     for page in parsed:
         labels = [weak_label(b[1]) for b in page]
         if 1 in labels:
             made.append([(*b, y or 0) for b, y in zip(page, labels, strict=True)])
-    made = [m for m in made if 0 < len(m) <= 64]
+    made = [m for m in made if 0 < len(m) <= LONGEST_SAMPLE]
     data, y = [net.inputs(m) for m in made], [np.array([b[3] for b in m], np.float32) for m in made]
     state: dict = {}
     for _ in range(EPOCHS):

@@ -9,7 +9,11 @@ vacancies of others. Votes run on blocks, never on pairs of documents, so a link
 n_shards rows here.
 
 Law: `rows`. Shard counts differ by one at most; slots are gapless from 0 in each shard; grown_shard is null.
-Defined cases: a null text has size 8 and CRC 0 and is linked with empty texts; an empty table gives an empty result;
+Links with a thousandth of all rows or more meet their blocks by broadcast (at most a thousand links, a row for each shard), so
+none of them gathers in 24 tasks.
+
+Defined cases: texts of any length count whole; a link larger than a shard fills one and flows over into vacancies; other
+columns do not matter; a null text has size 8 and CRC 0 and is linked with empty texts; an empty table gives an empty result;
 rows that repeat a doc_id, or have none, are rows like any other (copies get slots in an undefined order among themselves).
 """
 
