@@ -2,6 +2,10 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written as Parquet and read again as the next
 stage's docs.
+
+Defined cases, in every stage: a null text counts as an empty one and keeps its row unless a copy of it stays; texts are
+read whole; of repeated rows and of rows without a doc_id the stages keep what exact_dedup and simhash define; an empty
+table passes through as one; columns other than doc_id and text are carried along whatever their names.
 """
 
 from __future__ import annotations
