@@ -4,7 +4,8 @@ A page is cut into leaf blocks (text between block-level tags). Each block has a
 with their class, id and role words), one of its hashed words, and a few numbers (length, links, place). A
 bidirectional LSTM in numpy reads the blocks of the whole page in order and labels each as main text or not.
 
-It learns from pages that are composed here (articles in many kinds of surroundings, with words of the sample) and
+It learns from pages that are composed here (articles in many kinds of surroundings, with words of the sample; those of
+compose_plain have no names or sectioning elements that give their parts away) and
 from at most SAMPLE pages of the input, whose labels come from HTML's own sectioning elements where they have any.
 
 Defined cases: an empty table gives no rows; pages of any length are read whole; a block whose score ties at 0.5 is left out; other
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import table
 
-SAMPLE, COMPOSED, EPOCHS, BATCH, RATE, SEED = 300, 2500, 8, 48, 0.015, 5
+SAMPLE, COMPOSED, PLAIN, EPOCHS, BATCH, RATE, SEED = 300, 2500, 1500, 8, 48, 0.015, 5
 PATHS, WORDS, EMBED, HIDDEN, NUMBERS = 1 << 12, 1 << 12, 12, 12, 6
 #: Sample pages of more blocks than this are not learned from (a bound on the memory of a step); they are labelled like any other.
 LONGEST_SAMPLE = 1024
@@ -94,7 +95,7 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
                 path = tuple(w for _, own in stack for w in own)
             text.append(words)
             total += len(words)
-            if any(t == "a" for t, _ in stack[-3:]):
+            if any(t == "a" for t, _ in stack):
                 linked += len(words)
             continue
         if tag is None:
@@ -218,6 +219,73 @@ def compose(rng: np.random.Generator, words: np.ndarray) -> list[tuple[str, tupl
     return before + article + after
 
 
+#: Names of boxes that say nothing of what they hold. Fixed values.
+NEUTRAL = "box wrap wrapper inner outer left right center top mid middle col column row cell grid panel block container layer level x y z".split()
+
+
+def compose_plain(rng: np.random.Generator, words: np.ndarray) -> list[tuple[str, tuple[str, ...], float, int]]:
+    """A made-up page whose markup does not name its parts: div soup, tables for layout, lines between breaks.
+
+    What tells the article apart is its sentences, their run through the page, and the share of links elsewhere.
+    """
+    def say(lo, hi, end=""):
+        text = " ".join(rng.choice(words, rng.integers(lo, hi)))
+        return text.rstrip(".,;:!?") + end
+
+    def own():
+        if rng.random() < 0.45:
+            return ()
+        word = str(rng.choice(NEUTRAL)) if rng.random() < 0.5 else "".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(1, 4)))
+        return (f"{rng.choice(['cl', 'id'])}:{word}",)
+
+    root = [("html", "body"), ("body",), ()][rng.integers(3)] + (("div", *own()) if rng.random() < 0.5 else ())
+    kind = rng.integers(4)  # divs, table, breaks, bare
+    frame = (*root, "table", *(("tbody",) if rng.random() < 0.4 else ()), "tr") if kind == 1 else root
+
+    def box():
+        if kind == 1:
+            return (*frame, "td", *own())
+        if kind == 3:
+            return root
+        return (*root, str(rng.choice(["div", "div", "div", "section", "center"])), *own(), *(("div", *own()) if rng.random() < 0.25 else ()))
+
+    def sentence(lo, hi):
+        return say(lo, hi, str(rng.choice([".", ".", ".", ".", "!", "?", "", '."'])))
+
+    def clutter():
+        base, what = box(), rng.integers(5)
+        if what == 0:
+            return [(say(1, 4), (*base, "ul", "li", *(("a",) if rng.random() < 0.8 else ())), 1.0, 0) for _ in range(rng.integers(2, 8))]
+        if what == 1:
+            return [(say(1, 4), (*base, "a"), 1.0, 0) for _ in range(rng.integers(1, 7))]
+        if what == 2:
+            return [(say(2, 14), (*base, *(("a",) if rng.random() < 0.7 else ())), float(rng.uniform(0.75, 1.0)), 0)]
+        if what == 3:
+            return [(f"{rng.choice(['©', '(c)', 'Copyright'])} {rng.integers(1995, 2030)} {say(1, 6, str(rng.choice(['', '.'])))}", base, float(rng.choice([0.0, 0.0, 0.3])), 0)]
+        return [(say(1, 4), (*base, str(rng.choice(["h3", "h4", "b"]))), 0.0, 0)] + [(say(2, 9), (*base, *rng.choice([("ul", "li"), ("div", "a")])), 1.0, 0) for _ in range(rng.integers(2, 6))]
+
+    def article():
+        base = box()
+        inner = [("p",), ("div",), ("div", *own()), ()][rng.integers(4)]
+        if rng.random() < 0.85:
+            head = [("h1",), ("h1",), ("h2",), ("div", *own()), ("font",), ("b",)][rng.integers(6)]
+            yield say(2, 12), (*base, *head), 0.0, 1
+        for _ in range(rng.integers(2, 13)):
+            if rng.random() < 0.12:
+                for _ in range(rng.integers(2, 5)):
+                    yield sentence(2, 30), (*base, "ul", "li"), 0.0, 1
+                continue
+            if rng.random() < 0.08:
+                yield say(2, 8), (*base, str(rng.choice(["h2", "h3"]))), 0.0, 1
+            yield sentence(5, 80) if rng.random() < 0.9 else sentence(1, 6), (*base, *inner), float(rng.uniform(0.02, 0.4)) if rng.random() < 0.2 else 0.0, 1
+
+    before = [b for _ in range(rng.integers(0, 4)) for b in clutter()]
+    after = [b for _ in range(rng.integers(0, 4)) for b in clutter()]
+    if rng.random() < 0.06:
+        return before + after
+    return before + list(article()) + after
+
+
 class Labeller:
     """The network: embeddings, two LSTM directions, a logistic output."""
 
@@ -346,7 +414,7 @@ def learn(pages: list[str]) -> Labeller:
     parsed = [blocks(p) for p in pages]
     words = sorted({w for page in parsed for b in page for w in b[0].split()}) or ["text", "words", "here", "and", "there"]
     pool = np.array(words)
-    made = [compose(rng, pool) for _ in range(COMPOSED)]
+    made = [compose(rng, pool) for _ in range(COMPOSED)] + [compose_plain(rng, pool) for _ in range(PLAIN)]
     for page in parsed:
         labels = [weak_label(b[1]) for b in page]
         if 1 in labels:

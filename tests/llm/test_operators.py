@@ -10,6 +10,7 @@ import xxhash
 from pyspark.sql import functions as F
 
 from ledgerspark.llm import bpe, common, decontaminate, exact_dedup, extract, quality, sampling, sharding, simhash, suffix_dedup, toxicity, url_filter
+from tests.llm.layouts import LAYOUTS
 
 R = random.Random(3)
 WORDS = [("".join(R.choice("abcdefghiklmnoprstu") for _ in range(R.randint(2, 8)))) for _ in range(300)]
@@ -221,9 +222,23 @@ def test_urls(spark):
     assert (got[2000].verdict, got[2001].verdict, got[2002].verdict) == ("block", "allow", "allow") and got[2000].mined
 
 
-def test_extraction(spark):
+@pytest.fixture(scope="module")
+def labeller(spark):
+    return extract.fit(spark.read.parquet(f"/root/testdata/sf0.001/pages.parquet"))
+
+
+def test_extraction_of_layouts(labeller):
+    """Hand-labelled pages of layouts with and without names: F1 over blocks."""
+    found = [set(t.split("\n")) - {""} for t in extract.extract_text([page for _, page, _ in LAYOUTS], labeller)]
+    wanted = [set(text.split("\n")) - {""} for _, _, text in LAYOUTS]
+    hit = sum(len(f & w) for f, w in zip(found, wanted, strict=True))
+    assert 2 * hit / (sum(map(len, found)) + sum(map(len, wanted))) >= 0.95
+    assert hit / sum(map(len, wanted)) >= 0.98
+
+
+def test_extraction(spark, labeller):
     page = "<html><head><title>T</title><script>x='</p>'</script></head><body><nav><ul><li><a href=x>Home</a><li><a>More</a></ul></nav><article><h1>A &amp; B</h1><p>First  text\n here, with some words.<p>Second &lt;one&gt; follows it.</article><aside>Side</aside><footer>&copy; me</footer>"
-    net = extract.learn([page] * 5)
+    net = labeller
     assert extract.extract_text([page, None, "", "<nav>x</nav>"], net) == ["A & B\nFirst text here, with some words.\nSecond <one> follows it.", "", "", ""]
     df = spark.createDataFrame([(1, "u", page), (2, None, None), (2, "v", "")], "page_id long, url string, html string")
     assert sorted((r.page_id, r.n_chars) for r in extract.extract(df, net).collect()) == [(1, len("A & B\nFirst text here, with some words.\nSecond <one> follows it.")), (2, 0), (2, 0)]
