@@ -263,7 +263,7 @@ SELECT payment_type, n, k, {R('p', 6)} AS share, ROUND((p + z2 / 2) / (1 + z2) -
     "t13_levene_region": f"SELECT grp AS region, n, ROUND(mean_deviation, 4) AS mean_deviation FROM ({groups('regions_anova')}) g",
     "t15_ranks_region": f"SELECT grp, n, rank_sum, ties FROM ({groups('region_quantity')}) g",
     "t17_chi_square_payment_segment": CONTINGENCY,
-    "t06_means": f"SELECT name, n, ROUND(mean, 6) AS mean, ROUND(SQRT(var), 5) AS sd FROM ({MEANS}) m",
+    "t06_means": f"SELECT name, n, ROUND(mean, 7) AS mean, ROUND(SQRT(var), 5) AS sd FROM ({MEANS}) m",
 }
 
 SQL = {**KPI, **TIME, **ANOMALY, **STATS}
