@@ -70,13 +70,25 @@ class Vocabulary:
         self.single = [ids[c] for c, _ in sorted(letters.items(), key=lambda x: x[1])]
         pairs = (m if isinstance(m, (list, tuple)) else m.split(" ") for m in model["merges"])
         self.merges = {ids[a] << 20 | ids[b]: (rank << 20 | ids[a + b]) for rank, (a, b) in enumerate(pairs)}
+        self.singles = np.array(self.single, np.int64)
+        self._index()
+
+    def _index(self) -> None:
+        """Arrays over the merges and over the tokens' bytes."""
         keys = np.fromiter(self.merges, np.int64, len(self.merges))
         order = np.argsort(keys)
         self.pairs, self.ranks = keys[order], np.fromiter(self.merges.values(), np.int64, len(keys))[order]
-        self.singles = np.array(self.single, np.int64)
-        length = np.fromiter(map(len, self.bytes), np.int64, size)
+        length = np.fromiter(map(len, self.bytes), np.int64, len(self.bytes))
         self.letters, self.length, self.start = np.frombuffer(b"".join(self.bytes), np.uint8), length, np.cumsum(length) - length
 
+    def symbols(self, words: list[bytes]) -> np.ndarray:
+        """The ids from which merging starts, one for each item of the words."""
+        return self.singles[np.frombuffer(b"".join(words), np.uint8)]
+
+    def first(self, ranks: np.ndarray) -> np.ndarray:
+        """Where the next merge of each row is: the least rank, leftmost."""
+        return ranks.argmin(axis=1)
+
     def merge(self, words: list[bytes]) -> list[bytes]:
         """The ids of each word, as little-endian 32-bit numbers: always merge the pair of least rank, leftmost first.
 
@@ -89,19 +101,19 @@ class Vocabulary:
             for k in range(0, len(own), ROWS):
                 self._merge_rows(own[k : k + ROWS], size, words, hi, out)
         for i in np.flatnonzero(size > LONG).tolist():
-            out[i] = np.array(self._merge_long([self.single[b] for b in words[i]]), "<u4").tobytes()
+            out[i] = np.array(self._merge_long(self.symbols([words[i]]).tolist()), "<u4").tobytes()
         return out
 
     def _merge_rows(self, own: np.ndarray, size: np.ndarray, words: list[bytes], width: int, out: list[bytes]) -> None:
         n, column = size[own], np.arange(width)
         ids = np.zeros((len(own), width), np.int64)
-        ids[column < n[:, None]] = self.singles[np.frombuffer(b"".join([words[i] for i in own.tolist()]), np.uint8)]
+        ids[column < n[:, None]] = self.symbols([words[i] for i in own.tolist()])
         done: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         pair = column[:-1] < (n - 1)[:, None]
         ranks = np.full((len(own), max(1, width - 1)), NONE)
         ranks[:, : width - 1][pair] = self.rank(ids[:, :-1][pair], ids[:, 1:][pair])
         while len(own):
-            at = ranks.argmin(axis=1)
+            at = self.first(ranks)
             best = ranks[np.arange(len(own)), at]
             stop = best == NONE
             if stop.any():
@@ -139,20 +151,20 @@ class Vocabulary:
     def _merge_long(self, ids: list[int]) -> list[int]:
         n, find = len(ids), self.merges.get
         after, before = list(range(1, n + 1)), list(range(-1, n - 1))
-        heap = [(m, i, ids[i], ids[i + 1]) for i in range(n - 1) if (m := find(ids[i] << 20 | ids[i + 1])) is not None]
+        heap = [(m >> 20, i, m & ID, ids[i], ids[i + 1]) for i in range(n - 1) if (m := find(ids[i] << 20 | ids[i + 1])) is not None]
         heapq.heapify(heap)
         while heap:
-            m, i, a, b = heapq.heappop(heap)
+            _, i, m, a, b = heapq.heappop(heap)
             j = after[i]
             if ids[i] != a or j >= n or ids[j] != b:
                 continue
-            ids[i], ids[j] = m & 0xFFFFF, -1
+            ids[i], ids[j] = m, -1
             after[i] = after[j]
             if after[j] < n:
                 before[after[j]] = i
             for k in (before[i], i):
                 if k >= 0 and after[k] < n and (m := find(ids[k] << 20 | ids[after[k]])) is not None:
-                    heapq.heappush(heap, (m, k, ids[k], ids[after[k]]))
+                    heapq.heappush(heap, (m >> 20, k, m & ID, ids[k], ids[after[k]]))
         return [x for x in ids if x >= 0]
 
 

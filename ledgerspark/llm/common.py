@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir
+
+__all__ = ["cut", "shared_dir"]  # used throughout the subpackage
+
 
 def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
     """A table of the folder, by Spark's reader alone; only the named columns if any are given."""
@@ -14,20 +16,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
     return df.select(*columns) if columns else df
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: the cluster's spark.checkpoint.dir.
-
-    Only a local session (tests, one machine) may go without: there one temporary folder serves the whole session.
-    """
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
-    if not found:
-        if not spark.sparkContext.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
-        found = getattr(spark, "_llm_shared_dir", None) or tempfile.mkdtemp(prefix="spark-")
-        spark._llm_shared_dir = found
-    return found
-
-
 def write_file(spark: SparkSession, name: str, data: bytes) -> str:
     """Write a file into the shared folder, on whatever file system that is; returns its path."""
     jvm, path = spark._jvm, f"{shared_dir(spark)}/{name}"
@@ -40,14 +28,6 @@ def write_file(spark: SparkSession, name: str, data: bytes) -> str:
     return path
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared folder and cut its lineage there, so that a lost executor costs no recomputation."""
-    sc = df.sparkSession.sparkContext
-    if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(shared_dir(df.sparkSession))
-    return df.checkpoint(eager=True)
-
-
 def small_batches(spark: SparkSession) -> None:
     """Bound the Arrow batches of whole texts, in rows and bytes, wherever the session has Spark's own defaults.
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 
-from . import bpe, decontaminate, exact_dedup, extract, quality, sharding, simhash, suffix_dedup, toxicity, url_filter
+from . import align, bpe, decontaminate, exact_dedup, extract, pieces, quality, resample, sharding, simhash, suffix_dedup, toxicity, url_filter
 
 QUERIES = {
     "op1_bpe": bpe.op1_bpe,
@@ -17,9 +17,13 @@ QUERIES = {
     "op8_exact_dedup": exact_dedup.op8_exact_dedup,
     "op9_simhash": simhash.op9_simhash,
     "op10_url_filters": url_filter.op10_url_filters,
+    "op11_token_counts": pieces.op11_token_counts,
+    "op12_resample": resample.op12_resample,
+    "op13_alignment": align.op13_alignment,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op6_decontamination": decontaminate.OP6_SQL,
     "op8_exact_dedup": exact_dedup.OP8_SQL,
+    "op12_resample": resample.OP12_SQL,
 }
