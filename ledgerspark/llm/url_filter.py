@@ -3,17 +3,21 @@
 Fixed rules are (host, path) pairs: a rule fits its host and all subdomains when the url's path starts with the
 rule's path, and the longest rule wins. Where none fits, the verdict comes from association rules: FP-growth mines
 token combinations of the urls that the fixed rules have labelled, together with their label; rules that reach the
-least support and confidence are posted under their rarest token (an inverted index), a url fetches the postings of
-its own tokens, and a fetched rule matches if the url holds all of its tokens. The most confident match decides;
+least support and confidence are posted under their rarest item (an inverted index), a url fetches the postings of
+its own items, and a fetched rule matches if the url holds all of its items. The most confident match decides;
 on ties the rule with more support, then block before allow. A url that no rule matches is allowed.
 
+FP-growth is written here as its recursion over conditional pattern bases, in DataFrame steps: Spark's own estimator has
+no bound on a rule's length, so k tokens that many labelled urls share would cost 2^k combinations.
+
 Defined cases: null urls and urls without "://" have empty host and path, no tokens, no rule and the verdict allow;
-repeated rows are judged each; no labelled url means no mined rules.
+repeated rows are judged each, whatever their page_id, missing ones too; very long urls are read whole, and segments that
+only occur together count as one item; no labelled url means no mined rules; an empty table gives an empty result;
+columns other than the key and url are not read, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,8 +31,8 @@ RULES = (
     ("net", "/es/", "block"),
     ("net", "/fr/", "block"),
 )
-#: Least share of the labelled urls, least number of them, least confidence, most tokens of a rule.
-MIN_SUPPORT, MIN_COUNT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 20, 0.9, 3
+#: Least share of the labelled urls that a rule holds, least confidence, and how many items it combines at most.
+MIN_SUPPORT, MIN_CONFIDENCE, MAX_TOKENS = 0.01, 0.9, 3
 #: Mined rules up to this number may be broadcast (each is at most MAX_TOKENS short tokens).
 BROADCAST_RULES = 20_000
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -65,22 +69,63 @@ def tokens(host: Column, path: Column) -> Column:
     return F.filter(F.array_distinct(F.concat(hosts, paths, inner)), lambda x: F.length(x) > 2)
 
 
-def mine(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE, min_count=MIN_COUNT) -> DataFrame:
-    """(tokens, verdict, confidence, support) of the rules that remain, from labelled (tokens, verdict)."""
-    min_support = min(1.0, max(min_support, min_count / max(1, labelled.count())))
-    items = labelled.select(F.array_append("tokens", F.concat(F.lit("="), F.col("verdict"))).alias("items"))
-    model = FPGrowth(itemsCol="items", minSupport=min_support, minConfidence=min_confidence).fit(items)
-    rules = model.associationRules.filter(F.col("consequent")[0].startswith("="))
-    return rules.filter(F.size("antecedent") <= MAX_TOKENS).select(
-        F.array_sort("antecedent").alias("tokens"), F.substring(F.col("consequent")[0], 2, 10).alias("verdict"), "confidence", "support"
-    )
+def known(labelled: DataFrame, min_support=MIN_SUPPORT, min_confidence=MIN_CONFIDENCE) -> tuple[DataFrame, DataFrame, int, int]:
+    """The labelled urls as (items, verdict, n), most frequent items first; (token, item) of the frequent tokens; the number
+    of urls; and how many of them a rule must hold at least.
+
+    Tokens that the labelled urls have in common throughout (the segments of one long path) are one item, named by its
+    least token: rules over them could not differ. So no stretch of a path multiplies the rules.
+    """
+    kinds = cut(labelled.groupBy("tokens", "verdict").agg(F.count("*").alias("n")))
+    total = kinds.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    least = max(-(-total * int(min_support * 10_000) // 10_000), fewest(min_confidence))
+    marks = [F.xxhash64(F.lit(seed), "tokens", "verdict").alias(f"mark{seed}") for seed in (1, 2)]
+    each = kinds.select(F.explode("tokens").alias("token"), "verdict", "n", *marks)
+    same = ["n", "mark1", "mark2"]
+    frequent = cut(each.groupBy("token").agg(F.sum("n").alias("n"), F.bit_xor("mark1").alias("mark1"), F.bit_xor("mark2").alias("mark2")).filter(F.col("n") >= least))
+    items = cut(frequent.join(frequent.groupBy(*same).agg(F.min("token").alias("item")), same).select("token", "item", F.col("n").alias("often")))
+    found = join_hot(each, items, "token", "often", total).groupBy("mark1", "mark2", "verdict", "n").agg(F.array_sort(F.collect_set(F.struct(-F.col("often"), "item"))).alias("items"))
+    rows = found.groupBy(F.col("items.item").alias("items"), "verdict").agg(F.sum("n").alias("n"))
+    return rows, items.select("token", "item"), total, least
+
+
+def fewest(min_confidence: float) -> int:
+    """The least number of urls whose rule can be confident enough, should they all agree."""
+    n = 1
+    while (n + 1) / (n + 2) < min_confidence:
+        n += 1
+    return n
+
+
+def mine(rows: DataFrame, total: int, least: int, min_confidence=MIN_CONFIDENCE, max_tokens=MAX_TOKENS) -> DataFrame:
+    """(items, verdict, confidence, support) of the rules that remain: FP-growth over conditional pattern bases, cut at max_tokens items.
+
+    A base is held as rows (pattern, the more frequent items before it, verdict, number of urls), equal rows merged as in
+    a prefix tree. A step grows each frequent pattern by each item before it, so every combination comes about once.
+    confidence is (hits + 1) / (urls + 2): of rules that always hold, those of more urls are surer.
+    """
+    base = rows.select(F.array().cast("array<string>").alias("pattern"), F.col("items").alias("before"), "verdict", "n")
+    out = None
+    for _ in range(max_tokens):
+        each = base.select("pattern", "before", "verdict", "n", F.posexplode("before").alias("at", "item"))
+        pattern = F.array_append("pattern", F.col("item")).alias("pattern")
+        grown = cut(each.select(pattern, F.slice("before", F.lit(1), F.col("at")).alias("before"), "verdict", "n").groupBy("pattern", "before", "verdict").agg(F.sum("n").alias("n")))
+        block = F.sum(F.when(F.col("verdict") == "block", F.col("n")).otherwise(0))
+        stats = cut(grown.groupBy("pattern").agg(F.sum("n").alias("urls"), block.alias("block"), F.count("*").alias("rows")).filter(F.col("urls") >= least))
+        sides = F.explode(F.array(*(F.struct(F.lit(v).alias("verdict"), k.alias("hits")) for v, k in (("block", F.col("block")), ("allow", F.col("urls") - F.col("block"))))))
+        found = stats.select("pattern", "urls", sides.alias("s")).select(
+            F.array_sort("pattern").alias("items"), "s.verdict", ((F.col("s.hits") + 1) / (F.col("urls") + 2)).alias("confidence"), (F.col("s.hits") / total).alias("support")
+        ).filter((F.col("confidence") >= min_confidence) & (F.col("support") * total >= least - 0.5))
+        out = found if out is None else out.unionByName(found)
+        base = join_hot(grown.filter(F.size("before") > 0), stats.select("pattern", "rows"), "pattern", "rows", grown.count()).drop("rows")
+    return out
 
 
 def post(rules: DataFrame, counts: DataFrame) -> DataFrame:
-    """Each rule under its rarest token."""
-    each = rules.withColumn("rule_id", F.concat_ws(" ", "tokens")).withColumn("token", F.explode("tokens"))
-    rarest = each.join(counts, "token").groupBy("rule_id").agg(F.min_by("token", F.struct("n", "token")).alias("token"))
-    return rules.withColumn("rule_id", F.concat_ws(" ", "tokens")).join(rarest, "rule_id")
+    """Each rule under its rarest item."""
+    each = rules.withColumn("rule_id", F.concat_ws(" ", "items")).withColumn("item", F.explode("items"))
+    rarest = each.join(counts, "item").groupBy("rule_id").agg(F.min_by("item", F.struct("n", "item")).alias("item"))
+    return rules.withColumn("rule_id", F.concat_ws(" ", "items")).join(rarest, "rule_id")
 
 
 def judge(urls: DataFrame, key: str = "page_id", rules=RULES) -> DataFrame:
@@ -91,16 +136,20 @@ def judge(urls: DataFrame, key: str = "page_id", rules=RULES) -> DataFrame:
     if labelled.isEmpty():
         empty = F.lit(None).cast("string")
         return own.select(key, "host", "path", empty.alias("rule"), F.lit("allow").alias("verdict"), empty.alias("mined"), F.lit(None).cast("double").alias("confidence"))
-    mined = cut(mine(labelled))
-    wanted = mined.select(F.explode("tokens").alias("token")).distinct()
-    counts = labelled.select(F.explode("tokens").alias("token")).join(wanted, "token", "left_semi").groupBy("token").agg(F.count("*").alias("n"))
-    posted = cut(post(mined, counts)).select("token", F.col("tokens").alias("needs"), F.col("verdict").alias("says"), "confidence", "support")
+    rows, items, n_labelled, least = known(labelled)
+    rows = cut(rows)
+    mined = cut(mine(rows, n_labelled, least))
+    counts = rows.select(F.explode("items").alias("item"), "n").groupBy("item").agg(F.sum("n").alias("n"))
+    posted = cut(post(mined, counts)).select("item", F.col("items").alias("needs"), F.col("verdict").alias("says"), "confidence", "support")
     if posted.count() <= BROADCAST_RULES:
         posted = F.broadcast(posted)
+    if items.count() <= BROADCAST_RULES:
+        items = F.broadcast(items)
     # Urls with the same tokens have the same answer: one search for each kind.
     kinds = cut(own.filter(F.col("fixed").isNull()).groupBy("tokens").agg(F.count("*").alias("n")))
-    fetched = kinds.select("tokens").withColumn("token", F.explode("tokens")).join(posted, "token")
-    matches = fetched.filter(F.forall("needs", lambda t: F.array_contains("tokens", t)))
+    held = kinds.select("tokens", F.explode("tokens").alias("token")).join(items, "token").groupBy("tokens").agg(F.collect_set("item").alias("items"))
+    fetched = held.withColumn("item", F.explode("items")).join(posted, "item")
+    matches = fetched.filter(F.forall("needs", lambda t: F.array_contains("items", t)))
     best = matches.groupBy("tokens").agg(
         F.max(F.struct("confidence", "support", "says", F.concat_ws(" ", "needs").alias("needs"))).alias("best")
     )
