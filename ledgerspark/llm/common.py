@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.order import ranked
 from ..sources.shared import cut, shared_dir
 
 __all__ = ["cut", "shared_dir"]  # used throughout the subpackage
@@ -45,16 +46,17 @@ def partitions(spark: SparkSession) -> int:
 
 
 def identified(docs: DataFrame, below: bool = False) -> tuple[DataFrame, list[str]]:
-    """docs with an id in every row, and what to select to get docs' own columns back.
+    """docs with an id of its own in every row, and what to select to get docs' own columns back.
 
-    Joins on doc_id lose rows without one, so each such row gets an id of its own, above all others or below them.
+    Joins on doc_id lose rows without one and mistake rows that share one. Where there are such rows, all get their places in
+    the order of doc_id as ids: rows without a doc_id come after all others or before them, rows that share one in any order.
     """
-    lo, hi, n, known = docs.agg(F.min("doc_id"), F.max("doc_id"), F.count("*"), F.count("doc_id")).first()
+    n, known = docs.agg(F.count("*"), F.count_distinct("doc_id")).first()
     if n == known:
         return docs, docs.columns
-    own = F.monotonically_increasing_id()
-    own = F.lit((lo or 0) - 1) - own if below else F.lit((hi or 0) + 1) + own
-    return cut(docs.select(F.coalesce(F.col("doc_id").cast("long"), own).alias("doc_id"), "text", F.struct("*").alias("row"))), ["row.*"]
+    held = docs.select(F.col("doc_id").cast("long").alias("own"), "text", F.struct("*").alias("row"))
+    order = F.col("own").asc_nulls_first() if below else F.col("own").asc_nulls_last()
+    return ranked(held, order, F.xxhash64("text"), name="doc_id").drop("own"), ["row.*"]
 
 
 def join_hot(left: DataFrame, right: DataFrame, key: str | list[str], weight: str, total: int, share: int = 1000, how: str = "inner") -> DataFrame:

@@ -9,9 +9,9 @@ an index is dropped once the result is written to the shared folder.
 
 Defined cases: a null text equals an empty one; of equal texts in a batch the row with the largest doc_id stays; of a
 text that the index already holds from an earlier batch no row stays: keep_id is the earlier batch's row, and group_size
-counts the rows of all batches; repeated doc_ids are rows (if the largest doc_id repeats, all of its rows stay, in
-keep_first too); rows without a doc_id give way to those with one (keep_first keeps one of them where a text has no
-other); an empty batch appends nothing; texts are hashed whole, however long; other columns pass through untouched
+counts the rows of all batches; repeated doc_ids are rows (label marks all rows of a text's largest doc_id as kept, if it
+repeats; keep_first keeps exactly one row of each text); rows without a doc_id give way to those with one (keep_first keeps
+one of them where a text has no other); an empty batch appends nothing; texts are hashed whole, however long; other columns pass through untouched
 whatever their names.
 """
 
@@ -85,7 +85,7 @@ def indexed(found: DataFrame, batches: int = BATCHES) -> DigestIndex:
 
 def label(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256 for every row of docs: within themselves, or as a new batch of an index."""
-    found = digests(docs)
+    found = cut(digests(docs))  # texts are read and hashed once
     own = index or indexed(found)
     if index:
         index.append(found)
@@ -102,7 +102,7 @@ def label(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 def keep_first(docs: DataFrame) -> DataFrame:
     """The documents that stay, with all their columns."""
     rows, columns = identified(docs, below=True)
-    index = indexed(digests(rows))
+    index = indexed(cut(digests(rows)))
     stays = cut(index.rows().select(F.col("keep_id").alias("doc_id")))
     index.drop()
     return rows.join(stays, "doc_id", "left_semi").select(*columns)

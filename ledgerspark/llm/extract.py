@@ -26,11 +26,11 @@ from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import small_batches, table
 
 SAMPLE, COMPOSED, PLAIN, EPOCHS, BATCH, RATE, SEED = 300, 2500, 1500, 8, 48, 0.015, 5
 PATHS, WORDS, EMBED, HIDDEN, NUMBERS = 1 << 12, 1 << 12, 12, 12, 6
@@ -449,14 +449,16 @@ def extract(pages: DataFrame, net: Labeller | None = None) -> DataFrame:
     """page_id, url, text, n_chars of every row."""
     held = pages.sparkSession.sparkContext.broadcast(net or fit(pages))
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for k in range(0, len(b), TOGETHER):
-                own = b.iloc[k : k + TOGETHER]
-                text = extract_text(own["html"].tolist(), held.value)
-                yield pd.DataFrame({"page_id": own["page_id"], "url": own["url"], "text": text, "n_chars": [len(t) for t in text]})
+                own = b.slice(k, TOGETHER)
+                text = extract_text(own.column("html").to_pylist(), held.value)
+                columns = [own.column("page_id"), own.column("url"), pa.array(text, pa.string()), pa.array([len(t) for t in text], pa.int64())]
+                yield pa.RecordBatch.from_arrays(columns, ["page_id", "url", "text", "n_chars"])
 
-    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInPandas(each, "page_id long, url string, text string, n_chars long")
+    small_batches(pages.sparkSession)
+    return pages.select(F.col("page_id").cast("long"), "url", "html").mapInArrow(each, "page_id long, url string, text string, n_chars long")
 
 
 def op4_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

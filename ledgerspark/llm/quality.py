@@ -18,10 +18,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, table
+from .common import cut, small_batches, table
 from .sampling import held_out, labelled
 
 PER_CLASS, FEATURES, GAMMA, RIDGE, BINS, SEED, THRESHOLD = 10_000, 192, 0.08, 1e-2, 200, 7, 0.3
@@ -137,15 +138,16 @@ def fit(docs: DataFrame, labels: DataFrame, target: str = "quality") -> Model:
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id and score of every row."""
+    small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(model)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                x = np.array([statistics(t) for t in b["text"]], float)
-                yield pd.DataFrame({"doc_id": b["doc_id"], "score": held.value.score(x)})
+            x = [statistics(t) for t in b.column("text").to_pylist()]
+            scores = held.value.score(np.array(x, float)) if x else np.zeros(0)
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInPandas(each, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(each, "doc_id long, score double")
 
 
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -10,7 +10,9 @@ A key that many fingerprints share (near copies of one text) is looked up more f
 which may hold at most three differing bits, is cut into four bytes, one of which must be equal; see `links`.
 
 Defined cases: words are separated by ASCII white space and only A-Z is lower-cased; fewer than three words make one
-shingle; null, empty and blank texts have fingerprint zero and are linked like any other; repeated doc_ids are rows.
+shingle; null, empty and blank texts have fingerprint zero and are linked like any other; repeated doc_ids are rows, each in the
+class of its own text; a class whose rows all lack a doc_id has none; keep_first keeps exactly one row of each class, one
+without a doc_id only where the class has no other; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -99,8 +101,11 @@ def classes(docs: DataFrame) -> DataFrame:
     """doc_id, fp, component_id for every row."""
     own = cut(fingerprints(docs))
     fps = cut(own.groupBy("fp").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n")))
-    found = components(links(fps.select("fp", "rep")))
-    named = cut(fps.join(found, fps.rep == found.node, "left").select("fp", "n", F.coalesce("component", "rep").alias("component_id")))
+    # Fingerprints name themselves here, since texts that share a doc_id may share the least doc_id of their rows too.
+    found = components(links(fps.select("fp", F.col("fp").alias("rep"))))
+    member = cut(fps.join(found, fps.fp == found.node, "left").select("fp", "rep", "n", F.coalesce("component", "fp").alias("component")))
+    least = member.groupBy("component").agg(F.min("rep").alias("component_id"), F.count("*").alias("size"))
+    named = cut(join_hot(member, least, "component", "size", member.count()).select("fp", "n", "component_id"))
     total = named.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
     return join_hot(own, named, "fp", "n", total).select("doc_id", "fp", "component_id")
 

@@ -24,7 +24,8 @@ whose numbers follow from the bytes of the input.
 
 Defined cases: an empty table gives no rows; a very long text makes its block as large as itself (some 40 bytes of memory a
 byte); other columns do not matter; null counts as empty; texts under LENGTH bytes lose nothing; doc_ids are taken as unique (rows that
-share one count as one after the other, in the order of their texts, and each gets the document's row).
+share one count as one after the other, in the order of their blocks and texts, and each gets the document's row); rows without
+a doc_id come after all others, and get their rows back without one.
 """
 
 from __future__ import annotations
@@ -43,6 +44,8 @@ from .common import table
 V, COVER = 73, (0, 1, 3, 7, 15, 31, 36, 54, 63)
 LENGTH = 100
 PREFIX = LENGTH - V + 1
+#: What rows without a doc_id are ordered by: they come last.
+LAST = (1 << 63) - 1
 #: Bytes of text of a block; sampled suffixes of a bucket follow from it.
 BLOCK_BYTES = 4 << 20
 IN_COVER = np.isin(np.arange(V), COVER)
@@ -145,7 +148,7 @@ class Block:
         texts = [(t or "").encode() for t in rows["text"]]
         ids = rows["doc_id"].to_numpy(np.int64)
         order = sorted(range(len(ids)), key=lambda i: (ids[i], texts[i]))
-        self.ids, self.texts = ids[order], [texts[i] for i in order]
+        self.ids, self.texts, self.known = ids[order], [texts[i] for i in order], rows["known"].to_numpy(bool)[order]
         self.size = np.fromiter(map(len, self.texts), np.int64, len(order))
         self.start = np.cumsum(self.size) - self.size
         self.buffer = b"".join(self.texts) + bytes(8)
@@ -289,11 +292,11 @@ def pieces(rows: pd.DataFrame, ranks: pd.DataFrame, buckets: int) -> pd.DataFram
         start, key = first[begin], h[head[begin]]
         doc = np.searchsorted(b.start, start, side="right") - 1
         order, parts = split_by((mix(key) % np.uint64(buckets)).astype(np.int64))
-        ids, place = b.ids[doc], start - b.start[doc]
+        ids = b.ids[doc]
         for bucket, lo, hi in parts:
             own = order[lo:hi]
             text = b"".join(b.buffer[s : s + n + LENGTH - 1] for s, n in zip(start[own].tolist(), n_strings[own].tolist(), strict=True))
-            out.append((bucket, block, False, pack(ids[own], place[own].astype(np.uint32), start[own].astype(np.uint32), n_strings[own].astype(np.uint8), data=text)))
+            out.append((bucket, block, False, pack(ids[own], start[own].astype(np.uint32), n_strings[own].astype(np.uint8), data=text)))
     return pd.DataFrame(out, columns=["bucket", "block", "own", "data"])
 
 
@@ -318,12 +321,12 @@ def sort_bucket(rows: pd.DataFrame) -> pd.DataFrame:
     if not len(rows):
         return done
     parts = [unpack(d) for d in rows["data"]]
-    ids, place, start, n = (np.concatenate([p[0][k] for p in parts]) for k in range(4))
+    ids, start, n = (np.concatenate([p[0][k] for p in parts]) for k in range(3))
     n = n.astype(np.int64)
     block = np.repeat(rows["block"].to_numpy(np.int64), [len(p[0][0]) for p in parts])
     buffer = b"".join(p[1] for p in parts) + bytes(8)
     at = np.cumsum(n + LENGTH - 1) - (n + LENGTH - 1)
-    order = np.lexsort((place, ids.view(np.int64)))  # pieces in order of occurrence
+    order = np.lexsort((start, block, ids.view(np.int64)))  # pieces in order of occurrence; a document lies in one block
     n, at, start, block = n[order], at[order], start[order].astype(np.int64), block[order]
     piece = np.repeat(np.arange(len(n)), n)
     inside = np.arange(len(piece)) - np.repeat(np.cumsum(n) - n, n)
@@ -352,8 +355,8 @@ def cut_block(rows: pd.DataFrame, found: pd.DataFrame) -> pd.DataFrame:
         removed = int(g.sum())
         runs = int(g[0]) + int(np.count_nonzero(g[1:] & ~g[:-1])) if removed else 0
         kept = raw[s : s + n][~g].tobytes() if removed else b.texts[k]
-        out.append((int(b.ids[k]), n, removed, runs, kept))
-    return pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
+        out.append((int(b.ids[k]), bool(b.known[k]), n, removed, runs, kept))
+    return pd.DataFrame(out, columns=["doc_id", "known", "n_bytes", "n_removed", "n_spans", "kept"])
 
 
 def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
@@ -362,7 +365,9 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
     total = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("n")).first()["n"]
     blocks = max(1, -(-total // block_bytes))
     buckets = blocks
-    own = docs.select(F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(blocks)).alias("block"), F.col("doc_id").cast("long"), "text")
+    doc_id = F.col("doc_id").cast("long")
+    block = F.pmod(F.when(doc_id.isNull(), F.xxhash64("text")).otherwise(F.xxhash64(doc_id)), F.lit(blocks))
+    own = docs.select(block.alias("block"), F.coalesce(doc_id, F.lit(LAST)).alias("doc_id"), doc_id.isNotNull().alias("known"), "text")
     # All three steps read the same shuffled layout, which Spark makes once.
     sample = own.groupBy("block").applyInPandas(lambda r: sample_block(r, buckets), "bucket long, block long, data binary")
     ranks = sample.groupBy("bucket").applyInPandas(rank_bucket, "block long, data binary")
@@ -370,9 +375,10 @@ def remove_repeats(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame
         lambda r, k: pieces(r, k, buckets) if len(r) else NOTHING.copy(), "bucket long, block long, own boolean, data binary"
     )
     found = sent.groupBy("bucket").applyInPandas(sort_bucket, "block long, data binary")
-    return own.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(
-        lambda r, f: cut_block(r, f), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary"
+    out = own.groupBy("block").cogroup(found.groupBy("block")).applyInPandas(
+        lambda r, f: cut_block(r, f), "doc_id long, known boolean, n_bytes long, n_removed long, n_spans long, kept binary"
     )
+    return out.select(F.when(F.col("known"), F.col("doc_id")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept")
 
 
 NOTHING = pd.DataFrame({"bucket": pd.Series(dtype="int64"), "block": pd.Series(dtype="int64"), "own": pd.Series(dtype="bool"), "data": pd.Series(dtype="object")})

@@ -395,14 +395,14 @@ def score(docs: DataFrame, net: Network) -> DataFrame:
     small_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(net)
 
-    def each(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            if len(b):
-                net = held.value
-                texts = [t or "" for t in b["text"].tolist()]
-                yield pd.DataFrame({"doc_id": b["doc_id"], "score": sigmoid((net.score_texts(texts) - net.shift).astype(float)) if net.trained else np.zeros(len(b))})
+            net = held.value
+            texts = [t or "" for t in b.column("text").to_pylist()]
+            scores = sigmoid((net.score_texts(texts) - net.shift).astype(float)) if net.trained and texts else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInPandas(each, "doc_id long, score double")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(each, "doc_id long, score double")
 
 
 def keep_clean(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFrame:
