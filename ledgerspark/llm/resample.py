@@ -105,7 +105,7 @@ def weigh(docs: DataFrame, gain: list[int], shortest: int, longest: int) -> Data
                 own = words(text)
                 if longest == 1:
                     counts = Counter(own)
-                    known.update((w, gain[zlib.crc32(w) % m]) for w in counts.keys() - known.keys())
+                    known.update((w, gain[zlib.crc32(w) % m]) for w in counts if w not in known)
                     weight = sum(map(mul, map(known.__getitem__, counts), counts.values()))
                     rows.append((len(own), len(own), weight))
                 else:
