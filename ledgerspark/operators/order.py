@@ -51,9 +51,12 @@ RANGES, IN_ORDER = 256, 100_000
 FEW = 20_000
 
 
-def quantiles(df: DataFrame, x: str, at: dict[str, float], *keys: str, in_order: int = IN_ORDER) -> DataFrame:
+def quantiles(df: DataFrame, x: str, at: dict[str, float], *keys: str, ends: bool = False, in_order: int = IN_ORDER) -> DataFrame:
     """keys, n (values) and one column for each name in `at`: the exact quantile, linearly interpolated, of x in each group.
 
+    With ends, a column holds the two values between which the quantile lies and its part of the way, as a struct
+    (left, right, part), for a caller that interpolates on another scale.
+
     A sketch parts each group's values into RANGES ranges; the rows before the range that holds a quantile are counted, and
     only its own rows go on: to the next sketch while they have more than in_order different values, else into the order
     from which the quantile is read. So no task puts a whole group in order, and each pass has about a hundredth of the rows
@@ -90,6 +93,6 @@ def quantiles(df: DataFrame, x: str, at: dict[str, float], *keys: str, in_order:
     ends = values.withColumn("upto", upto).join(bounds, [*group, "name"]).withColumn("upto", F.col("upto") + F.col("before"))
     pair = [F.min(F.when(F.col("upto") > F.expr(f"{f}(place)"), F.col("x"))).alias(c) for f, c in (("floor", "left"), ("ceil", "right"))]
     found = ends.groupBy(*group, "name", "place").agg(*pair)
-    value = F.col("left") + (F.col("place") - F.floor("place")) * (F.col("right") - F.col("left"))
-    wide = found.join(sizes, group).groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == name, value)).alias(name) for name in at))
-    return wide
+    part = F.col("place") - F.floor("place")
+    value = F.struct("left", "right", part.alias("part")) if ends else F.col("left") + part * (F.col("right") - F.col("left"))
+    return found.join(sizes, group).groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == name, value)).alias(name) for name in at))

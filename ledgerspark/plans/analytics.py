@@ -160,7 +160,6 @@ f AS (SELECT order_id, line_number, product_id, CAST(gross_revenue AS DOUBLE) AS
 SELECT order_id, line_number, product_id, gross AS gross_revenue, ROUND(x, 6) AS value, ROUND(x - upper, 6) AS beyond_upper FROM f WHERE x > upper OR x < lower ORDER BY f.x - upper DESC, order_id, line_number, product_id, gross LIMIT 10"""
 
 
-EVENTS = "SELECT CAST(1 AS BIGINT) AS event_id, DATE '1997-01-01' AS starts, DATE '1997-03-31' AS ends, 'Company-wide' AS scope UNION ALL SELECT 2, DATE '1999-06-01', DATE '1999-08-31', 'ASIA' UNION ALL SELECT 3, DATE '2001-05-01', DATE '2001-08-31', 'Company-wide'"
 ANOMALY = {
     "d01_global_z": f"{GLOBAL} SELECT series, month_start, value, score, deviation_pct, {GRADE} AS severity FROM z WHERE ABS(score) >= 3",
     "d02_rolling_z": f"{ROLLING} SELECT series, month_start, value, score, deviation_pct, {GRADE} AS severity FROM z WHERE ABS(score) >= 3",
@@ -170,10 +169,6 @@ ANOMALY = {
     "d11_tukey_quantity_log": tukey("'all'", "quantity", True),
     "d11_tukey_margin": tukey("'all'", "profit_margin_pct", False),
     "d11_tukey_by_category": tukey("product_category", "revenue", True),
-    "d12_recall": f"{ROLLING}, f AS (SELECT series, month_start FROM z WHERE ABS(score) >= 3), e AS ({EVENTS}) SELECT e.event_id, scope, COUNT(f.series) AS flags, COUNT(f.series) > 0 AS recovered FROM e LEFT JOIN f ON f.month_start >= e.starts - INTERVAL 31 DAY AND f.month_start <= e.ends + INTERVAL 31 DAY AND (scope = 'Company-wide' OR LOWER(series) LIKE concat('%', LOWER(scope), '%')) GROUP BY 1, 2",
-    "d13_ranked_flags": f"{ROLLING}, g AS (SELECT series, month_start, value, score, deviation_pct, {GRADE} AS severity FROM z WHERE ABS(score) >= 3) SELECT series, month_start, value, score, deviation_pct, severity FROM g ORDER BY CASE severity WHEN 'Critical' THEN 0 WHEN 'High' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END, ABS(score) DESC, series, month_start LIMIT 30",
-    "x05_material_flags": f"{ROLLING} SELECT month_start, COUNT(*) AS flags, SUM(CASE WHEN score > 0 THEN 1 ELSE 0 END) > 0 AS any_above FROM z WHERE ABS(score) >= 3 AND (deviation_pct IS NULL OR ABS(deviation_pct) >= 5) GROUP BY month_start",
-    "x18_flags_by_detector": f"{ROLLING}, g AS (SELECT CASE WHEN series LIKE '%:%' THEN SUBSTR(series, 1, INSTR(series, ':') - 1) ELSE series END AS detector FROM z WHERE ABS(score) >= 3) SELECT detector, COUNT(*) AS flags FROM g GROUP BY 1",
     "d13_summary": f"{ROLLING}, g AS (SELECT {GRADE} AS severity FROM z WHERE ABS(score) >= 3) SELECT severity, COUNT(*) AS flags FROM g GROUP BY 1",
 }
 

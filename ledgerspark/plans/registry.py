@@ -8,7 +8,7 @@ from functools import partial
 from pyspark.sql import DataFrame, SparkSession
 
 from ..operators import cleaning
-from . import analytics, library, model, regression, seasonal, significance
+from . import analytics, anomaly, library, model, regression, seasonal, significance
 
 
 def _run(sql: str, args: dict[str, str] | None, spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,5 +21,5 @@ def _query(sql: str, args: dict[str, str] | None = None) -> Callable[[SparkSessi
 
 SQL = {**library.SQL, **analytics.SQL}
 BOUND = library.BOUND  # queries with parameters, and what they are bound to
-QUERIES = {name: _query(sql, BOUND.get(name)) for name, sql in SQL.items()} | cleaning.QUERIES | regression.QUERIES | seasonal.QUERIES | significance.QUERIES
-ORACLES = {name: model.oracle(sql, BOUND.get(name)) for name, sql in SQL.items()} | cleaning.ORACLES
+QUERIES = {name: _query(sql, BOUND.get(name)) for name, sql in SQL.items()} | cleaning.QUERIES | regression.QUERIES | seasonal.QUERIES | significance.QUERIES | anomaly.QUERIES
+ORACLES = {name: model.oracle(sql, BOUND.get(name)) for name, sql in SQL.items()} | cleaning.ORACLES | anomaly.ORACLES

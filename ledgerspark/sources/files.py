@@ -33,3 +33,16 @@ def write(df: DataFrame, path: str, kind: str = "parquet", mode: str = "overwrit
 
 def read_jdbc(spark: SparkSession, url: str, table: str, **options: str) -> DataFrame:
     return spark.read.format("jdbc").options(url=url, dbtable=table, **options).load()
+
+
+#: What a document of events holds: fixed values, the names of its fields.
+EVENTS = "events array<struct<event_id: string, kind: string, start: date, end: date, scope: map<string, string>, description: string>>"
+
+
+def read_events(spark: SparkSession, path: str) -> DataFrame:
+    """event_id, kind, start, end, scope (a value that flags are to name, or null for all) and description, from JSON documents.
+
+    A document without events gives no rows; fields that are missing are null; further ones are left out.
+    """
+    found = spark.read.schema(EVENTS).option("multiLine", True).json(path).select(F.explode("events").alias("e"))
+    return found.select("e.event_id", "e.kind", "e.start", "e.end", F.get(F.map_values("e.scope"), 0).alias("scope"), "e.description")
