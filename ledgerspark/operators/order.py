@@ -90,9 +90,9 @@ def quantiles(df: DataFrame, x: str, at: dict[str, float], *keys: str, ends: boo
         most = largest
         want = cut(bounds.join(rows.groupBy(*group, "name").agg(*sketch), [*group, "name"]))
     upto = F.sum("n").over(Window.partitionBy(*group, "name").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
-    ends = values.withColumn("upto", upto).join(bounds, [*group, "name"]).withColumn("upto", F.col("upto") + F.col("before"))
+    running = values.withColumn("upto", upto).join(bounds, [*group, "name"]).withColumn("upto", F.col("upto") + F.col("before"))
     pair = [F.min(F.when(F.col("upto") > F.expr(f"{f}(place)"), F.col("x"))).alias(c) for f, c in (("floor", "left"), ("ceil", "right"))]
-    found = ends.groupBy(*group, "name", "place").agg(*pair)
+    found = running.groupBy(*group, "name", "place").agg(*pair)
     part = F.col("place") - F.floor("place")
     value = F.struct("left", "right", part.alias("part")) if ends else F.col("left") + part * (F.col("right") - F.col("left"))
     return found.join(sizes, group).groupBy(*keys).agg(F.max("n").alias("n"), *(F.max(F.when(F.col("name") == name, value)).alias(name) for name in at))

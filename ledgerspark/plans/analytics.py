@@ -50,8 +50,9 @@ def scorecard(p: str) -> str:
     values = ", ".join(f"CAST({m} AS DOUBLE) AS {m}" for m, *_ in SPECS)
     specs = ", ".join(f"({i}, '{m}', '{name}', '{unit}', {more}, '{category}')" for i, (m, name, unit, more, category) in enumerate(SPECS))
     return f"""WITH {receivables(p)}, k AS (SELECT {p} AS period, {SUMS} FROM {F_} GROUP BY {p}),
-c AS (SELECT {p} AS period, customer_id, SUM(revenue) AS revenue FROM {F_} WHERE is_customer_attributed = 1 GROUP BY 1, 2), pc AS (SELECT i, customer_id, c.revenue, ROW_NUMBER() OVER (PARTITION BY i ORDER BY c.revenue DESC, customer_id) AS n, LAG(i) OVER (PARTITION BY customer_id ORDER BY i) AS last FROM c JOIN p ON p.period = c.period),
-top AS (SELECT i, {pct(S('CASE WHEN n <= 10 THEN revenue END'), S('revenue'))} AS top10_customer_share_pct, {N('CASE WHEN last IS NULL THEN 1 ELSE 0 END')} AS new_customers, {N('CASE WHEN last = i - 1 THEN 1 ELSE 0 END')} AS retained, COUNT(*) AS active FROM pc GROUP BY i),
+c AS (SELECT {p} AS period, customer_id, SUM(revenue) AS revenue FROM {F_} WHERE is_customer_attributed = 1 GROUP BY 1, 2), pc AS (SELECT i, customer_id, c.revenue, LAG(i) OVER (PARTITION BY customer_id ORDER BY i) AS last FROM c JOIN p ON p.period = c.period),
+t10 AS (SELECT i, SUM(revenue) AS top10 FROM (SELECT i, c.revenue, ROW_NUMBER() OVER (PARTITION BY i ORDER BY c.revenue DESC, customer_id) AS n FROM c JOIN p ON p.period = c.period) r WHERE n <= 10 GROUP BY i),
+top AS (SELECT pc.i, {pct('CAST(MAX(top10) AS DOUBLE)', S('revenue'))} AS top10_customer_share_pct, {N('CASE WHEN last IS NULL THEN 1 ELSE 0 END')} AS new_customers, {N('CASE WHEN last = pc.i - 1 THEN 1 ELSE 0 END')} AS retained, COUNT(*) AS active FROM pc JOIN t10 ON t10.i = pc.i GROUP BY pc.i),
 m AS (SELECT cash.i AS i, k.*, top10_customer_share_pct, new_customers, {pct('retained', 'LAG(active) OVER (ORDER BY cash.i)')} AS retention_pct, receivables_balance, {R('receivables_balance / NULLIF(cash.revenue, 0) * days')} AS dso_days, avg_days_to_pay FROM k JOIN cash ON cash.period = k.period JOIN top ON top.i = cash.i),
 u AS (SELECT i, metric, value FROM (SELECT i, {values} FROM m) w UNPIVOT (value FOR metric IN ({', '.join(m for m, *_ in SPECS)}))),
 s AS (SELECT * FROM (VALUES {specs}) s(place, metric, name, unit, higher_is_better, category)), l AS (SELECT MAX(i) AS i FROM p),
@@ -62,7 +63,9 @@ SELECT CAST(place AS BIGINT) AS place, name, unit, category, higher_is_better =
 
 KPI = {
     "k01_core_metrics": CORE,
-    "k01_top10_customer_share": f"WITH c AS (SELECT year, customer_id, SUM(revenue) AS revenue FROM {F_} WHERE is_customer_attributed = 1 GROUP BY 1, 2), r AS (SELECT c.*, ROW_NUMBER() OVER (PARTITION BY year ORDER BY revenue DESC, customer_id) AS n FROM c) SELECT year, {pct('CAST(SUM(CASE WHEN n <= 10 THEN revenue END) AS DOUBLE)', 'CAST(SUM(revenue) AS DOUBLE)')} AS top10_share_pct FROM r GROUP BY year",
+    "k01_top10_customer_share": f"""WITH c AS (SELECT year, customer_id, SUM(revenue) AS revenue FROM {F_} WHERE is_customer_attributed = 1 GROUP BY 1, 2),
+r AS (SELECT year, SUM(revenue) AS top10 FROM (SELECT c.*, ROW_NUMBER() OVER (PARTITION BY year ORDER BY revenue DESC, customer_id) AS n FROM c) o WHERE n <= 10 GROUP BY year)
+SELECT c.year, {pct('CAST(MAX(top10) AS DOUBLE)', 'CAST(SUM(revenue) AS DOUBLE)')} AS top10_share_pct FROM c JOIN r ON r.year = c.year GROUP BY c.year""",
     "k02_retention": f"WITH p AS ({PERIOD_CUSTOMERS.format(p='year')}) SELECT a.period + 1 AS year, COUNT(*) AS before, COUNT(b.customer_id) AS retained, {pct('COUNT(b.customer_id)', 'COUNT(*)')} AS retention_pct FROM p a LEFT JOIN p b ON b.customer_id = a.customer_id AND b.period = a.period + 1 GROUP BY a.period",
     "k03_new_customers": f"WITH f AS (SELECT customer_id, MIN(year) AS year FROM {F_} WHERE is_customer_attributed = 1 GROUP BY 1) SELECT year, COUNT(*) AS new_customers FROM f GROUP BY year",
     "k04_receivable_days": f"WITH {receivables('year')} SELECT period AS year, revenue, receivables_balance AS balance, {R('receivables_balance / NULLIF(revenue, 0) * days', 4)} AS dso, avg_days_to_pay FROM cash",

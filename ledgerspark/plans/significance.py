@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import dist
-from . import analytics, model, seasonal
+from . import analytics, model, seasonal, spread
 
 ALPHA, LEVEL = 0.05, 0.95
 RESULT = "name string, test string, statistic double, df double, p_value double, significant boolean, effect string, effect_size double, magnitude string, mean_difference double, rank_test string, rank_statistic double, rank_p double, levene_w double, levene_p double, log_scale_t double, log_scale_p double, agrees boolean, n long"
@@ -69,13 +69,13 @@ def h_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
         return _frame(found, int(r["n"]))
 
     table = model.run(spark, sf_dir, analytics.CONTINGENCY).withColumn("one", F.lit(1))
-    return model.run(spark, sf_dir, analytics.groups()).filter("test <> 'region_quantity'").groupBy("test").applyInPandas(assemble, RESULT).unionByName(table.groupBy("one").applyInPandas(independence, RESULT))
+    return spread.groups(spark, sf_dir, *(k for k in analytics.COMPARISONS if k != "region_quantity")).groupBy("test").applyInPandas(assemble, RESULT).unionByName(table.groupBy("one").applyInPandas(independence, RESULT))
 
 
 def h_correlations(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The eleven correlations with p-values, share of variance, strength, and the gap between monotonic and linear."""
-    both = (("transaction", analytics.correlations(analytics.PAIRS)), ("month", analytics.correlations(analytics.MONTHLY_PAIRS, analytics.MONTHS)))
-    rows = reduce(DataFrame.unionByName, [model.run(spark, sf_dir, sql).withColumn("grain", F.lit(grain)) for grain, sql in both])
+    both = (("transaction", analytics.PAIRS, analytics.F_), ("month", analytics.MONTHLY_PAIRS, analytics.MONTHS))
+    rows = reduce(DataFrame.unionByName, [spread.correlations(pairs, source, spark, sf_dir).withColumn("grain", F.lit(grain)) for grain, pairs, source in both])
     schema = "grain string, pair string, n long, pearson_r double, pearson_p double, spearman_rho double, spearman_p double, r_squared double, strength string, gap double"
 
     def assemble(df: pd.DataFrame) -> pd.DataFrame:
