@@ -6,9 +6,10 @@ B token whose bytes overlap: the links. Bytes where a token of both ends part th
 two group incidences has an entry for every pair that shares a group.
 
 Both tokenizers begin a token at a space after a character that is no white space, so texts are cut there, the products
-are formed over the distinct chunks of a batch, and documents are put together from their chunks' rows. The first pass
-over the texts counts in how many documents each pair of ids is linked (pre-aggregated in each batch, then in Spark);
-the second one adds these counts up for each document.
+are formed over the distinct chunks of a batch, and documents are put together from their chunks' rows. Texts are
+tokenized once: each document's row, with its linked pairs of ids, goes to the shared folder. From there it is counted in
+how many documents each pair is linked (pre-aggregated in each batch, then in Spark), and these counts are added up for
+each document.
 
 Counts of pairs go to the tasks as one mapped file while there are at most `MAPPED` pairs; beyond that each document's
 pairs are joined to them by a shuffle. Both ways give the same rows.
@@ -43,12 +44,14 @@ from .pieces import SPACE, Pieces
 #: Pairs of ids whose counts go to the tasks as a file: 12 bytes each.
 MAPPED = 4_000_000
 #: Chunks a task remembers before it starts anew.
-REMEMBERED = 300_000
+REMEMBERED = 450_000
 #: A space after other white space, or first: there the text needs a closer look.
 CLOSE = regex.compile(r"\s ")
 #: Where both tokenizers begin a token in any case.
 BOTH = regex.compile(r"(?<=\S)(?= )")
 RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best long, count_sum long, groups_sha256 string"
+RESULT_NAMES = [c.split(" ")[0] for c in RESULT.split(", ")]
+ALIGNED = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string, pairs array<long>, times array<int>"
 
 
 class Rows(NamedTuple):
@@ -171,25 +174,21 @@ def cells_of(text: str | None) -> list[str]:
 
 
 class Aligner:
-    """Aligns texts; remembers the cells it has met.
+    """Aligns texts; remembers the cells it has met."""
 
-    counted, if given: the sorted pairs of ids (A id x size of B + B id), in how many documents each is linked, and whether
-    that is its A id's highest number.
-    """
-
-    def __init__(self, pair: Pair, counted: tuple[np.ndarray, np.ndarray, np.ndarray] | None = None):
-        self.pair, self.counted = pair, counted
+    def __init__(self, pair: Pair):
+        self.pair = pair
         self.forget()
 
     def forget(self) -> None:
         self.at: dict[str, int] = {}  # a cell's place in the following
         self.text: list[str] = []
-        self.n = np.zeros((0, 6), np.int64)  # A and B tokens, groups, links, best links, and the sum of their counts
+        self.n = np.zeros((0, 4), np.int64)  # A and B tokens, groups, links
         self.links = np.zeros(0, np.int64)  # pairs of ids
         self.first = np.zeros(0, np.int64)  # where a cell's begin
         self.long = False
 
-    def meet(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def meet(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
         """The places of the texts' cells, and where each text begins among them."""
         if self.long or len(self.at) > REMEMBERED:
             self.forget()
@@ -203,45 +202,38 @@ class Aligner:
     def learn(self, new: list[str]) -> None:
         got = self.pair.align(new)
         links = got.a[rows_of(got.links)] * len(self.pair.b.bytes) + got.b[got.links.columns]
-        first = got.at_link[:-1]
-        n = [np.diff(x) for x in (got.at_a, got.at_b, got.at_group, got.at_link)]
-        if self.counted is None:
-            n += [np.zeros(len(new), np.int64)] * 2
-            self.first, self.links = np.concatenate([self.first, len(self.links) + first]), np.concatenate([self.links, links])
-        else:
-            known, count, best = self.counted
-            at = np.searchsorted(known, links)
-            n += [np.add.reduceat(best[at].astype(np.int64), first), np.add.reduceat(count[at], first)]  # every cell has a link
-        self.n = np.concatenate([self.n, np.column_stack(n)])
+        self.first, self.links = np.concatenate([self.first, len(self.links) + got.at_link[:-1]]), np.concatenate([self.links, links])
+        self.n = np.concatenate([self.n, np.column_stack([np.diff(x) for x in (got.at_a, got.at_b, got.at_group, got.at_link)])])
         self.at.update(zip(new, range(len(self.text), len(self.text) + len(new)), strict=True))
         at = got.at_text.tolist()
         self.text += [got.groups[i:j] for i, j in zip(at, at[1:], strict=False)]
         self.long |= max(map(len, new)) > LONGEST
 
-    def linked(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(text, pair, number of links) for the pairs of ids linked in each text."""
-        cell, first = self.meet(texts)
-        text = np.repeat(np.arange(len(texts)), np.diff(first, append=len(cell)))
-        key, times = np.unique(text * max(1, len(self.text)) + cell, return_counts=True)
-        text, cell = np.divmod(key, max(1, len(self.text)))
-        size = self.n[cell, 3]
-        bits = (len(self.pair.a.bytes) * len(self.pair.b.bytes)).bit_length()
-        key, times = np.repeat(text << bits, size) | self.links[spread(self.first[cell], size)], np.repeat(times, size)
-        order = np.argsort(key, kind="stable")
-        key, times = key[order], times[order]
-        new = np.flatnonzero(np.diff(key, prepend=-1))
-        return key[new] >> bits, key[new] & ((1 << bits) - 1), np.add.reduceat(times, new) if len(new) else times
-
-    def rows(self, texts: list[str]) -> tuple[np.ndarray, list[str]]:
-        """n_a, n_b, n_groups, n_links, n_best and count_sum of each text, and its groups_sha256."""
+    def rows(self, texts: list[str | None]) -> tuple[np.ndarray, list[str], np.ndarray, np.ndarray, np.ndarray]:
+        """Of each text n_a, n_b, n_groups and n_links, and its groups_sha256; its linked pairs of ids, where each text's end, and how often each is linked."""
         cell, first = self.meet(texts)
         size = np.diff(first, append=len(cell))
-        n = np.zeros((len(texts), 6), np.int64)
+        n = np.zeros((len(texts), 4), np.int64)
         if len(cell):
             n[size > 0] = np.add.reduceat(self.n[cell], first[size > 0])
         each, get = cell.tolist(), self.text.__getitem__
         spans = zip(first.tolist(), (first + size).tolist(), strict=True)
-        return n, [hashlib.sha256("".join(map(get, each[i:j]))[:-1].encode()).hexdigest() if j > i else "" for i, j in spans]
+        digests = [hashlib.sha256("".join(map(get, each[i:j]))[:-1].encode()).hexdigest() if j > i else "" for i, j in spans]
+        return n, digests, *self._pairs(np.repeat(np.arange(len(texts)), size), cell, len(texts))
+
+    def _pairs(self, text: np.ndarray, cell: np.ndarray, n_texts: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        known = max(1, len(self.text))
+        key, times = np.unique(text * known + cell, return_counts=True)
+        text, cell = np.divmod(key, known)
+        size = self.n[cell, 3]
+        bits = (len(self.pair.a.bytes) * len(self.pair.b.bytes)).bit_length()
+        key, times = np.repeat(text << bits, size) | self.links[spread(self.first[cell], size)], np.repeat(times, size)
+        order = np.argsort(key)
+        key, times = key[order], times[order]
+        new = np.flatnonzero(np.diff(key, prepend=-1))
+        times = np.add.reduceat(times, new) if len(new) else times
+        ends = np.searchsorted(key[new], np.arange(n_texts + 1) << bits)
+        return key[new] & ((1 << bits) - 1), ends, times
 
 
 def links(text: str, pair: Pair) -> tuple[list[tuple[int, int, int]], list[tuple[int, int]]]:
@@ -251,18 +243,34 @@ def links(text: str, pair: Pair) -> tuple[list[tuple[int, int, int]], list[tuple
     return list(overlap), list(zip(rows_of(got.shared).tolist(), got.shared.columns.tolist(), strict=True))
 
 
-def pair_counts(docs: DataFrame, held: Broadcast) -> DataFrame:
-    """pair (A id x size of B + B id), n (documents that hold it linked) and best (no pair of the A id has a higher n)."""
+def tokenized(docs: DataFrame, held: Broadcast) -> DataFrame:
+    """ALIGNED for every row of docs: its numbers and digest, and its linked pairs of ids with how often each is linked."""
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner = Aligner(held.value)
         for batch in batches:
-            for texts in groups(batch.column("text").to_pylist()):
-                pair, n = np.unique(aligner.linked(texts)[1], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(pair), pa.array(n)], ["pair", "n"])
+            texts = batch.column("text").to_pylist()
+            at = 0
+            for own in groups(texts):
+                n, digests, pairs, ends, times = aligner.rows(own)
+                lists = [pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(x, kind)) for x, kind in ((pairs, pa.int64()), (times, pa.int32()))]
+                columns = [batch.column("doc_id").slice(at, len(own)), *map(pa.array, n.T.copy()), pa.array(digests, pa.string()), *lists]
+                yield pa.RecordBatch.from_arrays(columns, [c.split(" ")[0] for c in ALIGNED.split(", ")])
+                at += len(own)
+
+    return docs.mapInArrow(each, ALIGNED)
+
+
+def pair_counts(aligned: DataFrame, size_b: int) -> DataFrame:
+    """pair, n (documents that hold it linked) and best (no pair of the A id has a higher n)."""
 
-    counts = cut(docs.select("text").mapInArrow(each, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
-    own = F.expr(f"pair div {len(held.value.b.bytes)}")
+    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            pair, n = np.unique(batch.column("pairs").flatten().to_numpy(), return_counts=True)
+            yield pa.RecordBatch.from_arrays([pa.array(pair, pa.int64()), pa.array(n, pa.int64())], ["pair", "n"])
+
+    counts = cut(aligned.select("pairs").mapInArrow(each, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n")))
+    own = F.expr(f"pair div {size_b}")
     most = counts.groupBy(own.alias("a")).agg(F.max("n").alias("most"))  # at most as many rows as A has ids
     return counts.withColumn("a", own).join(F.broadcast(most), "a").select("pair", "n", (F.col("n") == F.col("most")).alias("best"))
 
@@ -278,60 +286,48 @@ def mapped(spark: SparkSession, counts: DataFrame) -> str:
 
 
 def alignment(docs: DataFrame, a_path: str, b_path: str, max_mapped: int = MAPPED) -> DataFrame:
-    """Per row of docs: its numbers of tokens, groups and links, how its links count over all docs, and a digest of its groups."""
+    """Per row of docs: its numbers of tokens, groups and links, how its links count over all docs, and a digest of its groups.
+
+    Texts are tokenized once; their rows lie in the shared folder while pairs are counted.
+    """
     spark = docs.sparkSession
     small_batches(spark)
-    held = spark.sparkContext.broadcast(Pair(Vocabulary(a_path), Pieces(b_path)))  # as large as the vocabularies
-    docs = docs.select(F.col("doc_id").cast("long"), "text")
-    counts = pair_counts(docs, held)
+    pair = Pair(Vocabulary(a_path), Pieces(b_path))
+    held = spark.sparkContext.broadcast(pair)  # as large as the vocabularies
+    at = f"{shared_dir(spark)}/aligned-{uuid.uuid4().hex[:12]}"
+    tokenized(docs.select(F.col("doc_id").cast("long"), "text"), held).withColumn("row", F.monotonically_increasing_id()).write.option("compression", "zstd").parquet(at)
+    aligned = spark.read.parquet(at)
+    counts = cut(pair_counts(aligned, len(pair.b.bytes)))
     if counts.count() > max_mapped:
-        return _joined(docs, held, counts)
+        return _joined(aligned, counts)
     name = mapped(spark, counts)
 
     def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         whole = np.memmap(SparkFiles.get(name), np.int64, "r").view(np.ndarray)
         n = int(whole[0])
-        aligner = Aligner(held.value, (whole[1 : n + 1], whole[n + 1 : 2 * n + 1], whole[2 * n + 1 :]))
-        for batch in batches:
-            yield record(batch.column("doc_id"), [aligner.rows(texts) for texts in groups(batch.column("text").to_pylist())])
-
-    return docs.mapInArrow(each, RESULT)
-
-
-def record(doc_id: pa.Array, rows: list[tuple[np.ndarray, list[str]]]) -> pa.RecordBatch:
-    n = np.concatenate([np.zeros((0, 6), np.int64), *(x for x, _ in rows)])
-    digests = pa.array([d for _, own in rows for d in own], pa.string())
-    return pa.RecordBatch.from_arrays([doc_id, *map(pa.array, n.T.copy()), digests], [c.split(" ")[0] for c in RESULT.split(", ")])
-
-
-def _joined(docs: DataFrame, held: Broadcast, counts: DataFrame) -> DataFrame:
-    """As alignment(), with the counts joined to each document's pairs."""
-    spark = docs.sparkSession
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = Aligner(held.value)
+        known, count, best = whole[1 : n + 1], whole[n + 1 : 2 * n + 1], whole[2 * n + 1 :]
         for batch in batches:
-            rows, pairs, times = [], [], []
-            for texts in groups(batch.column("text").to_pylist()):
-                rows.append(aligner.rows(texts))
-                text, pair, n = aligner.linked(texts)
-                at = np.searchsorted(text, np.arange(len(texts) + 1)).tolist()
-                pairs += [pair[i:j] for i, j in zip(at, at[1:], strict=False)]
-                times += [n[i:j] for i, j in zip(at, at[1:], strict=False)]
-            own = record(batch.column("doc_id"), rows)
-            more = [pa.array(x, pa.list_(pa.int64())) for x in (pairs, times)]
-            yield pa.RecordBatch.from_arrays([*own.columns, *more], [*own.schema.names, "pairs", "times"])
-
-    at = f"{shared_dir(spark)}/aligned-{uuid.uuid4().hex[:12]}"
-    whole = docs.mapInArrow(each, RESULT + ", pairs array<long>, times array<long>").withColumn("row", F.monotonically_increasing_id())
-    whole.write.parquet(at)
-    whole = spark.read.parquet(at)
-    each_pair = whole.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("row", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
+            pairs, times = (batch.column(c).flatten().to_numpy() for c in ("pairs", "times"))
+            place = np.searchsorted(known, pairs)
+            size = batch.column("pairs").value_lengths().to_numpy()
+            first = np.cumsum(size) - size
+            sums = np.zeros((2, len(size)), np.int64)
+            if len(pairs):
+                sums[:, size > 0] = np.add.reduceat(np.stack([best[place] * times, count[place] * times]), first[size > 0], axis=1)
+            kept = [batch.column(c) for c in RESULT_NAMES[:5]]
+            yield pa.RecordBatch.from_arrays([*kept, pa.array(sums[0]), pa.array(sums[1]), batch.column("groups_sha256")], RESULT_NAMES)
+
+    return aligned.drop("row").mapInArrow(each, RESULT)
+
+
+def _joined(aligned: DataFrame, counts: DataFrame) -> DataFrame:
+    """The result, with the counts joined to each document's pairs."""
+    each_pair = aligned.select("row", F.explode(F.arrays_zip("pairs", "times")).alias("p")).select("row", F.col("p.pairs").alias("pair"), F.col("p.times").alias("times"))
     total = counts.agg(F.sum("n")).first()[0] or 0  # as many rows as each_pair has
     met = join_hot(each_pair, counts, "pair", "n", total)
     sums = met.groupBy("row").agg(F.sum(F.col("times") * F.col("best").cast("long")).alias("best"), F.sum(F.col("times") * F.col("n")).alias("total"))
-    out = whole.drop("pairs", "times").join(sums, "row", "left").withColumns({"n_best": F.coalesce("best", F.lit(0)), "count_sum": F.coalesce("total", F.lit(0))})
-    return out.select(*(c.split(" ")[0] for c in RESULT.split(", ")))
+    out = aligned.drop("pairs", "times").join(sums, "row", "left").withColumns({"n_best": F.coalesce("best", F.lit(0)), "count_sum": F.coalesce("total", F.lit(0))})
+    return out.select(*RESULT_NAMES)
 
 
 def op13_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
