@@ -174,8 +174,9 @@ def where(start: str | None = None, end: str | None = None, regions=(), categori
     out, args = [], {}
     for name, value, test in (("start", start, ">="), ("end", end, "<=")):
         if value:
-            out.append(f"transaction_date {test} CAST(:f_{name} AS DATE)")
-            args[f"f_{name}"] = str(value)
+            # The month as well, by which the written ledger is partitioned.
+            out.append(f"transaction_date {test} CAST(:f_{name} AS DATE) AND year_month {test} :f_{name}_month")
+            args |= {f"f_{name}": str(value), f"f_{name}_month": str(value)[:7]}
     for column, values in (("region", regions), ("product_category", categories), ("customer_segment", segments)):
         names = {f"f_{column}_{i}": str(v) for i, v in enumerate(values)}
         if names:

@@ -12,6 +12,9 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import cut, shared_dir
+from ..sources.warehouse import append, exists, fingerprint
+
 #: The relations that `build` writes, and the column by which it partitions them.
 FACTS = {"fact_transactions": "year_month", "fact_operating_expenses": None, "fact_marketing_spend": None, "fact_employee_costs": None, "fact_accounts_receivable": None, "fact_budget": None}
 TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -148,14 +151,32 @@ def register(spark: SparkSession, sf_dir: str, sql: str | None = None, warehouse
 
 
 def build(spark: SparkSession, sf_dir: str, warehouse: str) -> None:
-    """Write the facts once, the ledger partitioned by month, so that queries prune months instead of joining the order tables."""
+    """Write the facts once, the ledger partitioned by month, so that queries prune months instead of joining the order tables.
+
+    A month's rows are dealt over as many files as they need; building again replaces every month by itself.
+    """
     register(spark, sf_dir)
     for name, by in FACTS.items():
         df = spark.table(name)
         if by:
-            df.repartition(by).write.mode("overwrite").partitionBy(by).parquet(f"{warehouse}/{name}")
+            append(cut(df), f"{warehouse}/{name}", by, ("order_id", "line_number"))
         else:
             df.write.mode("overwrite").parquet(f"{warehouse}/{name}")
+    spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{warehouse}/complete")
+
+
+def ledger(spark: SparkSession, sf_dir: str) -> str:
+    """The folder of the facts of these tables: built when first asked for, and anew when a file of the tables changes."""
+    at = f"{shared_dir(spark)}/ledger-{fingerprint(spark, *(f'{sf_dir}/{t}.parquet' for t in TABLES if t != 'events'))}"
+    if not exists(spark, f"{at}/complete/_SUCCESS"):
+        build(spark, sf_dir, at)
+    return at
+
+
+def ask(spark: SparkSession, sf_dir: str, sql: str, args: dict[str, str] | None = None) -> DataFrame:
+    """As run(), from the written facts if the query uses any."""
+    uses = set(needed(relations(SPARK), sql)) & set(FACTS)
+    return run(spark, sf_dir, sql, args, ledger(spark, sf_dir) if uses else None)
 
 
 def run(spark: SparkSession, sf_dir: str, sql: str, args: dict[str, str] | None = None, warehouse: str | None = None) -> DataFrame:

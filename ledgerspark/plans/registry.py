@@ -12,7 +12,7 @@ from . import analytics, anomaly, library, model, regression, seasonal, signific
 
 
 def _run(sql: str, args: dict[str, str] | None, spark: SparkSession, sf_dir: str) -> DataFrame:
-    return model.run(spark, sf_dir, sql, args)
+    return model.ask(spark, sf_dir, sql, args)
 
 
 def _query(sql: str, args: dict[str, str] | None = None) -> Callable[[SparkSession, str], DataFrame]:

@@ -127,7 +127,7 @@ def pairwise(groups: list[tuple[str, int, float, float]]) -> list[tuple]:
 def t16_tukey_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mean revenue of a line, each region against each other."""
     sql = "SELECT region, COUNT(*) AS n, AVG(CAST(revenue AS DOUBLE)) AS mean, VAR_SAMP(CAST(revenue AS DOUBLE)) AS var FROM fact_transactions GROUP BY region"
-    moments = [tuple(r) for r in model.run(spark, sf_dir, sql).collect()]  # one row for each region
+    moments = [tuple(r) for r in model.ask(spark, sf_dir, sql).collect()]  # one row for each region
     return spark.createDataFrame(pairwise(moments), "region_a string, region_b string, difference double, q double, p_value double")
 
 

@@ -96,27 +96,27 @@ def bootstrap(rows: DataFrame, key: Column, above: Column, below: Column, draws:
 
 
 def ts05_stl(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decompose(model.run(spark, sf_dir, analytics.LONG))
+    return decompose(model.ask(spark, sf_dir, analytics.LONG))
 
 
 def d03_seasonal_residual(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Months that the trend and the season do not explain."""
-    found = decompose(model.run(spark, sf_dir, analytics.LONG)).filter(F.abs("score") >= THRESHOLD)
+    found = decompose(model.ask(spark, sf_dir, analytics.LONG)).filter(F.abs("score") >= THRESHOLD)
     found = found.withColumn("deviation_pct", (F.col("value") / F.col("expected") - 1) * 100).select("series", "month_start", "value", "expected", "score", "deviation_pct")
     return found.withColumn("severity", F.expr(analytics.GRADE))
 
 
 def ts09_stationarity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stationarity(model.run(spark, sf_dir, analytics.LONG))
+    return stationarity(model.ask(spark, sf_dir, analytics.LONG))
 
 
 def ts09_correlogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return correlogram(model.run(spark, sf_dir, analytics.LONG))
+    return correlogram(model.ask(spark, sf_dir, analytics.LONG))
 
 
 def t07_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The interval of the mean revenue of a line."""
-    rows = model.run(spark, sf_dir, "SELECT order_id, line_number, product_id, revenue FROM fact_transactions")
+    rows = model.ask(spark, sf_dir, "SELECT order_id, line_number, product_id, revenue FROM fact_transactions")
     return bootstrap(rows, F.struct("order_id", "line_number", "product_id"), F.col("revenue"), F.lit(1))
 
 

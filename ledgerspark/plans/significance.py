@@ -68,7 +68,7 @@ def h_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
         found = {"name": "payment_segment_independence", "test": "chi-square", "statistic": r["chi_square"], "df": r["df"], "p_value": dist.chi_square_sf(r["chi_square"], r["df"]), "effect": "Cramer V", "effect_size": v, "magnitude": dist.magnitude("v", v)}
         return _frame(found, int(r["n"]))
 
-    table = model.run(spark, sf_dir, analytics.CONTINGENCY).withColumn("one", F.lit(1))
+    table = model.ask(spark, sf_dir, analytics.CONTINGENCY).withColumn("one", F.lit(1))
     return spread.groups(spark, sf_dir, *(k for k in analytics.COMPARISONS if k != "region_quantity")).groupBy("test").applyInPandas(assemble, RESULT).unionByName(table.groupBy("one").applyInPandas(independence, RESULT))
 
 
@@ -98,9 +98,9 @@ def t06_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
         low, high, method = (*dist.wilson(round(mean * n), n), "Wilson") if pd.isna(r["var"]) else (*dist.t_interval(n, mean, float(r["var"]), LEVEL), "Student t")
         return pd.DataFrame([(r["name"], n, mean, low, high, method)], columns=[c.split()[0] for c in schema.split(", ")])
 
-    closed = model.run(spark, sf_dir, analytics.MEANS).groupBy("name").applyInPandas(assemble, schema)
-    lines = model.run(spark, sf_dir, "SELECT order_id, line_number, product_id, revenue FROM fact_transactions")
-    buyers = model.run(spark, sf_dir, f"SELECT customer_id, SUM(revenue) AS revenue FROM {analytics.F_} WHERE is_customer_attributed = 1 GROUP BY 1")
+    closed = model.ask(spark, sf_dir, analytics.MEANS).groupBy("name").applyInPandas(assemble, schema)
+    lines = model.ask(spark, sf_dir, "SELECT order_id, line_number, product_id, revenue FROM fact_transactions")
+    buyers = model.ask(spark, sf_dir, f"SELECT customer_id, SUM(revenue) AS revenue FROM {analytics.F_} WHERE is_customer_attributed = 1 GROUP BY 1")
     drawn = [
         (seasonal.bootstrap(rows, key, F.col("revenue"), F.lit(1)).crossJoin(rows.agg(F.count("*").alias("n"))), name)  # one row each
         for rows, key, name in ((lines, F.struct("order_id", "line_number", "product_id"), "Average transaction value (bootstrap)"), (buyers, F.col("customer_id"), "Revenue per customer (bootstrap)"))
@@ -111,8 +111,8 @@ def t06_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def ts02_trend_tests(spark: SparkSession, sf_dir: str) -> DataFrame:
     """p-values of the log-linear trend's slope and of Kendall's tau (normal approximation)."""
-    slope = model.run(spark, sf_dir, analytics.TIME["ts02_log_trend"]).select(F.lit("slope").alias("test"), F.col("t_statistic").alias("statistic"), "months")
-    tau = model.run(spark, sf_dir, analytics.TIME["ts03_kendall_pairs"]).crossJoin(slope.select("months")).select(F.lit("kendall").alias("test"), F.col("z").alias("statistic"), "months")
+    slope = model.ask(spark, sf_dir, analytics.TIME["ts02_log_trend"]).select(F.lit("slope").alias("test"), F.col("t_statistic").alias("statistic"), "months")
+    tau = model.ask(spark, sf_dir, analytics.TIME["ts03_kendall_pairs"]).crossJoin(slope.select("months")).select(F.lit("kendall").alias("test"), F.col("z").alias("statistic"), "months")
     schema = "test string, statistic double, p_value double, significant boolean"
 
     def assemble(df: pd.DataFrame) -> pd.DataFrame:
@@ -131,7 +131,7 @@ def formatted(value: str, unit: str) -> F.Column:
 
 def k09_formatted_scorecard(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The yearly scorecard as text."""
-    df = model.run(spark, sf_dir, analytics.KPI["k06_scorecard"])
+    df = model.ask(spark, sf_dir, analytics.KPI["k06_scorecard"])
     return df.select("place", "name", formatted("value", "unit").alias("value"), formatted("prior_value", "unit").alias("prior_value"), "direction", "is_favourable")
 
 
