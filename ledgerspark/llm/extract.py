@@ -22,6 +22,7 @@ from __future__ import annotations
 import html as entities
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 from itertools import chain
 
@@ -55,10 +56,23 @@ ATTRIBUTE = re.compile(r"\b(class|id|role|hidden|aria-hidden)\b\s*(?:=\s*(\"[^\"
 LETTERS = re.compile(r"[A-Za-z]+")
 
 
+def narrowed(path: tuple[str, ...], own: list[str]) -> tuple[str, ...]:
+    """The path with own at its end: each name once, where it comes last; the same tuple if that changes nothing."""
+    if path[-len(own) :] == tuple(own):
+        return path
+    new = list(dict.fromkeys(reversed(own)))[::-1]
+    return (*(w for w in path if w not in new), *new)
+
+
+#: Open elements beyond this number are read as siblings, as browsers do; names of an element that count.
+DEEPEST, NAMES = 512, 32
+
+
 def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
     """(text, path, share of its characters in links) of each leaf block, in page order."""
     out, stack, text, linked, total = [], [], [], 0, 0
     path: tuple[str, ...] = ()
+    opened: Counter = Counter()  # tags in the stack
     marks = []  # of each UNSHOWN element in the stack: its place there, and what had been read before it
 
     def flush():
@@ -81,10 +95,11 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             tag = stack[mark[0]][0]
             if tag == "option" or own_end and mark[0] == k and (tag != "button" or mark[1] == len(out) and mark[2] is text):
                 undo(mark)
+        opened.subtract(e[0] for e in stack[k:])
         del stack[k:]
 
     def last(tag: str, least: int = 0) -> int | None:
-        return next((k for k in range(len(stack) - 1, least - 1, -1) if stack[k][0] == tag), None)
+        return next((k for k in range(len(stack) - 1, least - 1, -1) if stack[k][0] == tag), None) if opened[tag] > 0 else None
 
     page, at = page or "", 0
     while m := TOKEN.match(page, at):
@@ -92,10 +107,10 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
         closing, tag, rest, words = m.groups()
         if words is not None:
             if not text:
-                path = tuple(w for _, own in stack for w in own)
+                path = stack[-1][1] if stack else ()
             text.append(words)
             total += len(words)
-            if any(t == "a" for t, _ in stack):
+            if opened["a"] > 0:
                 linked += len(words)
             continue
         if tag is None:
@@ -107,14 +122,16 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             flush()
         if closing:
             k = last(tag)
-            if k is not None and (tag in BLOCK or tag in UNSHOWN or not any(t in BLOCK for t, _ in stack[k + 1 :])):
-                if tag == "button" and any(t in BLOCK for t, _ in stack[k + 1 :]):
+            if k is not None and (tag in BLOCK or tag in UNSHOWN or not any(e[0] in BLOCK for e in stack[k + 1 :])):
+                if tag == "button" and any(e[0] in BLOCK for e in stack[k + 1 :]):
                     flush()
                 pop_to(k, own_end=True)
-        elif tag in RAW and not rest.endswith("/"):
+        elif rest.endswith("/") and opened["svg"] > 0:
+            pass  # only there does a slash close an element
+        elif tag in RAW:
             end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
             at = end.end() if end else len(page)
-        elif tag not in VOID and not rest.endswith("/"):
+        elif tag not in VOID:
             inside = marks[-1][0] + 1 if marks else 0  # what is open around an UNSHOWN element is not closed from within
             if tag in BLOCK and (k := last("p", inside)) is not None:
                 pop_to(k)
@@ -131,10 +148,14 @@ def blocks(page: str | None) -> list[tuple[str, tuple[str, ...], float]]:
             own = [tag]
             if rest.strip():
                 for name, value in ATTRIBUTE.findall(rest):
-                    own += [f"{name[:2].lower()}:{x.lower()}" for x in LETTERS.findall(value)] or [name.lower()]
+                    own += [f"{name[:2].lower()}:{x.lower()}" for x in LETTERS.findall(value)[:NAMES]] or [name.lower()]
+                del own[NAMES + 1 :]
+            if len(stack) >= DEEPEST and tag not in UNSHOWN and not (marks and marks[-1][0] == len(stack) - 1):
+                pop_to(len(stack) - 1)
             if tag in UNSHOWN:
                 marks.append((len(stack), len(out), text, len(text), linked, total, path))
-            stack.append((tag, own))
+            stack.append((tag, narrowed(stack[-1][1] if stack else (), own)))
+            opened[tag] += 1
         if at >= len(page):
             break
     if marks and stack[marks[-1][0]][0] == "option":
@@ -176,6 +197,29 @@ CLUTTER = (
 CONTENT = "content article post entry story main body text page document prose".split()
 
 
+#: What pages say outside of their main text, in parts that are put together at random. Fixed values; {} is a name, # a number.
+NOTICES = (
+    "we use cookies to improve your experience|this site uses cookies|we value your privacy|manage cookie settings|accept all|reject all|by continuing you agree to our privacy policy|read our cookie policy",
+    "subscribe to our newsletter|sign up for our weekly newsletter|get the latest news in your inbox|enter your email address|no spam, unsubscribe at any time|join # readers|stay up to date",
+    "all rights reserved|copyright # {}|© # {} ltd|© {}|terms of service|privacy policy|terms of use and privacy|imprint|legal notice|powered by {}|made with love in {}|about us|contact us|careers|site map",
+    "home|news|sport|about|contact|login|log in|sign in|register|my account|pricing|products|blog|docs|search|menu|help|support|shop|cart (#)|checkout|faq|archive|categories|back to top|back to index|back to overview|skip to content|next|previous|edit this page|on this page|table of contents",
+    "save #% on {} today only|buy now|advertisement|sponsored|sponsored content|limited offer: # off|free shipping on all orders|get # months free|order today|click here to learn more|ad by {}|special deal for you|download our app",
+    "share this|share on {}|tweet|follow us on {}|like|print|email this|# shares|# comments|posted by {}|leave a reply|leave a comment|reply|report abuse|log in to comment|# minutes ago by {}",
+    "related articles|you may also like|recommended for you|most read|popular posts|latest news|trending now|more from {}|read next|editor's picks|see all|read more|tags: {}, {}|filed under {}",
+    "wir verwenden cookies|alle akzeptieren|alle rechte vorbehalten|impressum|datenschutz|kontakt|anmelden|startseite|nous utilisons des cookies|tout accepter|tous droits réservés|mentions légales|accueil|connexion|usamos cookies|aceptar todo|todos los derechos reservados|aviso legal|inicio|suscríbete",
+)
+NOTICES = tuple(tuple(n.split("|")) for n in NOTICES)
+
+
+def notice(rng: np.random.Generator, words: np.ndarray) -> str:
+    """Something that a page says beside its main text."""
+    own = NOTICES[rng.integers(len(NOTICES))]
+    parts = [str(x) for x in rng.choice(own, min(len(own), int(rng.integers(1, 4))), replace=False)]
+    out = [re.sub(r"#|\{\}", lambda m: str(rng.integers(1, 2030)) if m[0] == "#" else str(rng.choice(words)).strip(".,;:!?").capitalize(), x) for x in parts]
+    out = [x.capitalize() if rng.random() < 0.7 else x.upper() if rng.random() < 0.1 else x for x in out]
+    return str(rng.choice([" ", ". ", " | ", " · ", " - ", ", "])).join(out) + str(rng.choice(["", "", ".", "!", " ..."]))
+
+
 def compose(rng: np.random.Generator, words: np.ndarray) -> list[tuple[str, tuple[str, ...], float, int]]:
     """A made-up page: blocks with their labels."""
     def say(lo, hi):
@@ -201,6 +245,11 @@ def compose(rng: np.random.Generator, words: np.ndarray) -> list[tuple[str, tupl
             return [(say(4, 60), (*base, *(["div", *name(CLUTTER)] if rng.random() < 0.5 else []), "p"), 0.0, 0) for _ in range(rng.integers(1, 7))]
         return [(say(2, 15), base if rng.random() < 0.5 else (*base, "p"), float(rng.choice([0.0, 0.0, 0.5, 1.0])), 0)]
 
+    def spoken(found):
+        """Clutter of which some parts say what such parts say."""
+        how = rng.random()
+        return [(notice(rng, words) if rng.random() < how else t, *rest) for t, *rest in found]
+
     root = ("html", "body") + (tuple(["div", *name(["page", "wrapper", "container", "site", "root", "app"])]) if rng.random() < 0.4 else ())
     main = [str(rng.choice(["article", "main", "article"]))] if rng.random() < 0.65 else []
     if not main or rng.random() < 0.3:
@@ -210,12 +259,16 @@ def compose(rng: np.random.Generator, words: np.ndarray) -> list[tuple[str, tupl
     for _ in range(rng.integers(1, 14)):
         tag = rng.choice(["p", "p", "p", "p", "p", "h2", "h3", "li", "blockquote", "pre", "td"])
         own = {"li": ("ul", "li"), "td": ("table", "tbody", "tr", "td")}.get(tag, (tag,))
+        if tag == "td" and rng.random() < 0.7:  # a table of figures or of few words
+            cell = lambda: f"{rng.integers(0, 3000)}{rng.choice(['', '', '%', '.5', ' kg'])}" if rng.random() < 0.6 else say(1, 4)
+            article += [(cell(), (*inside, *own[:-1], str(rng.choice(["td", "td", "td", "th"]))), 0.0, 1) for _ in range(rng.integers(4, 16))]
+            continue
         inline = (rng.choice(["b", "em", "a", "span"]),) if rng.random() < 0.12 else ()
         article.append((say(1, 12) if tag[0] == "h" or rng.random() < 0.15 else say(3, 90), (*inside, *own, *inline), 1.0 if "a" in inline else float(rng.random() < 0.1) * 0.3, 1))
         if rng.random() < 0.06:
-            article += clutter(inside)
-    before = [b for _ in range(rng.integers(0, 4)) for b in clutter(root)]
-    after = [b for _ in range(rng.integers(0, 4)) for b in clutter(root)]
+            article += spoken(clutter(inside))
+    before = [b for _ in range(rng.integers(0, 4)) for b in spoken(clutter(root))]
+    after = [b for _ in range(rng.integers(0, 4)) for b in spoken(clutter(root))]
     return before + article + after
 
 
@@ -253,7 +306,9 @@ def compose_plain(rng: np.random.Generator, words: np.ndarray) -> list[tuple[str
         return say(lo, hi, str(rng.choice([".", ".", ".", ".", "!", "?", "", '."'])))
 
     def clutter():
-        base, what = box(), rng.integers(5)
+        base, what = box(), rng.integers(7)
+        if what >= 5:
+            return [(notice(rng, words), (*base, *(("a",) if rng.random() < 0.2 else ("p",) if rng.random() < 0.3 else ())), float(rng.choice([0.0, 0.0, 0.4, 1.0])), 0) for _ in range(rng.integers(1, 4))]
         if what == 0:
             return [(say(1, 4), (*base, "ul", "li", *(("a",) if rng.random() < 0.8 else ())), 1.0, 0) for _ in range(rng.integers(2, 8))]
         if what == 1:
@@ -419,7 +474,7 @@ def learn(pages: list[str]) -> Labeller:
         labels = [weak_label(b[1]) for b in page]
         if 1 in labels:
             made.append([(*b, y or 0) for b, y in zip(page, labels, strict=True)])
-    made = [m for m in made if 0 < len(m) <= LONGEST_SAMPLE]
+    made = [[(text, narrowed((), list(path)), share, y) for text, path, share, y in m] for m in made if 0 < len(m) <= LONGEST_SAMPLE]
     data, y = [net.inputs(m) for m in made], [np.array([b[3] for b in m], np.float32) for m in made]
     state: dict = {}
     for _ in range(EPOCHS):
