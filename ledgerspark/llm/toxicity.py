@@ -37,9 +37,8 @@ HIDDEN, EMBED, WORDS = 8, 8, 1 << 14
 GRAMS = {3: 1 << 11, 5: 1 << 13}
 WIDTH = (1 + len(GRAMS)) * EMBED
 TURNS, EPOCHS, WORST, BATCH, STEPS, RATE, SEED = 3, 4, 2, 256, 16, 0.01, 11
-#: Words of fewer sample texts than this have no vector of their own (only their trigrams'), so none is learned by heart;
-#: a hundredth of the sample where that is less, five at least.
-SEEN_IN = 8
+#: Words of fewer sample texts than this have no vector of their own (only their n-grams'), at any size of the sample.
+SEEN_IN = 3
 #: Windows scored at a time; bounds a task's memory.
 AT_ONCE = 4096
 #: Distinct words whose inputs a task keeps; beyond, it starts anew.
@@ -305,7 +304,7 @@ def fitted(texts: list[str], y: np.ndarray) -> Network:
         code = np.pad(code, (0, max(0, WINDOW - len(code))))
         rows.append(code[s[:, None] + np.arange(WINDOW)])
         owner += [i] * len(s)
-    net.common = seen["word"].sum(axis=0) >= min(SEEN_IN, max(5, len(y) // 100))
+    net.common = seen["word"].sum(axis=0) >= SEEN_IN
     net.common[0] = False
     for k, (neg, pos) in seen.items():  # the vectors' first number starts as a shrunken log-odds ratio
         odds = np.log((pos + 0.5) / (y.sum() + 1)) - np.log((neg + 0.5) / ((1 - y).sum() + 1))
