@@ -7,9 +7,14 @@ such an extract from the order tables by rule, so that another engine can make t
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import uuid
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources.shared import shared_dir
+
 #: Date formats in the order in which they are tried, spellings, bounds.
 DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "yyyy.M.d", "M/d/yyyy", "d-M-yyyy", "yyyy/M/d")
 REGION_ALIASES = {"asia": "ASIA", "asi": "ASIA", "europe": "EUROPE", "eur": "EUROPE", "america": "AMERICA", "amer": "AMERICA", "africa": "AFRICA", "afr": "AFRICA", "middleeast": "MIDDLE EAST", "mideast": "MIDDLE EAST"}
@@ -66,17 +71,30 @@ def parse(raw: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
-    """Three passes: identical rows, transaction ids, business keys; the first by seq stays. Nulls are equal.
+def passes(df: DataFrame) -> list[tuple[str, DataFrame]]:
+    """Three passes, each over the one before: identical rows, transaction ids, business keys; the first by seq stays. Nulls are equal.
 
     Each pass is an aggregate whose partial results meet, so rows that share a key (all those without one, say) do not
     gather in one task as they would under a window.
     """
-    columns = df.columns
-    df = df.groupBy(*[c for c in columns if c != "seq"]).agg(F.min("seq").alias("seq"))
-    for keys in (("transaction_id",), BUSINESS_KEY):
-        df = df.groupBy(*keys).agg(F.min_by(F.struct(*columns), "seq").alias("row")).select("row.*")
-    return df.select(*columns)
+    return _passes(df, lambda _, out: out)
+
+
+def _passes(df: DataFrame, seen: Callable[[str, DataFrame], DataFrame]) -> list[tuple[str, DataFrame]]:
+    columns, out = df.columns, []
+    for name, keys in (("identical rows", None), ("same transaction id", ("transaction_id",)), ("same business key", BUSINESS_KEY)):
+        if keys:
+            df = df.groupBy(*keys).agg(F.min_by(F.struct(*columns), "seq").alias("row")).select("row.*").select(*columns)
+        else:
+            df = df.groupBy(*[c for c in columns if c != "seq"]).agg(F.min("seq").alias("seq")).select(*columns)
+        df = seen(name, df)
+        out.append((name, df))
+    return out
+
+
+def deduplicate(df: DataFrame) -> DataFrame:
+    """What the last of the passes leaves."""
+    return passes(df)[-1][1]
 
 
 #: The reasons for which a row is rejected, in the order in which they are tried.
@@ -251,15 +269,74 @@ def c18_clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reconcile(_repaired(spark, sf_dir)).drop(*[f"fixed_{r}" for r in REPAIRS])
 
 
+AUDIT = "place long, step string, detail string, rows_affected long"
+
+
+def audited(raw: DataFrame, products: DataFrame, customers: DataFrame, path: str) -> tuple[DataFrame, dict]:
+    """Clean an extract into path/unique (rows that are there once, with the reason to reject them), path/clean and path/rejected.
+
+    Returns one row for each step (AUDIT) and the totals. All counts are observed in the two jobs that write the rows, so
+    nothing is read again for them; they come from accumulators, so where a lost executor's task is run again they may be
+    too high. The last step counts the files' rows from their footers, and stops with an error if these differ.
+    An empty extract gives an audit of zeros.
+    """
+    spark, n = raw.sparkSession, F.count(F.lit(1)).alias("rows")
+    held: dict[str, Observation] = {}
+    nothing = dict.fromkeys((*REPAIRS, "revenue_off", "cost_off", "profit_off", "had_reconciliation_error", "rows"), 0) | dict.fromkeys(("revenue", "cost", "profit", "first", "last"))
+
+    def seen(name: str, df: DataFrame, *what: Column) -> DataFrame:
+        held[name] = Observation()
+        return df.observe(held[name], *(what or (n,)))
+
+    ones = lambda test, name: F.coalesce(F.sum(F.coalesce(test, F.lit(False)).cast("long")), F.lit(0)).alias(name)
+    texts = [c for c in raw.columns if c != "seq"]
+    trimmed = sum(((F.coalesce(F.col(c) != F.trim(c), F.lit(False))).cast("long") for c in texts), F.lit(0))
+    read = seen("read", raw, n, F.coalesce(F.sum(trimmed), F.lit(0)).alias("cells"))
+    own = seen("parse", parse(read), ones(F.col("transaction_date").isNull(), "undated"))
+    unique = _passes(own, seen)[-1][1].withColumn("reason", rejection())
+    seen("reject", unique, n, *(ones(F.col("reason") == r, r) for r in REASONS)).write.mode("overwrite").parquet(f"{path}/unique")
+    unique = spark.read.parquet(f"{path}/unique")
+    money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).alias(c)
+    off = ("revenue_off", "cost_off", "profit_off", "had_reconciliation_error")
+    clean = reconcile(repair(unique.filter("reason IS NULL").drop("reason"), products, customers))
+    what = [n, *(ones(F.col(f"fixed_{r}"), r) for r in REPAIRS), *(ones(F.col(c), c) for c in off), *map(money, ("revenue", "cost", "profit")), F.min("transaction_date").alias("first"), F.max("transaction_date").alias("last")]
+    seen("clean", clean, *what).drop(*[f"fixed_{r}" for r in REPAIRS]).write.mode("overwrite").parquet(f"{path}/clean")
+    unique.filter("reason IS NOT NULL").write.mode("overwrite").parquet(f"{path}/rejected")
+    # Where no row meets an observation, no task tells of one.
+    zeros = {"read": {"rows": 0, "cells": 0}, "parse": {"undated": 0}, "reject": dict.fromkeys(REASONS, 0) | {"rows": 0}, "clean": nothing}
+    any_left = not unique.isEmpty(), not unique.filter("reason IS NULL").isEmpty()
+    got = {name: o.get if any_left[name == "clean"] else zeros.get(name, {"rows": 0}) for name, o in held.items()}
+    left = [got["read"]["rows"], *(got[k]["rows"] for k in ("identical rows", "same transaction id", "same business key"))]
+    files = {k: spark.read.parquet(f"{path}/{k}").count() for k in ("unique", "clean", "rejected")}
+    if (files["unique"], files["clean"]) != (left[-1], got["clean"]["rows"]) or files["rejected"] != left[-1] - files["clean"]:
+        raise RuntimeError(f"the audit counted {left[-1]} and {got['clean']['rows']} rows, the files hold {files}: run it again")
+    steps = [("read", "rows", left[0]), ("trim", "cells", got["read"]["cells"]), ("parse", "rows without a date", got["parse"]["undated"])]
+    steps += [("deduplicate", k, a - b) for k, a, b in zip(("identical rows", "same transaction id", "same business key"), left, left[1:], strict=False)]
+    steps += [("reject", r, got["reject"][r]) for r in REASONS] + [("repair", r, got["clean"][r]) for r in REPAIRS] + [("reconcile", c, got["clean"][c]) for c in off[:3]]
+    steps += [("write", k, files[k]) for k in ("clean", "rejected")]
+    rows = [(k + 1, *s) for k, s in enumerate(steps)]
+    return spark.createDataFrame(rows, AUDIT), {"raw": left[0], "unique": left[-1], **got["clean"]}
+
+
+def _audited(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict]:
+    return audited(dirty(spark, sf_dir), *masters(spark, sf_dir), f"{shared_dir(spark)}/clean-{uuid.uuid4().hex[:12]}")
+
+
+def c19_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each step of the cleaning did to how many rows."""
+    return _audited(spark, sf_dir)[0]
+
+
 def c19_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One row: what came in, what stayed, and its totals."""
-    exact = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).cast("double")
-    raw = dirty(spark, sf_dir).agg(F.count("*").alias("raw_rows"))
-    kept = _unique(spark, sf_dir).agg(F.count("*").alias("unique_rows"), F.count("reason").alias("rejected_rows"))
-    clean = c18_clean(spark, sf_dir).agg(F.count("*").alias("clean_rows"), F.sum(F.col("had_reconciliation_error").cast("long")).alias("rows_with_reconciliation_error"), F.min("transaction_date").alias("first_date"), F.max("transaction_date").alias("last_date"), exact("revenue").alias("total_revenue"), exact("cost").alias("total_cost"), exact("profit").alias("total_profit"))
-    return raw.crossJoin(kept).crossJoin(clean).select(  # one row each
-        "raw_rows", (F.col("raw_rows") - F.col("unique_rows")).alias("duplicates"), "rejected_rows", "clean_rows", rounded(F.col("clean_rows") * 100 / F.col("raw_rows")).alias("retention_rate_pct"), "rows_with_reconciliation_error",
-        "first_date", "last_date", "total_revenue", "total_cost", "total_profit", rounded(F.col("total_profit") / F.col("total_revenue") * 100).alias("gross_margin_pct"),
+    """One row: what came in, what stayed, and its totals, as the run observed them."""
+    t = _audited(spark, sf_dir)[1]
+    schema = "raw_rows long, duplicates long, rejected_rows long, clean_rows long, rows_with_reconciliation_error long, first_date date, last_date date, total_revenue decimal(28,2), total_cost decimal(28,2), total_profit decimal(28,2)"
+    row = (t["raw"], t["raw"] - t["unique"], t["unique"] - t["rows"], t["rows"], t["had_reconciliation_error"], t["first"], t["last"], t["revenue"], t["cost"], t["profit"])
+    out = spark.createDataFrame([row], schema)
+    out = out.withColumns({c: F.col(c).cast("double") for c in ("total_revenue", "total_cost", "total_profit")})
+    return out.select(
+        "raw_rows", "duplicates", "rejected_rows", "clean_rows", rounded(F.col("clean_rows") * 100 / F.nullif(F.col("raw_rows"), F.lit(0))).alias("retention_rate_pct"), "rows_with_reconciliation_error",
+        "first_date", "last_date", "total_revenue", "total_cost", "total_profit", rounded(F.col("total_profit") / F.nullif(F.col("total_revenue"), F.lit(0.0)) * 100).alias("gross_margin_pct"),
     )
 
 
@@ -288,8 +365,14 @@ clean AS (SELECT seq, transaction_id, transaction_date, customer_id, is_customer
    COALESCE(abs(revenue - r) > {TOLERANCE}, false) AS revenue_off, COALESCE(abs(cost - c) > {TOLERANCE}, false) AS cost_off, COALESCE(abs(profit - p) > {TOLERANCE}, false) AS profit_off, revenue AS reported_revenue, {_r('revenue - r')} AS revenue_variance, CASE WHEN r > 0 THEN {_r('p / r * 100', 4)} END AS profit_margin_pct,
    {_r('unit_price * (1 - discount) - unit_cost', 4)} AS unit_margin, CASE WHEN r > 0 THEN {_r('c / r', 4)} END AS cost_to_revenue_ratio, CAST(p < 0 AS BIGINT) AS is_loss_making, COALESCE(abs(revenue - r) > {TOLERANCE}, false) OR COALESCE(abs(cost - c) > {TOLERANCE}, false) OR COALESCE(abs(profit - p) > {TOLERANCE}, false) AS had_reconciliation_error FROM w)"""
 
-QUERIES = {"c01_parsed": c01_parsed, "c01_trimmed": c01_trimmed, "c11_rejections": c11_rejections, "c11_rule_hits": c11_rule_hits, "c12_quarantined": c12_quarantined, "c13_repaired": c13_repaired, "c18_clean": c18_clean, "c19_summary": c19_summary}
+QUERIES = {"c01_parsed": c01_parsed, "c01_trimmed": c01_trimmed, "c11_rejections": c11_rejections, "c11_rule_hits": c11_rule_hits, "c12_quarantined": c12_quarantined, "c13_repaired": c13_repaired, "c18_clean": c18_clean, "c19_audit": c19_audit, "c19_summary": c19_summary}
+_COUNT = lambda place, step, detail, sql: f"SELECT {place} AS place, '{step}' AS step, '{detail}' AS detail, CAST(({sql}) AS BIGINT) AS rows_affected"
+_STEPS = [("read", "rows", "SELECT COUNT(*) FROM parsed"), ("trim", "cells", f"SELECT {' + '.join(f'COALESCE(SUM(CASE WHEN {c} <> trim({c}) THEN 1 ELSE 0 END), 0)' for c in _ALL)} FROM ({_DIRT_DUCK}) d"), ("parse", "rows without a date", "SELECT COUNT(*) FROM parsed WHERE transaction_date IS NULL")]
+_STEPS += [("deduplicate", k, f"(SELECT COUNT(*) FROM {a}) - (SELECT COUNT(*) FROM {b})") for k, a, b in (("identical rows", "parsed", "once1"), ("same transaction id", "once1", "once2"), ("same business key", "once2", "once3"))]
+_STEPS += [("reject", r, f"SELECT COUNT(*) FROM unique_rows WHERE reason = '{r}'") for r in REASONS] + [("repair", r, f"SELECT COUNT(*) FROM filled WHERE fixed_{r}") for r in REPAIRS]
+_STEPS += [("reconcile", c, f"SELECT COUNT(*) FROM clean WHERE {c}") for c in ("revenue_off", "cost_off", "profit_off")] + [("write", "clean", "SELECT COUNT(*) FROM clean"), ("write", "rejected", "SELECT COUNT(*) FROM unique_rows WHERE reason IS NOT NULL")]
 ORACLES = {
+    "c19_audit": CLEAN_SQL + " " + " UNION ALL ".join(_COUNT(k + 1, *s) for k, s in enumerate(_STEPS)),
     "c01_parsed": PARSED_SQL,
     "c01_trimmed": " UNION ALL ".join(f"SELECT '{c}' AS column, CAST(SUM(CASE WHEN {c} <> trim({c}) THEN 1 ELSE 0 END) AS BIGINT) AS cells FROM ({_DIRT_DUCK}) d" for c in _ALL),
     "c11_rejections": f"SELECT {REASON_SQL} AS reason, COUNT(*) AS rows FROM ({PARSED_SQL}) p GROUP BY 1",

@@ -22,4 +22,4 @@ def _query(sql: str, args: dict[str, str] | None = None) -> Callable[[SparkSessi
 SQL = {**library.SQL, **analytics.SQL}
 BOUND = library.BOUND  # queries with parameters, and what they are bound to
 QUERIES = {name: _query(sql, BOUND.get(name)) for name, sql in SQL.items()} | cleaning.QUERIES | regression.QUERIES | seasonal.QUERIES | significance.QUERIES | anomaly.QUERIES | spread.QUERIES
-ORACLES = {name: model.oracle(sql, BOUND.get(name)) for name, sql in SQL.items()} | cleaning.ORACLES | anomaly.ORACLES
+ORACLES = {name: model.oracle(sql, BOUND.get(name)) for name, sql in SQL.items()} | cleaning.ORACLES | anomaly.ORACLES | seasonal.ORACLES

@@ -79,14 +79,19 @@ def residuals(rows: DataFrame, levels: dict[str, list[str]], names: list[str], b
 
 
 def least_squares(rows: DataFrame) -> DataFrame:
-    """term, estimate, std_error (HC3), z, p_value, n, r2 of y on the terms; the first level of each factor is the base.
+    """term, estimate, std_error (HC3), z, p_value, low, high (95 %), and n, r2, adjusted_r2, f_statistic, f_p_value and
+    condition of the whole; the first level of each factor is the base.
+
+    F is that of all terms but the constant, from the gathered products alone; condition is the ratio of the largest to the
+    least singular value of the terms, each scaled to one, infinite where terms depend on each other (their number then
+    counts less in F and adjusted_r2).
 
     Without rows the result is empty. Rows that alone determine a level have a leverage of 1 and a residual of 0; their
     share of the error is 0.
     """
     spark, rows = rows.sparkSession, rows.select("y", *NUMBERS, *FACTORS)
     sums = cross(rows, [*NUMBERS, "y"], F.lit(1.0))  # one row for each pair of levels
-    schema = "term string, estimate double, std_error double, z double, p_value double, n long, r2 double"
+    schema = "term string, estimate double, std_error double, z double, p_value double, low double, high double, n long, r2 double, adjusted_r2 double, f_statistic double, f_p_value double, condition double"
     if not sums:
         return spark.createDataFrame([], schema)
     levels: dict[str, list[str]] = {f: [] for f in FACTORS}
@@ -102,10 +107,30 @@ def least_squares(rows: DataFrame) -> DataFrame:
     meat = symmetric(cross(own, [*NUMBERS], weight), names)
     error = np.sqrt(np.clip(np.diag(inverse @ meat @ inverse), 0, None))
     r2 = 1 - (y_square - beta @ whole[:p, p]) / max(y_square - y_sum * y_sum / n, 1e-300)
-    out = [(t, float(b), float(s), float(b / s) if s else None, 2 * dist.normal_sf(abs(b / s)) if s else None, int(n), float(r2)) for t, b, s in zip(names, beta, error, strict=True)]
+    rank, adjusted, f, f_p, condition = overall(whole[:p, :p], int(n), float(r2))
+    wide = 1.959963984540054  # of 95 % of a normal distribution
+    out = [
+        (t, float(b), float(s), float(b / s) if s else None, 2 * dist.normal_sf(abs(b / s)) if s else None, float(b - wide * s), float(b + wide * s), int(n), float(r2), adjusted, f, f_p, condition)
+        for t, b, s in zip(names, beta, error, strict=True)
+    ]
     return spark.createDataFrame(out, schema)
 
 
+def overall(gram: np.ndarray, n: int, r2: float) -> tuple[int, float | None, float | None, float | None, float]:
+    """Rank, adjusted R2, F with its p-value (of all terms but the constant), and condition of a regression's terms."""
+    scale = np.sqrt(np.maximum(np.diag(gram), 1e-300))
+    own = np.linalg.eigvalsh(gram / np.outer(scale, scale))
+    rank = int((own > own.max() * 1e-12).sum())
+    condition = float(np.sqrt(own.max() / own.min())) if rank == len(gram) else math.inf
+    if n <= rank or rank < 2:
+        return rank, None, None, None, condition
+    adjusted = 1 - (1 - r2) * (n - 1) / (n - rank)
+    if r2 >= 1:
+        return rank, adjusted, None, None, condition
+    f = r2 / (rank - 1) / ((1 - r2) / (n - rank))
+    return rank, adjusted, f, dist.f_sf(f, rank - 1, n - rank), condition
+
+
 def t18_ols_hc3(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What drives the margin of a line."""
     return least_squares(design(spark, sf_dir))

@@ -1,7 +1,7 @@
 """Robust seasonal decomposition, its outliers, unit-root tests and resampled intervals.
 
 A series has one row a month, after aggregation, so a group of applyInPandas is some hundred rows whatever the size of
-the ledger. Series with a missing or non-positive value (no logarithm), with gaps, or of fewer than 24 months give no rows.
+the ledger. Series with a missing or non-positive value (no logarithm), or of fewer than 24 months give no rows.
 """
 
 from __future__ import annotations
@@ -11,7 +11,7 @@ from collections.abc import Callable
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import series
@@ -22,7 +22,11 @@ BLOCKS, DRAWS = 1_000, 10_000
 
 
 def by_series(long: DataFrame, each: Callable[[pd.DataFrame, np.ndarray], pd.DataFrame], schema: str) -> DataFrame:
-    """each(months, logarithms) of every series (series, month_start, value) that has a logarithm and no gap."""
+    """each(months, logarithms) of every series (series, month_start, value) that has a logarithm.
+
+    Months that a series lacks between its first and last one are put in, their logarithms on the line between their
+    neighbours', so that a season stays where it is; they have no value, and rows for them are left out of the result.
+    """
     names = [c.split()[0] for c in schema.split(", ")]
 
     def run(df: pd.DataFrame) -> pd.DataFrame:
@@ -30,13 +34,52 @@ def by_series(long: DataFrame, each: Callable[[pd.DataFrame, np.ndarray], pd.Dat
         value = df["value"].to_numpy(float)
         month = pd.to_datetime(df["month_start"])
         index = (month.dt.year * 12 + month.dt.month).to_numpy()
-        if len(df) < LEAST or not (value > 0).all() or not (np.diff(index) == 1).all():
+        if len(df) < LEAST or not (value > 0).all() or not (np.diff(index) > 0).all():
             return pd.DataFrame(columns=names, dtype=object)
-        return each(df, np.log(value))[names]
+        whole = np.arange(index[0], index[-1] + 1)
+        filled = df.set_index(index).reindex(whole).reset_index(drop=True)
+        filled["series"] = df["series"].iloc[0]
+        out = each(filled, np.interp(whole, index, np.log(value)))
+        return out[out["value"].notna()][names] if "value" in out else out[names]
 
     return long.select("series", "month_start", F.col("value").cast("double").alias("value")).groupBy("series").applyInPandas(run, schema)
 
 
+def complete(df: DataFrame, *keys: str) -> DataFrame:
+    """df (keys, month_start and values) with a row for every month from each series' first to its last; a month put in has no values.
+
+    `present` tells the rows that were there. Lags over such rows are lags by date (see lagged).
+    """
+    ends = df.groupBy(*keys).agg(F.min("month_start").alias("lo"), F.max("month_start").alias("hi"))
+    spine = ends.select(*keys, F.explode(F.sequence("lo", "hi", F.expr("INTERVAL 1 MONTH")).cast("array<date>")).alias("month_start"))
+    return spine.join(df.withColumn("present", F.lit(True)), [*keys, "month_start"], "left").withColumn("present", F.coalesce("present", F.lit(False)))
+
+
+def lagged(df: DataFrame, x: str, months: int, *keys: str) -> Column:
+    """x as it was so many months before, in a complete series: the row before is the month before."""
+    own = Window.partitionBy(*keys) if keys else Window.partitionBy()
+    return F.lag(x, months).over(own.orderBy("month_start"))
+
+
+def ts12_complete_series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Monthly revenue of dear sales by region and category, gaps put in, with growth against the month and the year before by date."""
+    keys = ("region", "product_category")
+    sql = "SELECT region, product_category, month_start, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM fact_transactions WHERE quantity >= 48 GROUP BY 1, 2, 3"
+    own = complete(model.ask(spark, sf_dir, sql), *keys)
+    before = {k: lagged(own, "revenue", k, *keys) for k in (1, 12)}
+    growth = {k: F.round(F.col("revenue") / F.nullif(b, F.lit(0.0)) - 1, 6) for k, b in before.items()}
+    return own.select(*keys, "month_start", "present", "revenue", growth[1].alias("mom"), growth[12].alias("yoy"))
+
+
+_COMPLETE = """WITH m AS (SELECT region, product_category, month_start, CAST(SUM(revenue) AS DOUBLE) AS revenue FROM fact_transactions WHERE quantity >= 48 GROUP BY 1, 2, 3),
+s AS (SELECT region, product_category, CAST(unnest(generate_series(MIN(month_start), MAX(month_start), INTERVAL 1 MONTH)) AS DATE) AS month_start FROM m GROUP BY 1, 2),
+j AS (SELECT s.region, s.product_category, s.month_start, a.revenue, a.revenue IS NOT NULL AS present, b.revenue AS r1, c.revenue AS r12 FROM s
+  LEFT JOIN m a ON a.region = s.region AND a.product_category = s.product_category AND a.month_start = s.month_start
+  LEFT JOIN m b ON b.region = s.region AND b.product_category = s.product_category AND b.month_start = s.month_start - INTERVAL 1 MONTH
+  LEFT JOIN m c ON c.region = s.region AND c.product_category = s.product_category AND c.month_start = s.month_start - INTERVAL 12 MONTH)
+SELECT region, product_category, month_start, present, revenue, ROUND(revenue / NULLIF(r1, 0) - 1, 6) AS mom, ROUND(revenue / NULLIF(r12, 0) - 1, 6) AS yoy FROM j"""
+
+
 def decompose(long: DataFrame) -> DataFrame:
     """Trend, seasonal part and remainder of the logarithms, what they let expect, and the remainder's robust score."""
 
@@ -120,4 +163,5 @@ def t07_bootstrap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bootstrap(rows, F.struct("order_id", "line_number", "product_id"), F.col("revenue"), F.lit(1))
 
 
-QUERIES = {"ts05_stl": ts05_stl, "d03_seasonal_residual": d03_seasonal_residual, "ts09_stationarity": ts09_stationarity, "ts09_correlogram": ts09_correlogram, "t07_bootstrap": t07_bootstrap}
+ORACLES = {"ts12_complete_series": model.oracle(_COMPLETE)}
+QUERIES = {"ts12_complete_series": ts12_complete_series, "ts05_stl": ts05_stl, "d03_seasonal_residual": d03_seasonal_residual, "ts09_stationarity": ts09_stationarity, "ts09_correlogram": ts09_correlogram, "t07_bootstrap": t07_bootstrap}

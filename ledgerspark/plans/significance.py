@@ -17,7 +17,7 @@ from ..functions import dist
 from . import analytics, model, seasonal, spread
 
 ALPHA, LEVEL = 0.05, 0.95
-RESULT = "name string, test string, statistic double, df double, p_value double, significant boolean, effect string, effect_size double, magnitude string, mean_difference double, rank_test string, rank_statistic double, rank_p double, levene_w double, levene_p double, log_scale_t double, log_scale_p double, agrees boolean, n long"
+RESULT = "name string, test string, statistic double, df double, p_value double, significant boolean, effect string, effect_size double, magnitude string, mean_difference double, rank_test string, rank_statistic double, rank_p double, rank_biserial double, levene_w double, levene_p double, log_scale_t double, log_scale_p double, agrees boolean, n long"
 
 
 def two_groups(name: str, a: dict, b: dict) -> dict:
@@ -25,9 +25,9 @@ def two_groups(name: str, a: dict, b: dict) -> dict:
     size = lambda g, mean, var, n="n": (int(g[n]), g[mean], g[var])
     t, df, p = dist.welch(size(a, "mean", "var"), size(b, "mean", "var"))
     d = dist.cohen_d(size(a, "mean", "var"), size(b, "mean", "var"))
-    u, u_p, _ = dist.mann_whitney(int(a["n"]), a["rank_sum"], int(b["n"]), a["ties"])
+    u, u_p, biserial = dist.mann_whitney(int(a["n"]), a["rank_sum"], int(b["n"]), a["ties"])
     w, w_p, _ = dist.anova([size(g, "mean_deviation", "var_deviation") for g in (a, b)])
-    out = {"test": "Welch t", "statistic": t, "df": df, "p_value": p, "effect": "Cohen d", "effect_size": d, "magnitude": dist.magnitude("d", d), "mean_difference": a["mean"] - b["mean"], "rank_test": "Mann-Whitney U", "rank_statistic": u, "rank_p": u_p, "levene_w": w, "levene_p": w_p}
+    out = {"test": "Welch t", "statistic": t, "df": df, "p_value": p, "effect": "Cohen d", "effect_size": d, "magnitude": dist.magnitude("d", d), "mean_difference": a["mean"] - b["mean"], "rank_test": "Mann-Whitney U", "rank_statistic": u, "rank_p": u_p, "rank_biserial": biserial, "levene_w": w, "levene_p": w_p}
     if min(a["log_n"], b["log_n"]) > 1:
         out["log_scale_t"], _, out["log_scale_p"] = dist.welch(size(a, "log_mean", "log_var", "log_n"), size(b, "log_mean", "log_var", "log_n"))
     return {"name": name, **out}

@@ -28,12 +28,12 @@ def test_outliers_and_series_without_rows(spark):
     wave = lambda i: 1000 * 1.01**i * (1.5 if i % 12 == 11 else 1) * (1 + 0.01 * np.cos(i * i))
     data = {"planted": months(48, lambda i: wave(i) * (0.5 if i == 30 else 1)), "short": months(23, wave), "negative": months(30, lambda i: i - 5), "gap": months(40, wave)[:20] + months(40, wave)[21:], "flat": months(30, lambda i: 7)}
     found = seasonal.decompose(long_of(spark, data)).collect()
-    assert {r.series for r in found} == {"planted", "flat"}
+    assert {r.series for r in found} == {"planted", "flat", "gap"}  # a missing month is put in
     assert max((r for r in found if r.series == "planted"), key=lambda r: abs(r.score)).month_start.isoformat() == "2022-07-01"
     assert all(abs(r.score) < 2.5 for r in found if r.series == "flat")
     tests = seasonal.stationarity(long_of(spark, data)).collect()
-    assert {r.series for r in tests} == {"planted", "flat"} and all(r.p_value is None for r in tests if r.series == "flat" and r.test.startswith("ljung"))
-    assert {r.series for r in seasonal.correlogram(long_of(spark, data)).collect()} == {"planted"}
+    assert {r.series for r in tests} == {"planted", "flat", "gap"} and all(r.p_value is None for r in tests if r.series == "flat" and r.test.startswith("ljung"))
+    assert {r.series for r in seasonal.correlogram(long_of(spark, data)).collect()} == {"planted", "gap"}
 
 
 def test_unit_root_tests_hold_their_size():
@@ -64,3 +64,23 @@ def test_bootstrap_agrees_with_the_closed_form(spark):
     assert r.draws == 2000 and r.estimate == pytest.approx(m.m)
     assert r.low == pytest.approx(m.m - half, abs=half * 0.25) and r.high == pytest.approx(m.m + half, abs=half * 0.25)
     assert seasonal.bootstrap(df.limit(0), F.col("id"), F.col("v"), F.lit(1)).first().estimate is None
+
+
+def test_missing_months_are_put_in(spark):
+    import datetime
+
+    months = [datetime.date(2018 + k // 12, k % 12 + 1, 1) for k in range(60)]
+    value = [float(100 * 1.01**k * (1.4 if k % 12 == 11 else 1)) for k in range(60)]
+    rows = [("whole", m, v) for m, v in zip(months, value)] + [("gap", m, v) for k, (m, v) in enumerate(zip(months, value)) if k not in (20, 21, 33)]
+    long = spark.createDataFrame(rows, "series string, month_start date, value double")
+    full = seasonal.complete(long, "series")
+    assert full.filter("series = 'gap'").count() == 60 and full.filter("NOT present").count() == 3 == full.filter("value IS NULL").count()
+    back = seasonal.lagged(full, "value", 12, "series")
+    year = {r.month_start: r.b for r in full.filter("series = 'gap'").select("month_start", back.alias("b")).collect()}
+    assert year[months[45]] is None and year[months[46]] == value[34] and year[months[32]] is None and year[months[30]] == value[18]
+    got = seasonal.decompose(long).collect()
+    own = {r.month_start: r for r in got if r.series == "gap"}
+    assert len(own) == 57 and months[20] not in own and len([r for r in got if r.series == "whole"]) == 60
+    assert abs(own[months[47]].residual) < 0.05 and own[months[47]].seasonal > 0.2  # December stays December behind a gap
+    assert {r.series for r in seasonal.stationarity(long).collect()} == {"whole", "gap"}
+    assert seasonal.complete(long.limit(0), "series").count() == 0
