@@ -31,7 +31,7 @@ def test_query_equals_its_sql(spark, name):
 def test_filters_are_bound_and_whitelisted(spark):
     assert library.where() == ("1 = 1", {})
     condition, args = library.where(start="1996-01-01", regions=("O'Brien", "ASIA"), segments=("BUILDING",))
-    assert "Brien" not in condition and set(args.values()) == {"1996-01-01", "O'Brien", "ASIA", "BUILDING"}
+    assert "Brien" not in condition and set(args.values()) == {"1996-01-01", "1996-01", "O'Brien", "ASIA", "BUILDING"}
     count = lambda **f: (lambda c, a: model.run(spark, D, f"SELECT COUNT(*) AS n FROM fact_transactions WHERE {c}", a).first().n)(*library.where(**f))
     every = count()
     assert 0 < count(regions=("ASIA",)) < every and count(regions=("ASIA", "EUROPE")) == count(regions=("ASIA",)) + count(regions=("EUROPE",))
