@@ -84,3 +84,21 @@ def test_missing_months_are_put_in(spark):
     assert abs(own[months[47]].residual) < 0.05 and own[months[47]].seasonal > 0.2  # December stays December behind a gap
     assert {r.series for r in seasonal.stationarity(long).collect()} == {"whole", "gap"}
     assert seasonal.complete(long.limit(0), "series").count() == 0
+
+
+def test_intervals_of_a_median(spark):
+    """Known samples: the interval's width is that of the median's own error, and it covers the truth about as often as it says."""
+    rng = np.random.default_rng(12)
+    hit, widths = 0, []
+    for k in range(6):
+        x = rng.lognormal(0, 1, 4000)
+        got = seasonal.bootstrap_quantile(spark.createDataFrame([(float(v),) for v in x], "x double"), F.col("x"), draws=300, seed=k).first()
+        assert got.estimate == pytest.approx(float(np.median(x))) and got.draws == 300 and got.n == 4000
+        hit += got.low <= 1 <= got.high
+        widths.append(got.high - got.low)
+    error = 1 / (2 * np.sqrt(4000) / np.sqrt(2 * np.pi))  # 1 / (2 f(m) sqrt(n)), with f(1) = 1 / sqrt(2 pi)
+    assert hit >= 4 and np.mean(widths) == pytest.approx(2 * 1.96 * error, rel=0.25)
+    small = seasonal.bootstrap_quantile(spark.createDataFrame([(float(v),) for v in (1, 2, 2, 9)], "x double"), F.col("x"), draws=200).first()
+    assert small.estimate == 2 and 1 <= small.low <= small.high <= 9
+    none = seasonal.bootstrap_quantile(spark.createDataFrame([(None,)], "x double"), F.col("x"), draws=10).first()
+    assert none.estimate is None and none.n == 0
