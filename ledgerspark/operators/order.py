@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut
+from ..sources.shared import cut, kept
 
 
 def ranked(df: DataFrame, *order: Column, name: str = "rank") -> DataFrame:
@@ -81,7 +81,7 @@ def quantiles(df: DataFrame, x: str, at: dict[str, float], *keys: str, ends: boo
         by = [c for c in (*group, "name") if c in rows.columns]
         met = rows.join(F.broadcast(bounds) if bounds.count() <= FEW else bounds, by)
         under = met.groupBy(*group, "name").agg(F.count(F.when(F.col("x") < F.col("low"), 1)).alias("under"))
-        rows = cut(met.filter(F.col("x").between(F.col("low"), F.col("high"))).select(*group, "name", "x"))
+        rows = kept(met.filter(F.col("x").between(F.col("low"), F.col("high"))).select(*group, "name", "x"))
         bounds = bounds.select(*group, "name", "place", "before").join(under, [*group, "name"]).withColumn("before", F.col("before") + F.col("under")).drop("under")
         values = rows.groupBy(*group, "name", "x").agg(F.count("*").alias("n"))
         largest = values.groupBy(*group, "name").count().agg(F.max("count")).first()[0] or 0

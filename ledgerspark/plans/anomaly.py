@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from ..operators.order import FEW, quantiles
 from ..sources.files import read_events
-from ..sources.shared import cut, shared_dir
+from ..sources.shared import cut, kept, shared_dir
 from . import analytics, model, seasonal
 
 FLAGS = ("period", "scope", "metric", "method", "actual", "expected", "expected_low", "expected_high", "deviation", "deviation_pct", "score", "severity", "material")
@@ -148,7 +148,7 @@ def flags(spark: SparkSession, sf_dir: str, by_season: bool = True) -> DataFrame
     """The flags of all detectors (without the seasonal one, if so asked), written once to the shared folder."""
     series = cut(model.ask(spark, sf_dir, SERIES))
     headline = series.filter(F.col("scope") == COMPANY)
-    found = [rolling_flags(series), global_flags(headline), distributions(cut(model.ask(spark, sf_dir, ROWS)))[1]]
+    found = [rolling_flags(series), global_flags(headline), distributions(kept(model.ask(spark, sf_dir, ROWS)))[1]]
     if by_season:
         found.append(seasonal_flags(headline.filter(F.col("metric").isin(*BY_SEASON))))
     return cut(reduce(DataFrame.unionByName, found))
@@ -219,11 +219,11 @@ def _ask(question: Callable[[DataFrame], DataFrame], by_season: bool, spark: Spa
 
 
 def _summaries(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distributions(cut(model.ask(spark, sf_dir, ROWS)))[0]
+    return distributions(kept(model.ask(spark, sf_dir, ROWS)))[0]
 
 
 def _largest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return distributions(cut(model.ask(spark, sf_dir, ROWS)))[1]
+    return distributions(kept(model.ask(spark, sf_dir, ROWS)))[1]
 
 
 def _recall(found: DataFrame) -> DataFrame:

@@ -12,7 +12,7 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import cut, shared_dir
+from ..sources.shared import kept, shared_dir
 from ..sources.warehouse import append, exists, fingerprint
 
 #: The relations that `build` writes, and the column by which it partitions them.
@@ -159,7 +159,7 @@ def build(spark: SparkSession, sf_dir: str, warehouse: str) -> None:
     for name, by in FACTS.items():
         df = spark.table(name)
         if by:
-            append(cut(df), f"{warehouse}/{name}", by, ("order_id", "line_number"))
+            append(kept(df), f"{warehouse}/{name}", by, ("order_id", "line_number"))
         else:
             df.write.mode("overwrite").parquet(f"{warehouse}/{name}")
     spark.range(1).coalesce(1).write.mode("overwrite").parquet(f"{warehouse}/complete")

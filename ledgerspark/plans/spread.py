@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import FEW, mid_ranks, quantiles
-from ..sources.shared import cut
+from ..sources.shared import cut, kept
 from . import analytics, library, model
 
 PRODUCTS = "SELECT product_id, units_sold, revenue, profit_margin_pct, discount_rate_pct FROM v_product_summary"
@@ -45,7 +45,7 @@ def discount_heavy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def revenue_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    v = cut(model.ask(spark, sf_dir, "SELECT CAST(revenue AS DOUBLE) AS x FROM fact_transactions WHERE revenue > 0"))
+    v = kept(model.ask(spark, sf_dir, "SELECT CAST(revenue AS DOUBLE) AS x FROM fact_transactions WHERE revenue > 0"))
     ends = quantiles(v, "x", {"lo": 0.0, "hi": 0.98}).first()
     own = v.filter(F.col("x") <= F.lit(ends["hi"]).cast("double")).withColumns({"lo": F.lit(ends["lo"]).cast("double"), "hi": F.lit(ends["hi"]).cast("double")})
     counts = own.groupBy(F.expr("CAST(LEAST(79, FLOOR((x - lo) * 80 / (hi - lo))) AS BIGINT)").alias("bin"), "lo", "hi").agg(F.count("*").alias("transactions"))
@@ -64,7 +64,7 @@ def _fences(rows: DataFrame) -> DataFrame:
 def tukey(group: str, x: str, log: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fences of each group and how many rows are out."""
     v, keep = _work(x, log)
-    rows = cut(model.ask(spark, sf_dir, f"SELECT {group} AS grp, {v} AS x FROM fact_transactions WHERE {keep}"))
+    rows = kept(model.ask(spark, sf_dir, f"SELECT {group} AS grp, {v} AS x FROM fact_transactions WHERE {keep}"))
     fences = _fences(rows).filter("n >= 20")
     met = rows.join(F.broadcast(fences) if fences.count() <= FEW else fences, "grp")
     n = lambda c: F.count(F.when(c, 1))
@@ -75,7 +75,7 @@ def tukey(group: str, x: str, log: bool, spark: SparkSession, sf_dir: str) -> Da
 def farthest(x: str, log: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
     """The ten rows farthest from the upper fence, of those out of the fences."""
     v, keep = _work(x, log)
-    rows = cut(model.ask(spark, sf_dir, f"SELECT 'all' AS grp, order_id, line_number, product_id, CAST(gross_revenue AS DOUBLE) AS gross_revenue, {v} AS x FROM fact_transactions WHERE {keep}"))
+    rows = kept(model.ask(spark, sf_dir, f"SELECT 'all' AS grp, order_id, line_number, product_id, CAST(gross_revenue AS DOUBLE) AS gross_revenue, {v} AS x FROM fact_transactions WHERE {keep}"))
     out = rows.join(F.broadcast(_fences(rows)), "grp").filter("x > upper OR x < lower")
     ten = out.orderBy(F.expr("x - upper").desc(), "order_id", "line_number", "product_id", "gross_revenue").limit(10)
     return ten.select("order_id", "line_number", "product_id", "gross_revenue", F.round("x", 6).alias("value"), F.expr("ROUND(x - upper, 6)").alias("beyond_upper"))
@@ -85,7 +85,7 @@ def compared(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """test, grp, x of every row and comparison, written once: the rows from which all statistics of groups come."""
     names = names or tuple(analytics.COMPARISONS)
     each = " UNION ALL ".join(f"SELECT '{k}' AS test, {g} AS grp, {x} AS x FROM fact_transactions WHERE {c}" for k in names for g, x, c in [analytics.COMPARISONS[k]])
-    return cut(model.ask(spark, sf_dir, each).filter("grp IS NOT NULL AND x IS NOT NULL"))
+    return kept(model.ask(spark, sf_dir, each).filter("grp IS NOT NULL AND x IS NOT NULL"))
 
 
 def groups(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
@@ -104,7 +104,7 @@ def groups(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     off = F.abs(F.col("x") - F.col("median"))
     met = rows.join(F.broadcast(medians) if medians.count() <= FEW else medians, ["test", "grp"])
     second = met.groupBy("test", "grp", "median").agg(F.avg(off).alias("mean_deviation"), F.stddev_samp(off).alias("sd_deviation"))
-    counts = cut(rows.groupBy("test", "grp", "x").agg(F.count("*").alias("own")))
+    counts = kept(rows.groupBy("test", "grp", "x").agg(F.count("*").alias("own")))
     places = mid_ranks(counts.groupBy("test", "x").agg(F.sum("own").alias("n")), "x", "test")
     sums = counts.join(places, ["test", "x"]).groupBy("test", "grp").agg(F.sum(F.col("own") * F.col("mid")).alias("rank_sum"))
     cubes = F.col("n").cast("double")
@@ -121,9 +121,9 @@ def correlations(pairs: tuple[tuple[str, str], ...], source: str, spark: SparkSe
     the ranks is taken over the different pairs, weighted by how often they occur.
     """
     each = " UNION ALL ".join(f"SELECT '{a} vs {b}' AS pair, CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b FROM {source} src" for a, b in pairs)
-    counts = cut(model.ask(spark, sf_dir, each).filter("a IS NOT NULL AND b IS NOT NULL").groupBy("pair", "a", "b").agg(F.count("*").alias("k")))
+    counts = kept(model.ask(spark, sf_dir, each).filter("a IS NOT NULL AND b IS NOT NULL").groupBy("pair", "a", "b").agg(F.count("*").alias("k")))
     side = lambda c: mid_ranks(counts.groupBy("pair", c).agg(F.sum("k").alias("n")), c, "pair").select("pair", c, F.col("mid").alias(f"r{c}"))
-    ranked = cut(counts.join(side("a"), ["pair", "a"]).join(side("b"), ["pair", "b"]))
+    ranked = kept(counts.join(side("a"), ["pair", "a"]).join(side("b"), ["pair", "b"]))
     weigh = lambda x: F.sum(F.col("k") * F.col(x)) / F.sum("k")
     means = ranked.groupBy("pair").agg(*(weigh(c).alias(f"m_{c}") for c in ("a", "b", "ra", "rb")))
     part = lambda x, y: F.sum(F.col("k") * (F.col(x) - F.col(f"m_{x}")) * (F.col(y) - F.col(f"m_{y}")))

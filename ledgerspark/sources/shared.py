@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -27,3 +28,10 @@ def cut(df: DataFrame) -> DataFrame:
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(shared_dir(df.sparkSession))
     return df.checkpoint(eager=True)
+
+
+def kept(df: DataFrame) -> DataFrame:
+    """As cut(), by a table in the shared folder: for many rows, of which later steps read a part of the columns."""
+    at = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex[:12]}"
+    df.write.parquet(at)
+    return df.sparkSession.read.parquet(at)
