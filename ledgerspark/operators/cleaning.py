@@ -13,12 +13,14 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import cut, kept, shared_dir
+from .order import FEW
 
 #: Date formats in the order in which they are tried, spellings, bounds.
 DATE_FORMATS = ("yyyy-M-d", "d/M/yyyy", "yyyy.M.d", "M/d/yyyy", "d-M-yyyy", "yyyy/M/d")
 REGION_ALIASES = {"asia": "ASIA", "asi": "ASIA", "europe": "EUROPE", "eur": "EUROPE", "america": "AMERICA", "amer": "AMERICA", "africa": "AFRICA", "afr": "AFRICA", "middleeast": "MIDDLE EAST", "mideast": "MIDDLE EAST"}
 NUMBER = r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$"
+PLAIN = r"^[0-9]+([.][0-9]+)?\z"
 MAX_QUANTITY, MAX_PRICE, TOLERANCE = 5000, 100000, 0.01
 FIRST_DAY, LAST_DAY = "1995-01-01", "2001-12-31"
 NULLS = ("", "nan", "NaN", "None", "NULL")
@@ -46,7 +48,8 @@ def canonical(c: Column, aliases: dict[str, str]) -> Column:
 def customer_id(c: Column) -> Column:
     """CUST- and the first run of digits, padded to five; null without digits."""
     digits = F.regexp_extract(c, "([0-9]+)", 1)
-    return F.when(digits != "", F.format_string("CUST-%05d", F.when(digits != "", digits).cast("bigint")))
+    n = F.when(digits != "", digits).cast("bigint").cast("string")
+    return F.concat(F.lit("CUST-"), F.when(F.length(n) < 5, F.lpad(n, 5, "0")).otherwise(n))  # longer ones stay whole
 
 
 def number(c: Column) -> Column:
@@ -55,7 +58,7 @@ def number(c: Column) -> Column:
     percent = bare.endswith("%")
     bare = F.regexp_replace(bare, "%$", "")
     value = F.when(bare.rlike(NUMBER), bare).try_cast("double")
-    return F.when(percent, value / 100).otherwise(value)
+    return F.when(c.rlike(PLAIN), c.try_cast("double")).otherwise(F.when(percent, value / 100).otherwise(value))  # most are plain, and need no replacing
 
 
 def date(c: Column) -> Column:
@@ -80,9 +83,13 @@ def passes(df: DataFrame) -> list[tuple[str, DataFrame]]:
     return _passes(df, lambda _, out: out)
 
 
-def _passes(df: DataFrame, seen: Callable[[str, DataFrame], DataFrame]) -> list[tuple[str, DataFrame]]:
+#: The passes, and the columns by which rows are the same (none: all but seq).
+PASSES = (("identical rows", None), ("same transaction id", ("transaction_id",)), ("same business key", BUSINESS_KEY))
+
+
+def _passes(df: DataFrame, seen: Callable[[str, DataFrame], DataFrame], which: tuple = PASSES) -> list[tuple[str, DataFrame]]:
     columns, out = df.columns, []
-    for name, keys in (("identical rows", None), ("same transaction id", ("transaction_id",)), ("same business key", BUSINESS_KEY)):
+    for name, keys in which:
         if keys:
             df = df.groupBy(*keys).agg(F.min_by(F.struct(*columns), "seq").alias("row")).select("row.*").select(*columns)
         else:
@@ -93,8 +100,12 @@ def _passes(df: DataFrame, seen: Callable[[str, DataFrame], DataFrame]) -> list[
 
 
 def deduplicate(df: DataFrame) -> DataFrame:
-    """What the last of the passes leaves."""
-    return passes(df)[-1][1]
+    """What the last of the passes leaves.
+
+    Identical rows have one transaction id, so the first row of an id is also the first of those identical to it: the pass
+    over identical rows changes nothing of what is left, and is run only where its count is asked for.
+    """
+    return _passes(df, lambda _, out: out, PASSES[1:])[-1][1]
 
 
 #: The reasons for which a row is rejected, in the order in which they are tried.
@@ -140,14 +151,17 @@ def repair(df: DataFrame, products: DataFrame, customers: DataFrame) -> DataFram
     df = df.join(products, "product_id", "left").join(customers, "customer_id", "left")
     df = df.withColumns(fill("category", "product_category", "m_category") | fill("region", "region", "m_region") | fill("segment", "customer_segment", "m_segment"))
     df = df.withColumns(fill("price_solved", "unit_price", F.when((q > 0) & (net > 0), F.col("revenue") / net)) | fill("cost_solved", "unit_cost", F.when(q > 0, F.col("cost") / q)))
+    # Segments are few, so the rows do not gather by segment: discounts are counted first, and what they give is broadcast.
+    counts = cut(df.groupBy(F.col("customer_segment").alias("s_segment"), "discount").agg(F.count("*").alias("n")))
+    by_segment = cut(counts.groupBy("s_segment").agg(F.expr("percentile(discount, 0.5D, n)").alias("s_discount")))
+    dealt = counts.join(by_segment.withColumnRenamed("s_segment", "b_segment"), F.col("s_segment") == F.col("b_segment"), "left")
+    overall = cut(dealt.agg(F.expr("percentile(COALESCE(discount, s_discount), 0.5D, n)").alias("a_discount")))
     medians = df.groupBy("product_id").agg(F.median("unit_price").alias("p_price"), F.median("unit_cost").alias("p_cost"))
     df = df.join(medians, "product_id", "left")
     df = df.withColumns(fill("price_median", "unit_price", "p_price", "m_price") | fill("cost_median", "unit_cost", "p_cost", "m_cost"))
     df = df.withColumn("cost", F.coalesce("cost", F.col("unit_cost") * q))
-    by_segment = df.groupBy(F.col("customer_segment").alias("s_segment")).agg(F.median("discount").alias("s_discount"))
-    df = df.join(by_segment, df.customer_segment == by_segment.s_segment, "left")
-    overall = df.agg(F.median(F.coalesce("discount", "s_discount")).alias("a_discount"))
-    df = df.crossJoin(overall)  # overall is one row
+    df = df.join(F.broadcast(by_segment) if by_segment.count() <= FEW else by_segment, df.customer_segment == by_segment.s_segment, "left")
+    df = df.crossJoin(F.broadcast(overall))  # overall is one row
     df = df.withColumns(fill("discount", "discount", "s_discount", "a_discount") | {"is_customer_attributed": F.col("customer_id").isNotNull().cast("long")})
     unknown = lambda flag, c, label: fill(flag, c, F.lit(label))
     df = df.withColumns(unknown("payment", "payment_type", "Unknown") | unknown("customer", "customer_id", "UNATTRIBUTED") | unknown("region_unknown", "region", "Unknown") | unknown("segment_unknown", "customer_segment", "Unknown"))
@@ -256,7 +270,8 @@ def c12_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repair(_unique(spark, sf_dir).filter(F.col("reason").isNull()).drop("reason"), *masters(spark, sf_dir))
+    # Held, as repairs read the rows more than once.
+    return repair(kept(_unique(spark, sf_dir).filter(F.col("reason").isNull()).drop("reason")), *masters(spark, sf_dir))
 
 
 def c13_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
