@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.order import FEW, mid_ranks, quantiles
+from ..operators.ranges import spearman
 from ..sources.shared import cut, kept
 from . import analytics, library, model
 
@@ -117,18 +118,16 @@ def groups(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
 def correlations(pairs: tuple[tuple[str, str], ...], source: str, spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pearson's and Spearman's coefficients of pairs of columns, as analytics.correlations() gives.
 
-    Pearson's come straight from the rows; for Spearman's, each side's different values are ranked, and the coefficient of
-    the ranks is taken over the different pairs, weighted by how often they occur.
+    The columns are written once, each row for all pairs; Pearson's come straight from them, Spearman's from ranges.spearman.
     """
-    each = " UNION ALL ".join(f"SELECT '{a} vs {b}' AS pair, CAST({a} AS DOUBLE) AS a, CAST({b} AS DOUBLE) AS b FROM {source} src" for a, b in pairs)
-    counts = kept(model.ask(spark, sf_dir, each).filter("a IS NOT NULL AND b IS NOT NULL").groupBy("pair", "a", "b").agg(F.count("*").alias("k")))
-    side = lambda c: mid_ranks(counts.groupBy("pair", c).agg(F.sum("k").alias("n")), c, "pair").select("pair", c, F.col("mid").alias(f"r{c}"))
-    ranked = kept(counts.join(side("a"), ["pair", "a"]).join(side("b"), ["pair", "b"]))
-    weigh = lambda x: F.sum(F.col("k") * F.col(x)) / F.sum("k")
-    means = ranked.groupBy("pair").agg(*(weigh(c).alias(f"m_{c}") for c in ("a", "b", "ra", "rb")))
-    part = lambda x, y: F.sum(F.col("k") * (F.col(x) - F.col(f"m_{x}")) * (F.col(y) - F.col(f"m_{y}")))
-    ratio = lambda x, y: F.round(part(x, y) / F.nullif(F.sqrt(part(x, x) * part(y, y)), F.lit(0.0)), 6)
-    return ranked.join(F.broadcast(means), "pair").groupBy("pair").agg(F.sum("k").alias("n"), ratio("a", "b").alias("pearson_r"), ratio("ra", "rb").alias("spearman_rho"))
+    columns = dict.fromkeys(c for pair in pairs for c in pair)
+    rows = kept(model.ask(spark, sf_dir, f"SELECT {', '.join(f'CAST({c} AS DOUBLE) AS {c}' for c in columns)} FROM {source} src"))
+    both = lambda a, b: F.when(F.col(b).isNotNull(), F.col(a))
+    moments = [m for p, (a, b) in enumerate(pairs) for m in (F.covar_pop(a, b).alias(f"c{p}"), F.var_pop(both(a, b)).alias(f"a{p}"), F.var_pop(both(b, a)).alias(f"b{p}"))]
+    pearson = F.explode(F.array(*(F.struct(F.lit(p).alias("pair"), (F.col(f"c{p}") / F.nullif(F.sqrt(F.col(f"a{p}") * F.col(f"b{p}")), F.lit(0.0))).alias("r")) for p in range(len(pairs)))))
+    straight = rows.agg(*moments).select(pearson.alias("e")).select("e.*")
+    name = F.element_at(F.array(*(F.lit(f"{a} vs {b}") for a, b in pairs)), F.col("pair") + 1)
+    return spearman(rows, list(pairs)).join(F.broadcast(straight), "pair").select(name.alias("pair"), "n", F.round("r", 6).alias("pearson_r"), F.round("rho", 6).alias("spearman_rho"))
 
 
 def _of(name: str, columns: dict[str, str], spark: SparkSession, sf_dir: str) -> DataFrame:
