@@ -7,13 +7,16 @@ different values.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
 from functools import partial, reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.ml.feature import Bucketizer
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from ..operators.order import FEW, mid_ranks, quantiles
-from ..operators.ranges import spearman
+from ..operators.order import FEW, quantiles
+from ..operators.ranges import bounds, spearman
 from ..sources.shared import cut, kept
 from . import analytics, library, model
 
@@ -82,35 +85,81 @@ def farthest(x: str, log: bool, spark: SparkSession, sf_dir: str) -> DataFrame:
     return ten.select("order_id", "line_number", "product_id", "gross_revenue", F.round("x", 6).alias("value"), F.expr("ROUND(x - upper, 6)").alias("beyond_upper"))
 
 
-def compared(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
-    """test, grp, x of every row and comparison, written once: the rows from which all statistics of groups come."""
-    names = names or tuple(analytics.COMPARISONS)
-    each = " UNION ALL ".join(f"SELECT '{k}' AS test, {g} AS grp, {x} AS x FROM fact_transactions WHERE {c}" for k in names for g, x, c in [analytics.COMPARISONS[k]])
-    return kept(model.ask(spark, sf_dir, each).filter("grp IS NOT NULL AND x IS NOT NULL"))
+def counted(spark: SparkSession, sf_dir: str, *names: str) -> list[tuple[list[str], DataFrame]]:
+    """For each value that comparisons look at: their names, and its different values with one column of groups for each of them.
+
+    Columns are range (of the value: a sample draws the bounds, see ranges.bounds), x, a comparison's group of these rows (null:
+    none) by its name, and own, how many rows these are. A row counts once for a value, whatever the comparisons that look at it.
+    """
+    names, values = names or tuple(analytics.COMPARISONS), {}
+    for k in names:
+        values.setdefault(analytics.COMPARISONS[k][1], []).append(k)
+    labels = ", ".join(f"CASE WHEN {c} THEN {g} END AS {k}" for k in names for g, _, c in [analytics.COMPARISONS[k]])
+    rows = kept(model.ask(spark, sf_dir, f"SELECT {labels}, {', '.join(f'{x} AS x{i}' for i, x in enumerate(values))} FROM fact_transactions"))
+    n = rows.count()
+    drawn = bounds(rows, n, {f"x{i}": F.col(f"x{i}") for i in range(len(values))}) if n else {}
+    out = []
+    for i, tests in enumerate(values.values()):
+        at = [float(b) for b in drawn.get((f"x{i}",), ()) if math.isfinite(b)] or [0.0]
+        own = rows.select(F.col(f"x{i}").alias("x"), *tests).filter(F.col("x").isNotNull() & F.coalesce(*tests).isNotNull())
+        own = Bucketizer(splits=[-math.inf, *at, math.inf], inputCol="x", outputCol="range", handleInvalid="keep").transform(own)
+        out.append((tests, kept(own.groupBy("range", "x", *tests).agg(F.count("*").alias("own")))))
+    return out
+
+
+def _by_test(tests: list[str], df: DataFrame, *columns: str, **own: Callable[[str], Column]) -> DataFrame:
+    """test, grp, the columns, and what `own` says of a test, for each row and comparison that has a group there."""
+    each = F.array(*(F.struct(F.lit(t).alias("test"), F.col(t).alias("grp"), *(of(t).alias(c) for c, of in own.items())) for t in tests))
+    return df.select(*columns, F.explode(each).alias("e")).select(*columns, "e.*").filter("grp IS NOT NULL")
+
+
+def _group_medians(rows: DataFrame, cells: DataFrame) -> DataFrame:
+    """test, grp and the exact median: the counts of ranges say which of them hold it, and only their values are put in order."""
+    own = Window.partitionBy("test", "grp")
+    cells = cells.select("test", "grp", "range", (F.sum("n").over(own.orderBy("range")) - F.col("n")).alias("before"), "n", ((F.sum("n").over(own) - 1) / 2).alias("place"))
+    holding = cells.filter((F.col("before") <= F.ceil("place")) & (F.col("before") + F.col("n") > F.floor("place"))).drop("n")
+    upto = F.col("before") + F.sum("own").over(Window.partitionBy("test", "grp", "range").orderBy("x").rowsBetween(Window.unboundedPreceding, 0))
+    near = rows.join(F.broadcast(holding), ["test", "grp", "range"]).withColumn("upto", upto)
+    pair = [F.min(F.when(F.col("upto") > F.expr(f"{f}(place)"), F.col("x"))).alias(c) for f, c in (("floor", "left"), ("ceil", "right"))]
+    part = F.col("place") - F.floor("place")
+    return near.groupBy("test", "grp", "place").agg(*pair).select("test", "grp", (F.col("left") + part * (F.col("right") - F.col("left"))).alias("median"))
+
+
+def _rank_sums(tests: list[str], df: DataFrame) -> DataFrame:
+    """test, grp, rank_sum and cubes (the group's part of the sum of n^3 - n over ties): ranks come from one order of the values, range by range, for all tests."""
+    n = lambda t: F.when(F.col(t).isNotNull(), F.col("own")).otherwise(0)
+    sizes = df.groupBy("range").agg(*(F.sum(n(t)).alias(f"{t} in it") for t in tests))
+    starts = sizes.select("range", *((F.sum(f"{t} in it").over(Window.orderBy("range")) - F.col(f"{t} in it")).alias(f"{t} before") for t in tests))
+    run, same = Window.partitionBy("range").orderBy("x").rangeBetween(Window.unboundedPreceding, Window.currentRow), Window.partitionBy("range", "x")
+    placed = df.withColumns({f"{t} upto": F.sum(n(t)).over(run) for t in tests} | {f"{t} same": F.sum(n(t)).over(same) for t in tests}).join(F.broadcast(starts), "range")
+    mid = lambda t: F.col(f"{t} before") + F.col(f"{t} upto") - (F.col(f"{t} same") - 1) / 2
+    times = lambda t: F.col(f"{t} same").cast("double")
+    sums = placed.groupBy(*tests).agg(*(F.sum(F.col("own") * mid(t)).alias(f"{t} ranks") for t in tests), *(F.sum(F.col("own") * (times(t) * times(t) - 1)).alias(f"{t} cubes") for t in tests))
+    each = _by_test(tests, sums, rank_sum=lambda t: F.col(f"{t} ranks"), cubes=lambda t: F.col(f"{t} cubes"))
+    return each.groupBy("test", "grp").agg(F.sum("rank_sum").alias("rank_sum"), F.sum("cubes").alias("cubes"))
 
 
 def groups(spark: SparkSession, sf_dir: str, *names: str) -> DataFrame:
     """One row for each group of each comparison with all that the tests need, as analytics.groups() gives.
 
-    Moments come straight from the rows in one aggregate, deviations from the median in a second one, and rank sums from
-    the different values of a comparison, counted by group before any of them is ranked.
+    Everything comes from the counted values (see counted): sums, then medians, then moments about means and medians, and ranks.
     """
-    rows = compared(spark, sf_dir, *names)
-    positive = F.when(F.col("x") > 0, F.log("x"))
-    first = rows.groupBy("test", "grp").agg(
-        F.count("*").alias("n"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"), F.skewness("x").alias("skewness"),
-        F.count(positive).alias("log_n"), F.avg(positive).alias("log_mean"), F.var_samp(positive).alias("log_var"),
-    )
-    medians = cut(quantiles(rows, "x", {"median": 0.5}, "test", "grp").drop("n"))
-    off = F.abs(F.col("x") - F.col("median"))
-    met = rows.join(F.broadcast(medians) if medians.count() <= FEW else medians, ["test", "grp"])
-    second = met.groupBy("test", "grp", "median").agg(F.avg(off).alias("mean_deviation"), F.stddev_samp(off).alias("sd_deviation"))
-    counts = kept(rows.groupBy("test", "grp", "x").agg(F.count("*").alias("own")))
-    places = mid_ranks(counts.groupBy("test", "x").agg(F.sum("own").alias("n")), "x", "test")
-    sums = counts.join(places, ["test", "x"]).groupBy("test", "grp").agg(F.sum(F.col("own") * F.col("mid")).alias("rank_sum"))
-    cubes = F.col("n").cast("double")
-    ties = places.groupBy("test").agg(F.sum(cubes * cubes * cubes - cubes).alias("ties"))
-    out = reduce(lambda a, b: a.join(b, ["test", "grp"]), [second, sums], first).join(ties, "test")
+    held = counted(spark, sf_dir, *names)
+    rows = reduce(DataFrame.unionByName, [_by_test(tests, df, "range", "x", "own") for tests, df in held])
+    x, own, log = F.col("x"), F.col("own"), F.when(F.col("x") > 0, F.log("x"))
+    cells = cut(rows.groupBy("test", "grp", "range").agg(F.sum("own").alias("n"), F.sum(own * x).alias("total"), F.sum(F.when(x > 0, own).otherwise(0)).alias("log_n"), F.sum(own * log).alias("log_total")))
+    first = cells.groupBy("test", "grp").agg(F.sum("n").alias("n"), F.sum("total").alias("total"), F.sum("log_n").alias("log_n"), F.sum("log_total").alias("log_total"))
+    means = first.select("test", "grp", "n", (F.col("total") / F.col("n")).alias("mean"), "log_n", (F.col("log_total") / F.nullif("log_n", F.lit(0))).alias("log_mean"))
+    known = cut(means.join(_group_medians(rows, cells), ["test", "grp"]))
+    d, off, log_d = x - F.col("mean"), x - F.col("median"), log - F.col("log_mean")
+    met = rows.join(F.broadcast(known) if known.count() <= FEW else known, ["test", "grp"])
+    about = met.groupBy(*known.columns).agg(F.sum(own * d * d).alias("c2"), F.sum(own * d * d * d).alias("c3"), F.sum(own * F.abs(off)).alias("z"), F.sum(own * off * off).alias("z2"), F.sum(own * log_d * log_d).alias("log_c2"))
+    sums = reduce(DataFrame.unionByName, [_rank_sums(tests, df) for tests, df in held]).withColumn("ties", F.sum("cubes").over(Window.partitionBy("test")))
+    n, free = F.col("n"), F.nullif(F.col("n") - 1, F.lit(0))
+    out = about.join(sums, ["test", "grp"]).withColumns({
+        "sd": F.sqrt(F.col("c2") / free), "skewness": F.col("c3") / n / F.pow(F.nullif(F.col("c2") / n, F.lit(0.0)), F.lit(1.5)), "mean_deviation": F.col("z") / n,
+        "sd_deviation": F.sqrt(F.greatest(F.lit(0.0), F.col("z2") - F.col("z") * F.col("z") / n) / free), "log_var": F.col("log_c2") / F.nullif(F.col("log_n") - 1, F.lit(0)),
+    })
     r = lambda c, k=6: F.round(c, k).alias(c)
     return out.select("test", "grp", "n", r("mean"), r("sd"), r("median"), r("skewness"), r("mean_deviation"), r("sd_deviation"), r("rank_sum", 1), r("ties", 0), "log_n", r("log_mean"), r("log_var"))
 
