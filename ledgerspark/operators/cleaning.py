@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -29,9 +30,9 @@ NUMBERS = ("quantity", "unit_price", "unit_cost", "discount", "revenue", "cost",
 BUSINESS_KEY = ("transaction_date", "customer_id", "product_id", "quantity", "unit_price", "discount")
 
 
-def text(c: str) -> Column:
+def text(c: Column) -> Column:
     """Trimmed text; the spellings of nothing are null."""
-    t = F.trim(F.col(c))
+    t = F.trim(c)
     return F.when(~t.isin(*NULLS), t)
 
 
@@ -47,9 +48,8 @@ def canonical(c: Column, aliases: dict[str, str]) -> Column:
 
 def customer_id(c: Column) -> Column:
     """CUST- and the first run of digits, padded to five; null without digits."""
-    digits = F.regexp_extract(c, "([0-9]+)", 1)
-    n = F.when(digits != "", digits).cast("bigint").cast("string")
-    return F.concat(F.lit("CUST-"), F.when(F.length(n) < 5, F.lpad(n, 5, "0")).otherwise(n))  # longer ones stay whole
+    padded = F.concat(F.lit("0000"), F.regexp_extract(c, "([0-9]+)", 1))
+    return F.nullif(F.concat(F.lit("CUST-"), F.regexp_extract(padded, "^0*([0-9]{5,})$", 1)), F.lit("CUST-"))  # longer ones stay whole
 
 
 def number(c: Column) -> Column:
@@ -67,11 +67,15 @@ def date(c: Column) -> Column:
 
 
 def parse(raw: DataFrame) -> DataFrame:
-    return raw.select(
-        "seq", F.upper(text("transaction_id")).alias("transaction_id"), date(text("transaction_date")).alias("transaction_date"), customer_id(text("customer_id")).alias("customer_id"),
-        F.upper(text("product_id")).alias("product_id"), canonical(text("region"), REGION_ALIASES).alias("region"),
-        *[F.upper(text(c)).alias(c) for c in LABELS], *[number(text(c)).alias(c) for c in NUMBERS],
+    """Typed columns. Texts are trimmed and numbers parsed as one array each: one expression for all of them keeps a row's compiled method below 8,000 bytes, beyond which the JVM only interprets it."""
+    columns = [c for c in raw.columns if c != "seq"]
+    texts = raw.select("seq", F.transform(F.array(*columns), text).alias("texts")).select("seq", *[F.col("texts")[k].alias(c) for k, c in enumerate(columns)])
+    out = texts.select(
+        "seq", F.upper("transaction_id").alias("transaction_id"), date(F.col("transaction_date")).alias("transaction_date"), customer_id(F.col("customer_id")).alias("customer_id"),
+        F.upper("product_id").alias("product_id"), canonical(F.col("region"), REGION_ALIASES).alias("region"),
+        *[F.upper(c).alias(c) for c in LABELS], F.transform(F.array(*NUMBERS), number).alias("numbers"),
     )
+    return out.select(*[c for c in out.columns if c != "numbers"], *[F.col("numbers")[k].alias(c) for k, c in enumerate(NUMBERS)])
 
 
 def passes(df: DataFrame) -> list[tuple[str, DataFrame]]:
@@ -99,13 +103,40 @@ def _passes(df: DataFrame, seen: Callable[[str, DataFrame], DataFrame], which: t
     return out
 
 
-def deduplicate(df: DataFrame) -> DataFrame:
-    """What the last of the passes leaves.
+#: Hashes that may be broadcast, of eight bytes each.
+MARKS = 1_000_000
+
+
+def deduplicate(df: DataFrame, hold: Callable[[DataFrame], DataFrame] = lambda out: out) -> DataFrame:
+    """What the last of the passes leaves; hold may write what they leave of the rows that share a key.
 
     Identical rows have one transaction id, so the first row of an id is also the first of those identical to it: the pass
     over identical rows changes nothing of what is left, and is run only where its count is asked for.
     """
-    return _passes(df, lambda _, out: out, PASSES[1:])[-1][1]
+    alone, shared = parted(df)
+    once = [] if shared is None else [hold(_passes(shared, lambda _, out: out, PASSES[1:])[-1][1])]
+    return reduce(DataFrame.unionByName, [alone, *once])
+
+
+def parted(df: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """df in two: the rows that share neither transaction id nor business key with another row, and the others, if there are any.
+
+    No pass can drop one of the first, so only the others go through the passes. What travels for that is a hash of each key;
+    rows of different keys whose hashes meet are among the others, and the passes keep them. df is read three times, so it
+    should be held. Where more than MARKS hashes repeat, all rows are among the others.
+    """
+    marks = [F.xxhash64(F.lit(k), *keys) for k, (_, keys) in enumerate(PASSES) if keys]
+    repeated = kept(df.select(F.explode(F.array(*marks)).alias("mark")).groupBy("mark").count().filter("count > 1").select("mark"))
+    n = repeated.count()
+    if n == 0:
+        return df, None
+    if n > MARKS:
+        return df.filter(F.lit(False)), df
+    met = df
+    for k, mark in enumerate(marks):
+        met = met.withColumn(f"mark_{k}", mark).join(F.broadcast(repeated.withColumnRenamed("mark", f"again_{k}")), F.col(f"mark_{k}") == F.col(f"again_{k}"), "left")
+    again = reduce(Column.__or__, [F.col(f"again_{k}").isNotNull() for k in range(len(marks))])
+    return met.filter(~again).select(*df.columns), met.filter(again).select(*df.columns)
 
 
 #: The reasons for which a row is rejected, in the order in which they are tried.
@@ -201,11 +232,11 @@ def dirty(spark: SparkSession, sf_dir: str) -> DataFrame:
     """An untidy extract made from the order lines by rule."""
     for t in ("orders", "lineitem", "customer", "nation", "region", "part"):
         spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(t)
-    return spark.sql(DIRT.format(iso="date_format(d, 'yyyy-MM-dd')", dmy="date_format(d, 'dd/MM/yyyy')", dots="date_format(d, 'yyyy.MM.dd')"))
+    return spark.sql(_RULE.format(iso="date_format(d, 'yyyy-MM-dd')", dmy="date_format(d, 'dd/MM/yyyy')", dots="date_format(d, 'yyyy.MM.dd')") + _SPARK_LINES)
 
 
 #: The rule, for both engines but for how dates are written.
-DIRT = """SELECT seq, concat('T', CAST(o AS STRING), '-', CAST(n AS STRING)) AS transaction_id,
+_RULE = """SELECT seq, concat('T', CAST(o AS STRING), '-', CAST(n AS STRING)) AS transaction_id,
  CASE WHEN seq % 17 = 0 THEN {dmy} WHEN seq % 19 = 0 THEN {dots} WHEN seq % 97 = 0 THEN '2024-13-45' WHEN seq % 89 = 0 THEN concat(' ', {iso}, ' ') ELSE {iso} END AS transaction_date,
  CASE WHEN seq % 53 = 0 THEN '' WHEN seq % 7 = 0 THEN concat(' cust_', CAST(c AS STRING)) ELSE concat('CUST-', CAST(c AS STRING)) END AS customer_id,
  CASE WHEN seq % 113 = 0 THEN 'NULL' ELSE concat('p', CAST(p AS STRING)) END AS product_id,
@@ -217,8 +248,17 @@ DIRT = """SELECT seq, concat('T', CAST(o AS STRING), '-', CAST(n AS STRING)) AS
  CASE WHEN seq % 61 = 0 THEN '9,999.99' ELSE CAST(CAST(q * price AS DECIMAL(14,2)) AS STRING) END AS revenue,
  CASE WHEN seq % 67 = 0 THEN ' ' WHEN seq % 71 = 0 THEN LOWER(cat) ELSE cat END AS product_category, CASE WHEN seq % 73 = 0 THEN 'None' WHEN seq % 11 = 0 THEN concat(seg, ' ') ELSE seg END AS customer_segment, CASE WHEN seq % 79 = 0 THEN 'NaN' ELSE pay END AS payment_type,
  CASE WHEN seq % 83 = 0 THEN '' ELSE CAST(CAST(q * FLOOR(price) AS DECIMAL(14,2)) AS STRING) END AS cost, CASE WHEN seq % 61 = 0 THEN '-' ELSE CAST(CAST(q * (price - FLOOR(price)) AS DECIMAL(14,2)) AS STRING) END AS profit
-FROM (SELECT l_orderkey * 8 + l_linenumber AS seq, l_orderkey AS o, l_linenumber AS n, o_custkey AS c, l_partkey AS p, CAST(l_quantity AS BIGINT) AS q, CAST(FLOOR(l_extendedprice * 100 / l_quantity) AS DECIMAL(10,0)) * CAST(0.01 AS DECIMAL(3,2)) AS price, CAST(l_discount AS DECIMAL(6,2)) AS disc, CAST(o_orderdate AS DATE) AS d, r_name AS r, p_type AS cat, c_mktsegment AS seg, o_orderpriority AS pay
+"""
+_DUCK_LINES = """FROM (SELECT l_orderkey * 8 + l_linenumber AS seq, l_orderkey AS o, l_linenumber AS n, o_custkey AS c, l_partkey AS p, CAST(l_quantity AS BIGINT) AS q, CAST(FLOOR(l_extendedprice * 100 / l_quantity) AS DECIMAL(10,0)) * CAST(0.01 AS DECIMAL(3,2)) AS price, CAST(l_discount AS DECIMAL(6,2)) AS disc, CAST(o_orderdate AS DATE) AS d, r_name AS r, p_type AS cat, c_mktsegment AS seg, o_orderpriority AS pay
   FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY l_orderkey, l_linenumber ORDER BY l_partkey, l_suppkey, l_extendedprice, l_shipdate) AS once FROM lineitem) l JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey JOIN part ON l_partkey = p_partkey WHERE once = 1) x"""
+#: The same lines for Spark: they travel by order once, for their numbers and their order, then by part, both times with few columns; orders meet their customers before.
+_SPARK_LINES = """FROM (SELECT /*+ MERGE(part) */ o * 8 + n AS seq, o, n, c, p, CAST(quantity AS BIGINT) AS q, price, disc, d, r, p_type AS cat, seg, pay
+  FROM (SELECT /*+ MERGE(b) */ o, n, p, quantity, CAST(FLOOR(l_extendedprice * 100 / quantity) AS DECIMAL(10,0)) * CAST(0.01 AS DECIMAL(3,2)) AS price, disc, c, d, r, seg, pay
+    FROM (SELECT *, ROW_NUMBER() OVER (PARTITION BY o, n ORDER BY p, l_suppkey, l_extendedprice, l_shipdate) AS once
+      FROM (SELECT /*+ REPARTITION(o) */ * FROM (SELECT l_orderkey AS o, l_linenumber AS n, l_partkey AS p, l_suppkey, l_extendedprice, l_shipdate, l_quantity AS quantity, CAST(l_discount AS DECIMAL(6,2)) AS disc FROM lineitem) s) t) l
+    JOIN (SELECT /*+ MERGE(customer) */ o_orderkey, o_custkey AS c, CAST(o_orderdate AS DATE) AS d, o_orderpriority AS pay, c_mktsegment AS seg, r_name AS r
+      FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey) b ON o = o_orderkey WHERE once = 1) m
+  JOIN part ON p = p_partkey) x"""
 
 
 def _number_sql(c: str) -> str:
@@ -227,7 +267,7 @@ def _number_sql(c: str) -> str:
     return f"CASE WHEN trim({c}) LIKE '%\\%' ESCAPE '\\' THEN ({value}) / 100 ELSE {value} END AS {c}"
 
 
-_DIRT_DUCK = DIRT.format(iso="strftime(d, '%Y-%m-%d')", dmy="strftime(d, '%d/%m/%Y')", dots="strftime(d, '%Y.%m.%d')")
+_DIRT_DUCK = (_RULE + _DUCK_LINES).format(iso="strftime(d, '%Y-%m-%d')", dmy="strftime(d, '%d/%m/%Y')", dots="strftime(d, '%Y.%m.%d')")
 _REGIONS = "CASE regexp_replace(lower(trim(region)), '[^a-z0-9]', '', 'g') " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in REGION_ALIASES.items()) + " END"
 PARSED_SQL = f"""SELECT seq, upper(trim(transaction_id)) AS transaction_id,
  CAST(coalesce(try_strptime(trim(transaction_date), '%Y-%m-%d'), try_strptime(trim(transaction_date), '%d/%m/%Y'), try_strptime(trim(transaction_date), '%Y.%m.%d')) AS DATE) AS transaction_date,
@@ -251,7 +291,8 @@ def c01_trimmed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _unique(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return deduplicate(c01_parsed(spark, sf_dir)).withColumn("reason", rejection())
+    # Held, as the rows are read for their keys and then for themselves.
+    return deduplicate(kept(c01_parsed(spark, sf_dir), compression="zstd"), kept).withColumn("reason", rejection())
 
 
 def c11_rejections(spark: SparkSession, sf_dir: str) -> DataFrame:

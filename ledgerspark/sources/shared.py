@@ -30,8 +30,8 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def kept(df: DataFrame) -> DataFrame:
-    """As cut(), by a table in the shared folder: for many rows, of which later steps read a part of the columns."""
+def kept(df: DataFrame, **options: str) -> DataFrame:
+    """As cut(), by a table in the shared folder: for many rows, of which later steps read a part of the columns. options are the writer's."""
     at = f"{shared_dir(df.sparkSession)}/kept-{uuid.uuid4().hex[:12]}"
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     return df.sparkSession.read.parquet(at)

@@ -1,5 +1,7 @@
 """Deduplication and repairs by plans that grow with the rows, against the plain steps."""
 
+import re
+
 from pyspark.sql import functions as F
 
 from ledgerspark.operators import cleaning
@@ -21,3 +23,41 @@ def test_rows_do_not_gather_by_segment(spark):
     fixed = cleaning.repair(unique, *cleaning.masters(spark, D))
     assert "hashpartitioning(customer_segment" not in fixed._jdf.queryExecution().executedPlan().toString()
     assert fixed.count() == unique.count()
+
+
+def _keyed(spark, rows):
+    df = spark.createDataFrame(rows, "seq long, transaction_id string, transaction_date string, quantity double")
+    return df.selectExpr("*", "'C' AS customer_id", "'P' AS product_id", "1.0D AS unit_price", "0.0D AS discount")
+
+
+def test_rows_that_share_no_key_do_not_travel(spark):
+    rows = cleaning.parse(cleaning.dirty(spark, D))
+    held = cleaning.kept(rows.dropDuplicates(["transaction_id"]))
+    found = cleaning.deduplicate(held)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, found.collect())) == sorted(map(str, cleaning.passes(held)[-1][1].collect()))
+    alone, shared = cleaning.parted(held.unionByName(held.filter("seq % 10 = 0").withColumn("seq", F.col("seq") + 10**9)))
+    tenth = held.filter("seq % 10 = 0").count()
+    assert (alone.count(), shared.count()) == (held.count() - tenth, 2 * tenth) and tenth > 0
+
+
+def test_rows_in_two_parts_are_deduplicated_as_a_whole(spark, monkeypatch):
+    # 1, 2 share an id, 2, 3 a business key (so 3 stays, as 2 goes first), 4, 5 no id, 6, 7 zeros of both signs, 8 nothing
+    rows = [(1, "A", "d1", 1.0), (2, "A", "d2", 2.0), (3, "B", "d2", 2.0), (4, None, "d3", 3.0), (5, None, "d4", 4.0), (6, "C", "d5", 0.0), (7, "D", "d5", -0.0), (8, "E", None, None)]
+    df = _keyed(spark, rows)
+    for most in (cleaning.MARKS, 1):
+        monkeypatch.setattr(cleaning, "MARKS", most)
+        assert sorted(r.seq for r in cleaning.deduplicate(df).collect()) == [1, 3, 4, 6, 8]
+        assert sorted(r.seq for r in cleaning.deduplicate(df, cleaning.kept).collect()) == [1, 3, 4, 6, 8]
+
+
+def test_a_parsed_row_is_compiled(spark):
+    """The JVM only interprets a method of more than 8,000 bytes."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    try:
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        plan = cleaning.parse(cleaning.dirty(spark, D))._jdf.queryExecution().executedPlan()
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+    sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan))
+    assert sizes and max(map(int, sizes)) < 8000
