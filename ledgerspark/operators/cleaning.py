@@ -170,25 +170,41 @@ def rounded(e: Column, n: int = 2) -> Column:
 REPAIRS = ("category", "region", "segment", "price_solved", "cost_solved", "price_median", "cost_median", "discount", "payment", "customer", "region_unknown", "segment_unknown")
 
 
+def _repeats(master: DataFrame, key: str) -> bool:
+    """Whether a key is there more than once."""
+    return not master.filter(F.col(key).isNotNull()).groupBy(key).count().filter("count > 1").isEmpty()
+
+
 def repair(df: DataFrame, products: DataFrame, customers: DataFrame) -> DataFrame:
     """Fill what is missing, best source first, with one flag (fixed_*) for each of REPAIRS.
 
     Masters: products (product_id, m_category, m_price, m_cost), customers (customer_id, m_region, m_segment). Then sums:
     price from revenue, cost from its unit or the other way round. Then medians of the product (taken after the sums), its
     list price; discounts by the segment's median, then the median of all. What is left is labelled as unknown.
+
+    Only rows that lack something travel to the masters and the medians, and only products that lack a price or a cost have
+    their medians taken. df is read several times, so it should be held. Where a master has a key twice, the joins give its
+    rows twice, so there all rows travel.
     """
     fill = lambda flag, c, *by: {f"fixed_{flag}": F.col(c).isNull() & F.coalesce(*by).isNotNull(), c: F.coalesce(c, *by)}
     q, net = F.col("quantity"), F.col("quantity") * (1 - F.coalesce("discount", F.lit(0.0)))
-    df = df.join(products, "product_id", "left").join(customers, "customer_id", "left")
-    df = df.withColumns(fill("category", "product_category", "m_category") | fill("region", "region", "m_region") | fill("segment", "customer_segment", "m_segment"))
     df = df.withColumns(fill("price_solved", "unit_price", F.when((q > 0) & (net > 0), F.col("revenue") / net)) | fill("cost_solved", "unit_cost", F.when(q > 0, F.col("cost") / q)))
+    lacks = reduce(Column.__or__, [F.col(c).isNull() for c in ("product_category", "region", "customer_segment", "unit_price", "unit_cost")])
+    lacks = F.lit(True) if _repeats(products, "product_id") or _repeats(customers, "customer_id") else lacks
+    lacking = kept(df.filter(lacks).join(products, "product_id", "left").join(customers, "customer_id", "left"), compression="zstd")
+    nothing = {c: F.lit(None).cast(t) for c, t in lacking.dtypes if c not in df.columns}
+    whole = df.filter(~lacks).withColumns(nothing)
+    priced = whole.unionByName(lacking).select("product_id", "unit_price", "unit_cost")
+    unpriced = kept(lacking.filter("unit_price IS NULL OR unit_cost IS NULL").select("product_id").distinct())
+    medians = priced.join(unpriced, "product_id", "left_semi").groupBy("product_id").agg(F.median("unit_price").alias("p_price"), F.median("unit_cost").alias("p_cost"))
+    own = {c: F.lit(None).cast("double") for c in ("p_price", "p_cost")}
+    df = whole.withColumns(own).unionByName(lacking.join(kept(medians), "product_id", "left"))
+    df = df.withColumns(fill("category", "product_category", "m_category") | fill("region", "region", "m_region") | fill("segment", "customer_segment", "m_segment"))
     # Segments are few, so the rows do not gather by segment: discounts are counted first, and what they give is broadcast.
     counts = cut(df.groupBy(F.col("customer_segment").alias("s_segment"), "discount").agg(F.count("*").alias("n")))
     by_segment = cut(counts.groupBy("s_segment").agg(F.expr("percentile(discount, 0.5D, n)").alias("s_discount")))
     dealt = counts.join(by_segment.withColumnRenamed("s_segment", "b_segment"), F.col("s_segment") == F.col("b_segment"), "left")
     overall = cut(dealt.agg(F.expr("percentile(COALESCE(discount, s_discount), 0.5D, n)").alias("a_discount")))
-    medians = df.groupBy("product_id").agg(F.median("unit_price").alias("p_price"), F.median("unit_cost").alias("p_cost"))
-    df = df.join(medians, "product_id", "left")
     df = df.withColumns(fill("price_median", "unit_price", "p_price", "m_price") | fill("cost_median", "unit_cost", "p_cost", "m_cost"))
     df = df.withColumn("cost", F.coalesce("cost", F.col("unit_cost") * q))
     df = df.join(F.broadcast(by_segment) if by_segment.count() <= FEW else by_segment, df.customer_segment == by_segment.s_segment, "left")
@@ -311,8 +327,7 @@ def c12_quarantined(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _repaired(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # Held, as repairs read the rows more than once.
-    return repair(kept(_unique(spark, sf_dir).filter(F.col("reason").isNull()).drop("reason")), *masters(spark, sf_dir))
+    return repair(_unique(spark, sf_dir).filter(F.col("reason").isNull()).drop("reason"), *masters(spark, sf_dir))
 
 
 def c13_repaired(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -61,3 +61,36 @@ def test_a_parsed_row_is_compiled(spark):
         spark.conf.set("spark.sql.adaptive.enabled", before)
     sizes = re.findall(r"maxMethodCodeSize:(\d+)", spark._jvm.org.apache.spark.sql.execution.debug.package.codegenString(plan))
     assert sizes and max(map(int, sizes)) < 8000
+
+
+def test_rows_that_lack_nothing_do_not_travel_to_the_masters(spark):
+    unique = cleaning.kept(cleaning.deduplicate(cleaning.parse(cleaning.dirty(spark, D))).filter("product_id IS NOT NULL"))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        fixed = cleaning.repair(unique, *cleaning.masters(spark, D))
+        plan = fixed._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert "hashpartitioning(customer_id" not in plan and plan.count("hashpartitioning(product_id") <= 2  # the rows that lack something, and medians
+    assert fixed.count() == unique.count()
+
+
+def test_repairs_of_rows_that_lack_something(spark):
+    columns = cleaning.parse(cleaning.dirty(spark, D)).columns
+    full = {"transaction_id": "T", "customer_id": "CUST-1", "region": "R", "product_category": "C", "customer_segment": "S", "payment_type": "P", "quantity": 2.0, "unit_price": 5.0, "unit_cost": 3.0, "discount": 0.0, "revenue": 10.0, "cost": 6.0, "profit": 4.0}
+    lost = {"unit_price": None, "revenue": None, "unit_cost": None, "cost": None}
+    rows = [{"product_id": "A", "unit_price": 2.0}, {"product_id": "A", "unit_price": 4.0, "unit_cost": 1.0}, {"product_id": "A", "unit_price": 9.0}, {"product_id": "A"} | lost, {"product_id": "B"} | lost, {"product_id": "B", "unit_price": None, "unit_cost": None, "region": None}, {"product_id": "D", "product_category": None, "customer_id": None, "customer_segment": None}]
+    df = spark.createDataFrame([tuple((full | r | {"seq": k}).get(c) for c in columns) for k, r in enumerate(rows)], cleaning.parse(cleaning.dirty(spark, D)).schema)
+    products = spark.createDataFrame([("A", "MA", 100.0, 90.0), ("B", "MB", 7.0, 6.0), ("D", "MD", 1.0, 1.0)], "product_id string, m_category string, m_price double, m_cost double")
+    customers = spark.createDataFrame([("CUST-1", "MR", "MS")], "customer_id string, m_region string, m_segment string")
+    got = {r.seq: r for r in cleaning.repair(df, products, customers).collect()}
+    assert sorted(got) == list(range(7))
+    assert (got[3].unit_price, got[3].unit_cost, got[3].cost, got[3].fixed_price_median, got[3].fixed_price_solved) == (4.0, 3.0, 6.0, True, False)
+    assert (got[5].unit_price, got[5].unit_cost, got[5].region, got[5].fixed_price_solved, got[5].fixed_cost_solved, got[5].fixed_region) == (5.0, 3.0, "MR", True, True, True)
+    assert (got[4].unit_price, got[4].unit_cost) == (5.0, 3.0) and got[4].fixed_price_median  # the product's median, after the sums
+    assert (got[6].product_category, got[6].customer_id, got[6].customer_segment, got[6].is_customer_attributed, got[6].fixed_category, got[6].fixed_segment_unknown) == ("MD", "UNATTRIBUTED", "Unknown", 0, True, True)
+    assert not any(v for c, v in got[0].asDict().items() if c.startswith("fixed_"))
+    # a master's key that is there twice gives its rows twice, complete ones too, as a join does
+    twice = cleaning.repair(df, products.unionByName(products.filter("product_id = 'A'")), customers)
+    assert sorted(r.seq for r in twice.collect()) == [0, 0, 1, 1, 2, 2, 3, 3, 4, 5, 6]
