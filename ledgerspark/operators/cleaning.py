@@ -344,11 +344,11 @@ AUDIT = "place long, step string, detail string, rows_affected long"
 
 
 def audited(raw: DataFrame, products: DataFrame, customers: DataFrame, path: str) -> tuple[DataFrame, dict]:
-    """Clean an extract into path/unique (rows that are there once, with the reason to reject them), path/clean and path/rejected.
+    """Clean an extract into path/parsed, path/unique (rows that are there once, with the reason to reject them), path/clean and path/rejected.
 
-    Returns one row for each step (AUDIT) and the totals. All counts are observed in the two jobs that write the rows, so
-    nothing is read again for them; they come from accumulators, so where a lost executor's task is run again they may be
-    too high. The last step counts the files' rows from their footers, and stops with an error if these differ.
+    Returns one row for each step (AUDIT) and the totals. All counts are observed in the jobs that write the rows, so
+    nothing is read again for them; the passes count the rows that share a key, what shares none is left by all of them.
+    Counts come from accumulators, so where a lost executor's task is run again they may be too high. The last step counts the files' rows from their footers, and stops with an error if these differ.
     An empty extract gives an audit of zeros.
     """
     spark, n = raw.sparkSession, F.count(F.lit(1)).alias("rows")
@@ -364,20 +364,26 @@ def audited(raw: DataFrame, products: DataFrame, customers: DataFrame, path: str
     trimmed = sum(((F.coalesce(F.col(c) != F.trim(c), F.lit(False))).cast("long") for c in texts), F.lit(0))
     read = seen("read", raw, n, F.coalesce(F.sum(trimmed), F.lit(0)).alias("cells"))
     own = seen("parse", parse(read), ones(F.col("transaction_date").isNull(), "undated"))
-    unique = _passes(own, seen)[-1][1].withColumn("reason", rejection())
-    seen("reject", unique, n, *(ones(F.col("reason") == r, r) for r in REASONS)).write.mode("overwrite").parquet(f"{path}/unique")
+    put = lambda df, name: df.write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/{name}")
+    put(own, "parsed")
+    unique, shared = parted(spark.read.parquet(f"{path}/parsed"))
+    if shared is not None:  # rows that are identical share a transaction id as well
+        unique = unique.unionByName(_passes(seen("shared", shared), seen)[-1][1])
+    unique = unique.withColumn("reason", rejection())
+    put(seen("reject", unique, n, *(ones(F.col("reason") == r, r) for r in REASONS)), "unique")
     unique = spark.read.parquet(f"{path}/unique")
     money = lambda c: F.sum(F.col(c).cast("decimal(18,2)")).alias(c)
     off = ("revenue_off", "cost_off", "profit_off", "had_reconciliation_error")
     clean = reconcile(repair(unique.filter("reason IS NULL").drop("reason"), products, customers))
     what = [n, *(ones(F.col(f"fixed_{r}"), r) for r in REPAIRS), *(ones(F.col(c), c) for c in off), *map(money, ("revenue", "cost", "profit")), F.min("transaction_date").alias("first"), F.max("transaction_date").alias("last")]
-    seen("clean", clean, *what).drop(*[f"fixed_{r}" for r in REPAIRS]).write.mode("overwrite").parquet(f"{path}/clean")
-    unique.filter("reason IS NOT NULL").write.mode("overwrite").parquet(f"{path}/rejected")
+    put(seen("clean", clean, *what).drop(*[f"fixed_{r}" for r in REPAIRS]), "clean")
+    put(unique.filter("reason IS NOT NULL"), "rejected")
     # Where no row meets an observation, no task tells of one.
     zeros = {"read": {"rows": 0, "cells": 0}, "parse": {"undated": 0}, "reject": dict.fromkeys(REASONS, 0) | {"rows": 0}, "clean": nothing}
     any_left = not unique.isEmpty(), not unique.filter("reason IS NULL").isEmpty()
     got = {name: o.get if any_left[name == "clean"] else zeros.get(name, {"rows": 0}) for name, o in held.items()}
-    left = [got["read"]["rows"], *(got[k]["rows"] for k in ("identical rows", "same transaction id", "same business key"))]
+    before = got["read"]["rows"]
+    left = [before, *(before if shared is None else before - got["shared"]["rows"] + got[k]["rows"] for k, _ in PASSES)]
     files = {k: spark.read.parquet(f"{path}/{k}").count() for k in ("unique", "clean", "rejected")}
     if (files["unique"], files["clean"]) != (left[-1], got["clean"]["rows"]) or files["rejected"] != left[-1] - files["clean"]:
         raise RuntimeError(f"the audit counted {left[-1]} and {got['clean']['rows']} rows, the files hold {files}: run it again")

@@ -33,3 +33,13 @@ def test_audit_of_rows_that_all_go(spark, tmp_path):
     found, totals = cleaning.audited(raw, *cleaning.masters(spark, D), str(tmp_path / "c"))
     rows = {(r.step, r.detail): r.rows_affected for r in found.collect()}
     assert rows["write", "clean"] == 0 == totals["rows"] and rows["write", "rejected"] == rows["read", "rows"] == raw.count() > 0
+
+
+def test_audit_writes_rows_that_share_no_key_without_passes(spark, tmp_path):
+    raw = cleaning.dirty(spark, D)
+    raw = raw.unionByName(raw.filter("seq % 50 = 0")).unionByName(raw.filter("seq % 70 = 0").withColumn("seq", raw.seq + 10**9))
+    cleaning.audited(raw, *cleaning.masters(spark, D), str(tmp_path / "d"))
+    parsed, unique = (spark.read.parquet(str(tmp_path / "d" / k)) for k in ("parsed", "unique"))
+    same = lambda df: sorted(map(str, df.select(*parsed.columns).collect()))
+    assert same(parsed) == same(cleaning.parse(raw)) and same(unique) == same(cleaning.passes(cleaning.parse(raw))[-1][1])
+    assert 0 < cleaning.parted(parsed)[1].count() < parsed.count() / 10
