@@ -43,3 +43,13 @@ def test_audit_writes_rows_that_share_no_key_without_passes(spark, tmp_path):
     same = lambda df: sorted(map(str, df.select(*parsed.columns).collect()))
     assert same(parsed) == same(cleaning.parse(raw)) and same(unique) == same(cleaning.passes(cleaning.parse(raw))[-1][1])
     assert 0 < cleaning.parted(parsed)[1].count() < parsed.count() / 10
+
+
+def test_audit_is_the_same_however_many_rows_share_a_key(spark, tmp_path, monkeypatch):
+    alone = cleaning.dirty(spark, D).filter("seq % 3 = 0")
+    raw = alone.unionByName(alone.filter("seq % 50 = 0")).unionByName(alone.filter("seq % 70 = 0").withColumn("seq", alone.seq + 10**9))
+    run = lambda df, at: sorted(map(str, cleaning.audited(df, *cleaning.masters(spark, D), str(tmp_path / at))[0].collect()))
+    few, none = run(raw, "e"), run(alone, "f")
+    assert [r for r in none if "step='deduplicate'" in r and "rows_affected=0" not in r] == []
+    monkeypatch.setattr(cleaning, "MARKS", 1)
+    assert run(raw, "g") == few
